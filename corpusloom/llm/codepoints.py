@@ -12,6 +12,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SPAN = 0x110000
 
@@ -91,3 +92,80 @@ def lower_table() -> np.ndarray:
 def random_table(seed: int) -> np.ndarray:
     """A fixed random 64-bit number for each code point: the letters of the rolling hashes."""
     return np.random.default_rng(seed).integers(1, 2**63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+BASE = 0x9E3779B97F4A7C15 | 1
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _power(n: int, base: int) -> np.ndarray:
+    size = 1 << 16
+    while size < n:
+        size *= 2
+    return _powers(size, base)[:n]
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """n + 1 prefix sums of ``values[i] * BASE**i`` modulo 2**64 (values are random 64-bit numbers)."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(len(values), BASE), out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of [start, end), the same wherever the same values stand."""
+    return (prefix[end] - prefix[start]) * _power(len(prefix), BASE_INVERSE)[start]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of a 64-bit hash."""
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def slices(column: pa.Array, points: int = 1 << 20):
+    """(first row, rows) of consecutive slices of at most ``points`` bytes each, or of one longer row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if not n:
+        return
+    size = pa.compute.binary_length(column.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < n:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + points, side="right")))
+        yield start, column.slice(start, stop - start)
+        start = stop
+
+
+def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch: hash, start, end of each, and n + 1 row offsets into them.
+
+    A word is a run of letters and digits in lower case; each Chinese character is a word of its own; all other
+    signs only part words.
+    """
+    kind = classes()[points]
+    word = (kind & (LETTER | DIGIT)) > 0
+    alone = word & ((kind & CJK) > 0)
+    edge = np.zeros(len(points) + 1, bool)
+    edge[offsets] = True
+    if len(points):
+        before = np.concatenate(([False], word[:-1]))
+        solo = np.concatenate(([False], alone[:-1]))
+        first = word & (~before | alone | solo | edge[:-1])
+        after = np.concatenate((word[1:], [False]))
+        solo = np.concatenate((alone[1:], [False]))
+        last = word & (~after | alone | solo | edge[1:])
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    else:
+        start = end = np.zeros(0, np.int64)
+    prefix = prefix_hash(random_table(1)[lower_table()[points]])
+    return mix(span_hash(prefix, start, end)), start, end, np.searchsorted(start, offsets)

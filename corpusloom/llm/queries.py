@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import normalize
+from corpusloom.llm import leakage, normalize, spans
 from corpusloom.session import read
 
 
@@ -15,8 +15,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.changed_fields(read(spark, d, "chunks"), "chunk_id", ["text", "section_title"])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_characters(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
