@@ -9,7 +9,8 @@ grouped globally, with original offsets kept:
    (anchor digest, unit digest, record, range);
 2. a unit whose digest more than one record has is shared whole;
 3. of units that only share their anchor with other records, each window is hashed and grouped globally; windows
-   that more than one record has are shared. Only the edges of shared spans come here;
+   that more than one record has are shared. Only the edges of shared spans come here, and of a digest that
+   several records have two of them;
 4. the shared ranges of a record are merged and their characters counted once.
 
 Nothing pairs records with each other, so a text with many copies costs no more than as many different texts;
@@ -130,11 +131,12 @@ def shared_characters(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = records.mapInArrow(_units_of(length, gram), fields(("lo", T.IntegerType()), ("hi", T.IntegerType()), ("anchor", T.LongType()), ("digest", T.LongType())))
     several = F.min("key") != F.max("key")
     digests = found.groupBy("anchor", "digest").agg(F.min("key").alias("lo_key"), F.max("key").alias("hi_key"))
-    anchors = digests.groupBy("anchor").agg(F.min("lo_key").alias("a"), F.max("hi_key").alias("b")).where("a != b").select("anchor")
-    marked = digests.join(anchors, "anchor").select("anchor", "digest", (F.col("lo_key") != F.col("hi_key")).alias("whole"))
+    anchors = digests.groupBy("anchor").agg(F.min("lo_key").alias("a"), F.max("hi_key").alias("b"), F.count("*").alias("kinds")).where("a != b").select("anchor", "kinds")
+    marked = digests.join(anchors, "anchor").withColumn("whole", F.col("lo_key") != F.col("hi_key"))
     candidates = found.join(marked, ["anchor", "digest"])
     whole = candidates.where("whole").select("key", "lo", "hi")
-    edges = candidates.where("not whole").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    # a digest of several records stands for them by two, so that others can share a part of it
+    edges = candidates.where("not whole or kinds > 1 and key in (lo_key, hi_key)").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     hashed = records.join(edges, "key").mapInArrow(_windows_of(length), fields(("lo", T.IntegerType()), ("window", T.LongType())))
     shared = hashed.groupBy("window").agg(several.alias("several")).where("several").select("window")
     part = hashed.join(shared, "window").select("key", "lo", F.col("lo").alias("hi"))
