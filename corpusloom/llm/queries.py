@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import leakage, normalize, spans
+from corpusloom.llm import encoding, leakage, normalize, spans
 from corpusloom.session import read
 
 
@@ -15,6 +16,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.changed_fields(read(spark, d, "chunks"), "chunk_id", ["text", "section_title"])
 
 
+TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(read(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
@@ -24,7 +32,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
