@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import encoding, leakage, normalize, spans
+from corpusloom.llm import boilerplate, encoding, leakage, normalize, spans
 from corpusloom.session import read
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_lines(read(spark, d, "chunks"))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.without_repeated_lines(read(spark, d, "chunks").select("chunk_id", "doc_id", "text")).select("chunk_id", "text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.changed_fields(read(spark, d, "chunks"), "chunk_id", ["text", "section_title"])
 
@@ -32,7 +40,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
