@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import boilerplate, encoding, leakage, normalize, spans
+from corpusloom.llm import boilerplate, encoding, language, leakage, normalize, spans
 from corpusloom.session import read
 
 
@@ -24,6 +24,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.changed_fields(read(spark, d, "chunks"), "chunk_id", ["text", "section_title"])
 
 
+def language_model(spark: SparkSession, d: str) -> language.LanguageModel:
+    """Fitted on labelled chunks and documents (a bounded sample, see ``language.fit``)."""
+    return language.fit(read(spark, d, "chunks").select("text", "lang").unionByName(read(spark, d, "documents").select("text", "lang")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(read(spark, d, "chunks"), language_model(spark, d)).select("chunk_id", "seg_no", "lang")
+
+
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -40,7 +49,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
