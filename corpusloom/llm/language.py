@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import codepoints as cp
-from corpusloom.llm import normalize, sentences
+from corpusloom.llm import sentences
 
 # Usual names and codes of the languages.
 NAMES = {
@@ -132,8 +132,7 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_lan
     languages = [x for x in NAMES if (sample["lang"] == x).any()]
     if not languages:
         raise ValueError("no labelled text to fit on")
-    points, offsets = normalize.normalize_points(*cp.decode(pa.array(sample["text"], pa.string())))
-    start, end, row = sentences.split(points, offsets)
+    points, start, end, row = sentences.in_usual_form(*cp.decode(pa.array(sample["text"], pa.string())))
     of = np.array([languages.index(x) for x in sample["lang"]])[row]
     long = end - start >= 12
     start, end, of = start[long], end[long], of[long]
@@ -201,8 +200,7 @@ def chain(model: LanguageModel, points: np.ndarray, start: np.ndarray, end: np.n
 def segments_of(model: LanguageModel, texts: pa.Array, figure: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of a batch: row, number from 1, language index, confidence, first and last sentence number. What
     stands in a figure takes the language of its caption, the first paragraph."""
-    points, offsets = normalize.normalize_points(*cp.decode(texts))
-    start, end, row = sentences.split(points, offsets)
+    points, start, end, row = sentences.in_usual_form(*cp.decode(texts))
     new_row = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
     for i in np.flatnonzero(new_row & figure[row]):  # the tag before a caption has no language
         tag = np.flatnonzero(points[start[i] : end[i] - 1] == ord("]"))

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import boilerplate, encoding, language, leakage, normalize, spans
+from corpusloom.llm import alignment, boilerplate, encoding, language, leakage, normalize, spans
 from corpusloom.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(read(spark, d, "chunks"), language_model(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(read(spark, d, "chunks"))
 
@@ -49,7 +53,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from corpusloom.llm import codepoints as cp
+from corpusloom.llm import normalize
 
 STOPS, FULL_STOPS = [ord(c) for c in ".!?"], [ord(c) for c in "。！？"]
 
@@ -33,3 +34,12 @@ def split(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     full = hi > lo
     start, end = solid[lo[full]], solid[hi[full] - 1] + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def in_usual_form(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences as the stored text has them, then in usual form: points, start, end and row."""
+    start, end, row = split(points, offsets)
+    size = end - start
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out, ends = normalize.normalize_points(points[at], np.concatenate(([0], np.cumsum(size))))
+    return out, ends[:-1], ends[1:], row
