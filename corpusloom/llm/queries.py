@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from corpusloom.llm import alignment, boilerplate, encoding, language, leakage, normalize, spans
+from corpusloom.llm import alignment, boilerplate, encoding, language, leakage, normalize, scans, spans
 from corpusloom.session import read
 
 
@@ -37,6 +37,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return language.mislabelled(read(spark, d, "chunks"), language_model(spark, d)).select("chunk_id", "seg_no", "lang")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(read(spark, d, "chunks"), read(spark, d, "page_extracts"))
+
+
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -53,7 +57,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
