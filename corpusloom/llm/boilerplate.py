@@ -64,7 +64,8 @@ def repeated_lines(df: DataFrame, *, key: str = "chunk_id", doc: str = "doc_id",
 def without_repeated_lines(df: DataFrame, *, key: str = "chunk_id", text: str = "text", **options) -> DataFrame:
     """``df`` with ``text`` freed of its source's repeated lines; other columns stay. Rows that share a key share its
     deletions, so keys should be unique."""
-    gone = repeated_lines(df, key=key, text=text, **options).groupBy(F.col(key).alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(__gone, i + 1)), '\\n')")
-    out = df.join(gone, F.col(key) == F.col("__key"), "left")
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+    gone = repeated_lines(df, key=key, text=text, **options).groupBy(F.col(key).alias("id")).agg(F.collect_set("line_no").alias("numbers"))
+    rows = df.select(F.col(key).alias("own"), F.col(text).alias("stored"), F.struct("*").alias("row")).join(gone, F.col("own") == F.col("id"), "left")
+    kept = F.expr("array_join(filter(split(stored, '\\n'), (x, i) -> not array_contains(numbers, i + 1)), '\\n')")
+    clean = F.when(F.col("numbers").isNull(), F.col("stored")).otherwise(kept)
+    return rows.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])

@@ -11,7 +11,8 @@
    confused over all pages, frequency, agreement at the ends); they are fitted on a bounded sample of vocabulary words
    that are corrupted by the confusions found. Numbers with letters in them are read as digits.
 
-A word that no candidate explains stays as it is. Null and empty texts have no lines to repair.
+A word that no candidate explains stays as it is. Null and empty texts have no lines to repair, rows without chunk_id or
+doc_id no result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def scanned_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunk_id, doc_id and text of the chunks of image-only pages, figures left out."""
     scanned = pages.where("image_only").select("doc_id", "page").distinct()
     typed = pages.where("not image_only and length(text) > 0").select("doc_id", "page", form_hash(F.col("text")).alias("form")).distinct()
-    rows = chunks.where("length(text) > 0 and not (lower(kind) <=> 'figure') and not startswith(text, '[Figure p.')").select("chunk_id", "doc_id", "page", "text")
+    rows = chunks.where("chunk_id is not null and doc_id is not null and length(text) > 0 and not (lower(kind) <=> 'figure') and not startswith(text, '[Figure p.')").select("chunk_id", "doc_id", "page", "text")
     rows = rows.join(scanned, ["doc_id", "page"], "left_semi").withColumn("form", form_hash(F.col("text")))
     return rows.join(typed, ["doc_id", "page", "form"], "left_anti").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 

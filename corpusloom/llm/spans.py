@@ -51,20 +51,24 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def units(points: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """Units of a batch: row, lo and hi (first and last window start), anchor and digest."""
-    out: dict[str, list] = {k: [] for k in ("row", "lo", "hi", "anchor", "digest")}
-    long = np.flatnonzero(np.diff(offsets) >= length)
-    if not len(long):
-        return {k: np.zeros(0, np.int64) for k in out}
-    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, starts in the row, flat pieces
-    rows, starts, parts = [], [], []
-    for row, start, part in _pieces(points, offsets, length):
-        rows.append(row)
-        starts.append(start)
-        parts.append(part)
+    names = ("row", "lo", "hi", "anchor", "digest")
+    done, parts, size = [], [], 0
+    for piece in _pieces(points, offsets, length):
+        parts.append(piece)
+        size += len(piece[2])
+        if size > PIECE:
+            done.append(_units(parts, length, gram))
+            parts, size = [], 0
+    if parts:
+        done.append(_units(parts, length, gram))
+    return {n: np.concatenate([d[n] for d in done]) if done else np.zeros(0, np.int64) for n in names}
+
+
+def _units(pieces: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> dict[str, np.ndarray]:
+    rows, starts, parts = (list(x) for x in zip(*pieces))
     sizes = np.array([len(p) for p in parts])
     flat = np.concatenate(parts)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    groups.append((np.array(rows), np.array(starts), flat))
     prefix = cp.prefix_hash(cp.random_table(2)[flat])
     at = np.arange(len(flat) - gram + 1)
     h = cp.mix(cp.span_hash(prefix, at, at + gram))
@@ -122,10 +126,11 @@ def _windows_of(length: int):
 
 def shared_characters(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 300, gram: int = 150) -> DataFrame:
     """One row (key, shared_chars) for each record with spans of at least ``length`` code points that another record
-    (another key) holds verbatim. Null, empty and shorter texts have none; rows repeated under one key count once."""
+    (another key) holds verbatim. Null, empty and shorter texts have none; rows repeated under one key count once, rows
+    without a key not at all."""
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
-    records = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= length)
+    records = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where((F.length("text") >= length) & F.col("key").isNotNull())
     kind = records.schema["key"].dataType
     fields = lambda *more: T.StructType([T.StructField("key", kind), *(T.StructField(n, t) for n, t in more)])
     found = records.mapInArrow(_units_of(length, gram), fields(("lo", T.IntegerType()), ("hi", T.IntegerType()), ("anchor", T.LongType()), ("digest", T.LongType())))
