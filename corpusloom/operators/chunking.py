@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import running
 from corpusloom.functions import text as T
+from corpusloom.session import materialize
 
 
 def pieces(text: Column) -> Column:
@@ -45,11 +46,10 @@ def page_windows(pages: DataFrame, *, keys: list[str], page: str = "page", text:
     as windows are made of tokens.
     """
     step = max(1, window - overlap)
-    rows = pages.select(*keys, F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("p", pieces(F.col("text")))
-    rows = rows.withColumn("n", F.size("p").cast("long"))
-    rows = running.before_sum(rows, keys, "page", "n", "base")
-    totals = rows.groupBy(*keys).agg(F.sum("n").alias("total"))
-    rows = rows.where("n > 0").join(totals, keys)
+    texts = pages.select(*keys, F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = running.before_sum(texts.select(*keys, "page", F.size(pieces(F.col("text"))).cast("long").alias("n")), keys, "page", "n", "base")
+    sizes = materialize(sizes.join(sizes.groupBy(*keys).agg(F.sum("n").alias("total")), keys), "page-sizes")
+    rows = texts.join(sizes.where("n > 0"), [*keys, "page"]).withColumn("p", pieces(F.col("text")))
     last = F.when(F.col("total") <= window, F.lit(0)).otherwise(F.ceil((F.col("total") - window) / step)).cast("long")
     first_w = F.greatest(F.lit(0), F.ceil((F.col("base") - window + 1) / step)).cast("long")
     last_w = F.least(last, F.floor((F.col("base") + F.col("n") - 1) / step)).cast("long")
@@ -67,7 +67,8 @@ def page_windows(pages: DataFrame, *, keys: list[str], page: str = "page", text:
     body = F.regexp_replace(F.array_join(F.transform("parts", lambda x: F.concat(x["body"], x["tail"])), ""), r"(?U)\s+$", "")
     per_window = per_window.withColumn("text", body).withColumn("pages", F.transform("parts", lambda x: x["page"])).drop("parts")
 
-    heads = headings(rows.select(*keys, "page", "text", "base"), keys)
+    headed = texts.where(F.exists(F.split("text", "\n"), T.is_heading))
+    heads = headings(headed.join(sizes.select(*keys, "page", "base"), [*keys, "page"]), keys)
     starts = per_window.select(*keys, (F.col("chunk_no") * step).alias("token"), "chunk_no", F.lit(None).cast("string").alias("title"), F.lit(1 << 30).alias("nth"))
     both = starts.unionByName(heads.select(*keys, "token", F.lit(None).cast("long").alias("chunk_no"), "title", "nth"))
     both = running.last_known(both, keys, F.struct("token", "nth"), "title", "section_title", position="token", width=1 << 16)

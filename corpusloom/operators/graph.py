@@ -55,6 +55,8 @@ AIRCRAFT = [
     (r"(?i)\bFalcon\s*(\d{3,4}[A-Z]?)\b", "Falcon-{1}"),
     (r"\bC-([A-Z]{4})\b", "C-{1}"),
 ]
+# Beginnings of all patterns but the last, the registration.
+AIRCRAFT_BEGINNING = r"(?i)\b(?:DHC|Q\s*[1-4]00|Dash|CRJ|Canadair|Learjet|Challenger|CL[-\s]?6|Global|BD|Twin|Beaver|Single|ATR|ERJ|E[-\s]?1[79]|King\s|Beech|1900|PA[-\s]|Cessna|PC[-\s]?[12]|Gulfstream|Falcon)"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -81,7 +83,10 @@ def aircraft(text: Column) -> Column:
         fixed, group, _ = form.partition("{1}")
         return F.transform(_all(text, pattern), lambda x: F.concat(F.lit(fixed), F.upper(x)) if group else F.lit(form))
 
-    return F.array_distinct(F.concat(*[ids(pattern, form) for pattern, form in AIRCRAFT]))
+    types = F.concat(*[ids(pattern, form) for pattern, form in AIRCRAFT[:-1]])
+    # one pass over word beginnings spares most texts the passes of all patterns
+    types = F.when(text.rlike(AIRCRAFT_BEGINNING), types).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(types, ids(*AIRCRAFT[-1])))
 
 
 def findings(text: Column) -> Column:
