@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import codepoints as cp
+from corpusloom.session import materialize
 
 PIECE = 1 << 19
 
@@ -134,6 +135,7 @@ def shared_characters(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     kind = records.schema["key"].dataType
     fields = lambda *more: T.StructType([T.StructField("key", kind), *(T.StructField(n, t) for n, t in more)])
     found = records.mapInArrow(_units_of(length, gram), fields(("lo", T.IntegerType()), ("hi", T.IntegerType()), ("anchor", T.LongType()), ("digest", T.LongType())))
+    found = materialize(found, "units")
     several = F.min("key") != F.max("key")
     digests = found.groupBy("anchor", "digest").agg(F.min("key").alias("lo_key"), F.max("key").alias("hi_key"))
     anchors = digests.groupBy("anchor").agg(F.min("lo_key").alias("a"), F.max("hi_key").alias("b"), F.count("*").alias("kinds")).where("a != b").select("anchor", "kinds")
@@ -143,6 +145,7 @@ def shared_characters(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     # a digest of several records stands for them by two, so that others can share a part of it
     edges = candidates.where("not whole or kinds > 1 and key in (lo_key, hi_key)").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     hashed = records.join(edges, "key").mapInArrow(_windows_of(length), fields(("lo", T.IntegerType()), ("window", T.LongType())))
+    hashed = materialize(hashed, "windows")
     shared = hashed.groupBy("window").agg(several.alias("several")).where("several").select("window")
     part = hashed.join(shared, "window").select("key", "lo", F.col("lo").alias("hi"))
     spans = whole.unionByName(part).select("key", F.col("lo").cast("long").alias("lo"), (F.col("hi") + length).cast("long").alias("hi"))
