@@ -21,9 +21,7 @@ def similar_rejections(queries: DataFrame, log: DataFrame, *, threshold: float =
     """Open rejections as near as ``threshold`` to each query (query_id, vector): (query_id, id, score, rank). ``k`` None
     gives all of them."""
     open_ = latest(log).where("resolved_at is null").select(F.col("id").alias("point_id"), F.col("query_emb").alias("vector"))
-    most = k or max(1, open_.count())
-    near = dense_topk(queries, open_, k=most).where(F.col("score") >= threshold)
-    return near.withColumnRenamed("point_id", "id")
+    return dense_topk(queries, open_, k=k, least=threshold).withColumnRenamed("point_id", "id")
 
 
 def exclusions(nearest: DataFrame, log: DataFrame) -> DataFrame:
@@ -87,3 +85,11 @@ def recent_queries(log: DataFrame, *, user: str = "user_id", query: str = "query
 def steps(trace: DataFrame, *, thread: str, order: str) -> DataFrame:
     """Checkpoints of a thread oldest first, numbered from 0."""
     return trace.withColumn("step", F.row_number().over(W.partitionBy(thread).orderBy(order)) - 1)
+
+
+def context_block(context: DataFrame) -> DataFrame:
+    """Graph facts of occurrences (id, direct_regs, acs, reg_guided_acs as lists) as lines of a prompt; an occurrence without facts
+    is named only."""
+    line = lambda name, label: F.when(F.size(name) > 0, F.concat(F.lit(f"\n  {label}: "), F.array_join(name, ", "))).otherwise("")
+    facts = F.concat(line("direct_regs", "cited regulations"), line("reg_guided_acs", "implementing regs guided by ACs"), line("acs", "referenced ACs"))
+    return context.select("id", F.when(facts == "", F.concat(F.lit("- Occurrence "), F.col("id"))).otherwise(F.concat(F.lit("Occurrence "), F.col("id"), F.lit(":"), facts)).alias("block"))

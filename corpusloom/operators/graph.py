@@ -222,3 +222,15 @@ def entity_counts(chunks: DataFrame) -> DataFrame:
     return rows
 
 
+
+
+def merged_findings(by_rule: Column, by_model: Column) -> Column:
+    """Findings of a model where it gave any, else those found by rule."""
+    return F.when(F.coalesce(F.size(by_model), F.lit(0)) > 0, by_model).otherwise(by_rule)
+
+
+def merged_recommendations(ids_by_rule: Column, by_model: Column) -> Column:
+    """Recommendations as array of (id, text): those of the model, and by rule the ids that it lacks, without text."""
+    own = F.coalesce(by_model, F.array().cast("array<struct<id: string, text: string>>"))
+    missing = F.array_except(ids_by_rule, F.transform(own, lambda r: r["id"]))
+    return F.concat(F.transform(missing, lambda i: F.struct(i.alias("id"), F.lit("").alias("text"))), own)

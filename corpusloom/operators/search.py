@@ -29,12 +29,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, *, k: int = 10, query: str = "query_id", point: str = "point_id", vector: str = "vector", decimals: int = 6, block_rows: int = 2048, within: str | None = None) -> DataFrame:
+def dense_topk(queries: DataFrame, points: DataFrame, *, k: int | None = 10, query: str = "query_id", point: str = "point_id", vector: str = "vector", decimals: int = 6, block_rows: int = 2048, within: str | None = None, least: float | None = None) -> DataFrame:
     """The ``k`` points of greatest cosine for each query, exact: (query, point, score, rank), ties by point.
 
     Queries and points are cut into blocks of about ``block_rows`` rows. Each pair of blocks is one matrix product of
     bounded size that keeps k rows a query, and the best of all blocks are ranked; nothing is sent whole to one task.
-    ``within`` names a column that query and point must share (a filter below the ranking). Rows whose vector is null are
+    ``within`` names a column that query and point must share (a filter below the ranking), ``least`` a score below which
+    points don't count; ``k`` None ranks all of them. Rows whose vector is null are
     in no result, and a vector of zeros has the score 0.
     """
     cols = lambda df, key: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(within).cast("string") if within else F.lit("")).alias("w"))
@@ -55,6 +56,8 @@ def dense_topk(queries: DataFrame, points: DataFrame, *, k: int = 10, query: str
                 score = np.round(qv @ pv.T, decimals) + 0.0
                 if within:
                     score[np.array([r["w"] for r in q])[:, None] != np.array([r["w"] for r in p])[None, :]] = -np.inf
+                if least is not None:
+                    score[score < least] = -np.inf
                 ids = np.array([r["id"] for r in p])
                 order = np.argsort(ids, kind="stable")
                 score, ids = score[:, order], ids[order]
@@ -163,4 +166,4 @@ def stratified_sample(df: DataFrame, *, most: int, stratum: str, key: str, seed:
     order = W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     # at most ``most`` rows of a stratum are needed, so tasks keep no more of it before the shuffle
     first = df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
-    return first.join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("__s"))).where(F.col("__n") <= F.col("take")).drop("__n", "__s", "take")
+    return first.join(size, F.col(stratum).eqNullSafe(F.col("__s"))).where(F.col("__n") <= F.col("take")).drop("__n", "__s", "take")

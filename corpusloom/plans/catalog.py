@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusloom.plans import evaluation_queries, graph_queries, lake_queries, retrieval_queries, stream_queries  # noqa: F401
+from corpusloom.plans import evaluation_queries, graph_queries, lake_queries, region_queries, retrieval_queries, stream_queries  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL
 
 

@@ -227,3 +227,35 @@ def test_sample_and_parity(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "query_id int, doc_id string")
     b = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y")], "query_id int, doc_id string")
     assert [tuple(r) for r in search.parity(a, b).collect()] == [(1, 3, 3, 2)]
+
+
+def test_regions(spark):
+    from corpusloom.operators import regions
+
+    text = "Fuel  pump near\nfuel pump. The Pump"
+    chars = [(c, float(i), float(i + 1), 0.0 if i < 16 else 20.0, 10.0 if i < 16 else 30.0, 12.0, 1) for i, c in enumerate(text)]
+    pages = spark.createDataFrame([("d", 1, text, chars), ("d", 2, None, None)], "doc_id string, page int, text string, chars array<struct<text string, x0 double, x1 double, top double, bottom double, size double, page int>>")
+    terms = spark.createDataFrame([("fuel pump",), (" ",), (None,), ("near fuel",)], "term string")
+    hits = regions.term_hits(pages, terms, ["doc_id"])
+    assert {(r["term"], r["lo"], r["hi"]) for r in hits.collect()} == {("fuel pump", 0, 10), ("fuel pump", 16, 25), ("near fuel", 11, 20)}
+    boxes = regions.line_boxes(hits, pages, ["doc_id"])
+    assert {(r["term"], r["x0"], r["x1"], r["top"]) for r in boxes.collect()} == {("fuel pump", 0.0, 10.0, 0.0), ("fuel pump", 16.0, 25.0, 20.0), ("near fuel", 11.0, 16.0, 0.0), ("near fuel", 16.0, 20.0, 20.0)}
+    assert regions.line_boxes(hits, pages, ["doc_id"], most=2).count() == 2
+    q = spark.createDataFrame([("a b, c d e f g h i END", "zz b c d e f g h i end"), ("x", ""), (None, "x")], "t string, q string")
+    got = [r[0] for r in q.select(regions.quote_hit(F.col("t"), F.col("q"))).collect()]
+    assert (got[0]["lo"], got[0]["hi"]) == (5, 22) and got[1] is None and got[2] is None
+    b = spark.createDataFrame([("d", 0.0, 0.0, 10.0, 10.0), ("d", 11.0, 0.0, 20.0, 10.0), ("d", 21.5, 5.0, 30.0, 8.0), ("d", 100.0, 0.0, 110.0, 5.0), ("d", None, 0.0, 1.0, 1.0)], "k string, x0 double, top double, x1 double, bottom double")
+    assert {tuple(r)[1:] for r in regions.merge_touching(b, ["k"]).collect()} == {(0.0, 0.0, 30.0, 10.0), (100.0, 0.0, 110.0, 5.0)}
+    p = spark.createDataFrame([(1, "The pump was found broken near the hill. It was a bright day for all.", "They say the pump was found broken near a hill."), (2, None, "x")], "k int, a string, b string")
+    got = regions.best_sentence(p, key="k", passage="a", draft="b").collect()
+    assert [(r["k"], r["sentence"]) for r in got] == [(1, "The pump was found broken near the hill.")]
+    box = spark.range(1).select(F.array(F.lit(36.0), F.lit(-5.0), F.lit(72.0), F.lit(900.0)).alias("b"))
+    assert box.select(regions.pixels(F.col("b"), dpi=144, width=100, height=1000)).collect()[0][0] == [72, 0, 100, 1000]
+
+
+def test_model_extractions_merge(spark):
+    df = spark.createDataFrame([(["A01-01", "A02-02"], [("A02-02", "text"), (None, "more")]), (["A01-01"], None)], "ids array<string>, m array<struct<id string, text string>>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(graph.merged_recommendations(F.col("ids"), F.col("m"))).collect()]
+    assert got == [[("A01-01", ""), ("A02-02", "text"), (None, "more")], [("A01-01", "")]]
+    ctx = spark.createDataFrame([("a", ["r1"], ["x"], []), ("b", [], [], [])], "id string, direct_regs array<string>, acs array<string>, reg_guided_acs array<string>")
+    assert {r["block"] for r in feedback.context_block(ctx).collect()} == {"Occurrence a:\n  cited regulations: r1\n  referenced ACs: x", "- Occurrence b"}
