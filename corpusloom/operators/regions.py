@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -15,20 +16,23 @@ from corpusloom.operators.evaluation import sequence_ratio
 
 def term_hits(pages: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Every hit of every term (column ``term``) in the pages' texts, case and white space apart: keys, page, term, hit, lo,
-    hi. Blank terms have none. The terms of a page are looked for one after the other; their number should be small."""
-    hit = "array<struct<hit: int, lo: int, hi: int>>"
-
-    @F.udf(hit)
-    def find(text, term):
-        words = (term or "").split()
-        if not words or not text:
-            return []
-        pattern = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE)
-        return [(n, m.start(), m.end()) for n, m in enumerate(pattern.finditer(text))]
-
-    both = pages.select(*keys, "page", "text").join(terms.select("term").where("trim(term) <> ''").distinct())
-    some = both.where(F.contains(F.lower("text"), F.split_part(F.lower(F.trim("term")), F.lit(" "), F.lit(1))))
-    return some.select(*keys, "page", "term", F.explode(find("text", "term")).alias("h")).select(*keys, "page", "term", "h.*")
+    hi. Blank terms have none. The list of terms goes to every task and is walked for each page, so it should be short."""
+
+    @F.udf("array<struct<term: string, hit: int, lo: int, hi: int>>", useArrow=True)
+    def find(text, wanted):
+        out = []
+        for term, pattern in _patterns(tuple(wanted)):
+            out += [(term, n, m.start(), m.end()) for n, m in enumerate(pattern.finditer(text))]
+        return out
+
+    all_terms = terms.where("trim(term) <> ''").agg(F.array_sort(F.collect_set("term")).alias("wanted"))  # one row
+    some = pages.where(F.length("text") > 0).select(*keys, "page", "text").crossJoin(F.broadcast(all_terms))
+    return some.select(*keys, "page", F.explode(find("text", "wanted")).alias("h")).select(*keys, "page", "h.*")
+
+
+@functools.lru_cache(maxsize=4)
+def _patterns(terms: tuple[str, ...]) -> list[tuple[str, re.Pattern]]:
+    return [(t, re.compile(r"\s+".join(map(re.escape, t.split())), re.IGNORECASE)) for t in terms]
 
 
 def quote_hit(text: Column, quote: Column, *, probe: int = 8) -> Column:
