@@ -187,18 +187,35 @@ def with_confusion(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("read", F.reverse(F.expr("substring(a, behind + 1)"))).withColumn("meant", F.reverse(F.expr("substring(b, behind + 1)"))).drop("a", "b")
 
 
+def _weighed(pairs: DataFrame, confusions: DataFrame) -> DataFrame:
+    """Adds how often the letters of a candidate are confused (``times``) and its share among its rivals (``share``)."""
+    pairs = pairs.join(confusions, ["read", "meant"], "left").withColumn("times", F.coalesce("times", F.lit(0.0)))
+    rivals = pairs.groupBy("wrong").agg(F.sum("times").alias("all_times"))
+    return pairs.join(rivals, "wrong").withColumn("share", F.when(F.col("all_times") > 0, F.col("times") / F.nullif(F.col("all_times"), F.lit(0.0))).otherwise(F.lit(0.0))).drop("all_times")
+
+
+def confused_letters(pairs: DataFrame, *, least_times: float, rounds: int = 3) -> DataFrame:
+    """(read, meant, times): how often letters are confused over all pages. Each unknown word counts once for all its
+    candidates together, at first in equal parts, then by what was found the round before."""
+    among = pairs.groupBy("wrong").agg(F.count("*").alias("rivals"))
+    parts = pairs.join(among, "wrong").withColumn("part", F.col("n_wrong") / F.col("rivals"))
+    for n in range(rounds):
+        found = parts.groupBy("read", "meant").agg(F.sum("part").alias("times"), F.countDistinct("word").alias("words"))
+        found = materialize(found.where((F.col("times") >= least_times) & (F.col("words") >= 2)).select("read", "meant", "times"), f"confusions-{n}")
+        parts = _weighed(pairs, found).withColumn("part", F.col("n_wrong") * F.col("share"))
+    return found
+
+
 def _features(pairs: DataFrame, confusions: DataFrame) -> DataFrame:
     most = F.greatest(F.length("wrong"), F.length("word"))
-    pairs = pairs.join(confusions, ["read", "meant"], "left")
-    return pairs.withColumn("features", array_to_vector(F.array(*[c.cast("double") for c in (F.col("edits"), F.col("shared") / (most + 1), F.log1p(F.coalesce("times", F.lit(0.0))), F.log1p("n"), F.length("word"), (F.col("ahead") > 0), (F.col("behind") > 0), F.length("read"), F.length("meant"))])))
+    pairs = _weighed(pairs, confusions)
+    return pairs.withColumn("features", array_to_vector(F.array(*[c.cast("double") for c in (F.col("share"), F.col("edits"), F.col("shared") / (most + 1), F.log1p("times"), F.log1p("n"), F.length("word"), (F.col("ahead") > 0), (F.col("behind") > 0), F.length("read"), F.length("meant"))])))
 
 
 def corrections(unknown: DataFrame, known: DataFrame, *, training_words: int = 3000, least_times: float = 3.0) -> DataFrame:
     """(wrong, word): the best candidate of each unknown word (wrong, n_wrong), where the ranking accepts one."""
     pairs = materialize(with_confusion(candidates(unknown, known)), "candidates")
-    among = pairs.groupBy("wrong").agg(F.count("*").alias("rivals"))
-    confusions = pairs.join(among, "wrong").groupBy("read", "meant").agg(F.sum(F.col("n_wrong") / F.col("rivals")).alias("times"), F.countDistinct("word").alias("words"))
-    confusions = materialize(confusions.where((F.col("times") >= least_times) & (F.col("words") >= 2)).select("read", "meant", "times"), "confusions")
+    confusions = confused_letters(pairs, least_times=least_times)
     # training pairs: vocabulary words spoilt by the confusions found, against their other candidates
     clean = known.where(F.length("word") >= 4).orderBy(F.xxhash64("word")).limit(training_words).select(F.col("word").alias("truth"))
     most = confusions.orderBy(F.desc("times"), "read", "meant").limit(60)
@@ -215,7 +232,7 @@ def corrections(unknown: DataFrame, known: DataFrame, *, training_words: int = 3
     else:
         scored = scored.withColumn("score", F.when(F.col("edits") == 1, 0.6).otherwise(0.4))
     best = scored.groupBy("wrong").agg(F.max_by("word", F.struct("score", "times", "n", "word")).alias("word"), F.max("score").alias("score"), F.max_by("times", F.struct("score", "times", "n", "word")).alias("times"))
-    return best.where((F.col("score") >= 0.5) & F.col("times").isNotNull()).select("wrong", "word")
+    return best.where((F.col("score") >= 0.5) & (F.col("times") > 0)).select("wrong", "word")
 
 
 def _as_number(word: Column) -> Column:
