@@ -121,11 +121,11 @@ def _presence(points, start, end) -> np.ndarray:
     return out / np.sqrt(np.maximum(1, np.diff(offsets)))[:, None].astype(np.float32)
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 240, most_sentences: int = 900, ridge: float = 0.3) -> LanguageModel:
-    """Fits the model on a bounded sample: of each language the ``per_language`` texts of least hash, and of those at
-    most ``most_sentences`` sentences. Sentences that the first fit puts elsewhere (wrong labels, other languages
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 400, most_chars: int = 50_000, landmarks: int = 240, most_sentences: int = 900, ridge: float = 0.3) -> LanguageModel:
+    """Fits the model on a bounded sample: of each language the ``per_language`` texts of least hash that have
+    40 to ``most_chars`` characters, and of those at most ``most_sentences`` sentences. Sentences that the first fit puts elsewhere (wrong labels, other languages
     inside a text) are left out of the second."""
-    rows = labelled.select(known_label(F.col(label)).alias("lang"), F.col(text).alias("text")).where("lang is not null and length(text) > 40")
+    rows = labelled.select(known_label(F.col(label)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.length("text").between(40, most_chars))
     rows = rows.withColumn("h", F.xxhash64("text"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
     sample = rows.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text").orderBy("lang", "h").toPandas()

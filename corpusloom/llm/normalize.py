@@ -228,6 +228,15 @@ def usual_form(column: Column | str) -> Column:
     return _usual_form(column)
 
 
+@F.arrow_udf(T.StringType())
+def _usual_form_once(column: pa.Array) -> pa.Array:
+    return normalize_array(column)
+
+
+# so declared, a filter on the result does not compute it a second time
+_usual_form_once = _usual_form_once.asNondeterministic()
+
+
 def form_hash(column: Column) -> Column:
     """SHA-256 of a text with each run of white space made one space, ends stripped, in lower case."""
     return F.sha2(F.lower(F.trim(F.regexp_replace(column, r"(?U)\s+", " "))), 256)
@@ -246,5 +255,5 @@ def changed_fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"`{c}`").cast("string").alias("stored")) for c in columns]))
     rows = df.select(F.col(f"`{key}`").alias(key), fields.alias("f")).select(key, "f.*")
     # plain ASCII is always in its usual form, so it never crosses to Python
-    rows = rows.where(F.col("stored").rlike(r"[^\x00-\x7F]")).withColumn("form", usual_form("stored"))
+    rows = rows.where(F.col("stored").rlike(r"[^\x00-\x7F]")).withColumn("form", _usual_form_once("stored"))
     return rows.where(F.col("form") != F.col("stored")).select(key, "field_name", form_hash(F.col("form")).alias("form_hash"))
