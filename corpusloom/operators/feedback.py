@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.running import before_sum
 from corpusloom.operators.search import dense_topk, ranked
 
 
@@ -83,8 +84,9 @@ def recent_queries(log: DataFrame, *, user: str = "user_id", query: str = "query
 
 
 def steps(trace: DataFrame, *, thread: str, order: str) -> DataFrame:
-    """Checkpoints of a thread oldest first, numbered from 0."""
-    return trace.withColumn("step", F.row_number().over(W.partitionBy(thread).orderBy(order)) - 1)
+    """Checkpoints of a thread oldest first, numbered from 0; ``order`` is a whole number. A long thread is numbered in
+    buckets, not in one task."""
+    return before_sum(trace.withColumn("__one", F.lit(1)), [thread], order, "__one", "step").drop("__one")
 
 
 def context_block(context: DataFrame) -> DataFrame:

@@ -127,7 +127,8 @@ def within_budget(df: DataFrame, *, budget: int, key: str = "query_id", text: st
 def anchored(seeds: DataFrame, chunks: DataFrame, queries: DataFrame, *, top_docs: int = 3, budget: int = 24000, excluded: DataFrame | None = None, same_language: bool = True) -> DataFrame:
     """All chunks of the first documents of each seed ranking (query_id, doc_id, lang, rank), reranked against the query
     (query_id, query), cut by the character budget, in reading order. ``excluded`` holds (query_id, chunk_hash) that are
-    left out; ``same_language`` keeps the language of the best seed."""
+    left out; ``same_language`` keeps the language of the best seed. Empty texts are
+    left out."""
     docs = top_documents(seeds, n=top_docs)
     pool = chunks.join(docs.select("query_id", "doc_id"), "doc_id").join(queries.select("query_id", "query"), "query_id")
     if excluded is not None:
@@ -136,7 +137,8 @@ def anchored(seeds: DataFrame, chunks: DataFrame, queries: DataFrame, *, top_doc
         first = seeds.where("rank = 1").select("query_id", F.col("lang").alias("seed_lang"))
         pool = pool.join(first, "query_id").where(F.col("lang").eqNullSafe(F.col("seed_lang"))).drop("seed_lang")
     scored = pool.withColumn("rerank_score", F.round(overlap_score(F.col("query"), F.col("text")), 9))
-    scored = ranked(scored, "query_id", [F.desc("rerank_score"), F.col("chunk_id")])
+    # a text has a character at least, so no more than ``budget`` rows can fit: tasks keep no more before the shuffle
+    scored = ranked(scored.where(F.length("text") > 0), "query_id", [F.desc("rerank_score"), F.col("chunk_id")], budget + 1)
     kept = within_budget(scored, budget=budget)
     order = W.partitionBy("query_id").orderBy("doc_id", F.coalesce("page", F.lit(0)), "rank")
     return kept.withColumn("reading_no", F.row_number().over(order).cast("long"))

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.running import before_sum
 from corpusloom.session import checkpoint_root
 
 
@@ -67,11 +68,8 @@ def sessions(events: DataFrame, *, time: str = "ts", key: str = "user_id", idle:
 def frames(lines: DataFrame, *, stream: str = "stream_id", order: str = "seq", line: str = "line") -> DataFrame:
     """Event frames out of the lines of event streams: a blank line ends a frame, its data lines are joined; frames without
     event or data, with broken JSON, or not ended are dropped. (stream, frame, event, data)."""
-    from pyspark.sql import Window as W
-
     blank = F.trim(F.coalesce(line, F.lit(""))) == ""
-    before = F.sum(blank.cast("int")).over(W.partitionBy(stream).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    rows = lines.withColumn("frame", F.coalesce(before, F.lit(0))).withColumn("blank", blank)
+    rows = before_sum(lines.withColumn("blank", blank).withColumn("__n", blank.cast("int")), [stream], order, "__n", "frame").drop("__n")
     part = lambda name: F.when(F.col(line).startswith(f"{name}:"), F.regexp_replace(F.col(line), f"^{name}: ?", ""))
     data = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part("data").isNotNull(), F.struct(F.col(order).alias("o"), part("data").alias("d"))))), lambda x: x["d"]), "\n")
     out = rows.groupBy(stream, "frame").agg(F.max_by(part("event"), F.when(part("event").isNotNull(), F.col(order))).alias("event"), data.alias("data"), F.bool_or("blank").alias("ended"))
