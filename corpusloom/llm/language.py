@@ -117,8 +117,9 @@ class LanguageModel:
 def _presence(points, start, end) -> np.ndarray:
     buckets, offsets, _ = grams(points, start, end)
     out = np.zeros((len(start), BUCKETS), np.float32)
-    out[np.repeat(np.arange(len(start)), np.diff(offsets)), buckets] = 1
-    return out / np.sqrt(np.maximum(1, np.diff(offsets)))[:, None].astype(np.float32)
+    size = np.diff(offsets)
+    out[np.repeat(np.arange(len(start)), size), buckets] = np.repeat(1 / np.sqrt(np.maximum(1, size)), size)
+    return out
 
 
 def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 400, most_chars: int = 50_000, landmarks: int = 240, most_sentences: int = 900, ridge: float = 0.3) -> LanguageModel:
@@ -153,6 +154,7 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "lang", per_lan
         w = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(languages) * np.eye(z.shape[1]), z.T @ (target * weight[:, None]))
         weights = marks.T.astype(np.float64) @ (root @ w)
         ok = (x @ weights.astype(np.float32)).argmax(axis=1) == of
+        del x
         start, end, of = start[ok], end[ok], of[ok]
     return LanguageModel(languages, weights)
 
