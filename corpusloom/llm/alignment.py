@@ -2,9 +2,9 @@
 
 1. Each chunk is split into sentences and put to the version of its main language; a sentence keeps its length and
    its marks: numbers, codes and names, which translations share.
-2. A document has two versions where its second language has a fair share of its chunks and both begin on the same page
-   (stretches in another language inside one version begin anywhere). Versions are cut into
-   blocks of neighbouring chunks at the same relative place (short documents are one block), so that no task holds
+2. Every document with a second language is aligned, however few its chunks and wherever they stand; the alignment tells
+   whether it is a second version: one of which more than half of the sentences have a rendering by marks or words (stretches in
+   another language inside one version have none). Versions are cut into blocks of neighbouring chunks at the same relative place (short documents are one block), so that no task holds
    more than a few hundred chunks whatever the size of a document; the second version's chunks go to the neighbour
    blocks too.
 3. Within a block the best path over one-to-one, omission, merge and split beads is found. The price of a bead is
@@ -39,6 +39,7 @@ from corpusloom.session import materialize
 ONE, OMIT, MERGE = 0.1, 3.0, 1.6
 VARIANCE = 6.8
 WORDS = 3.5  # price of a sentence without marks whose known words are not rendered; as much is gained where they are
+RENDERED = 0.5  # of the shorter version's sentences more have a sure rendering, else there are no two versions
 MOVED = 0.65  # least share of a moved sentence's marks
 SCALE = 4  # weights of marks are whole numbers of quarters
 
@@ -280,9 +281,9 @@ def cut_long(side, block, mark_of, mark, weight, *, most: int = 600):
     return source, side[source], new, np.repeat(np.arange(len(source)), size), mark[at], weight[at], np.repeat(np.arange(blocks), parts)
 
 
-def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_of: np.ndarray, mark: np.ndarray, weight: np.ndarray, ratio: np.ndarray, *, lex_of: np.ndarray | None = None, lex: np.ndarray | None = None, lexicon: Lexicon | None = None, cells: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_of: np.ndarray, mark: np.ndarray, weight: np.ndarray, ratio: np.ndarray, *, lex_of: np.ndarray | None = None, lex: np.ndarray | None = None, lexicon: Lexicon | None = None, cells: int = 400_000, sure: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (sentence of side 0, sentence of side 1) of sentences sorted by block, side and order. ``ratio`` is the
-    expected length of side 1 for one character of side 0, by block."""
+    expected length of side 1 for one character of side 0, by block. ``sure`` takes whether marks or words confirm a pair."""
     blocks = len(ratio)
     n = np.bincount(block[side == 0], minlength=blocks)
     m = np.bincount(block[side == 1], minlength=blocks)
@@ -376,6 +377,9 @@ def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_o
             mutual = price.argmin(axis=1)[d5, j5] == i5
             d3, i3, j3 = (np.concatenate(x) for x in ((d3, d5[mutual]), (i3, i5[mutual]), (j3, j5[mutual])))
         d2, i2, j2 = np.concatenate((d2, d3, d4)), np.concatenate((i2, i3, i4)), np.concatenate((j2, j3, j4))
+        if sure is not None:
+            confirmed = common[d2, i2, j2] > 0
+            sure.append(confirmed if words is None else confirmed | (words[d2, i2, j2] < -0.2 * WORDS))
         firsts.append(begin[group[d2]] + i2)
         seconds.append(begin[group[d2]] + n[group[d2]] + j2)
     none = np.zeros(0, np.int64)
@@ -407,10 +411,12 @@ def _aligned(lexicon, learn: bool = False):
             old_side, old_block = side, block
             source, side, block, mark_of, mark, weight, of = cut_long(old_side, old_block, mark_of, mark, weight)
             _, _, _, cut_lex_of, cut_lex, _, _ = cut_long(old_side, old_block, lex_of, lex, lex)
-            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon.value if lexicon else None)
+            sure = []
+            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon.value if lexicon else None, sure=sure)
             if not learn:
+                docs = batch.column("doc").take(pa.array(of[block[i]]))
                 i, j = source[i], source[j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(numbers[i], pa.int32()), pa.array(ids[j], pa.int64()), pa.array(numbers[j], pa.int32())], ["id_1", "no_1", "id_2", "no_2"])
+                yield pa.RecordBatch.from_arrays([docs, pa.array(ids[i], pa.int64()), pa.array(numbers[i], pa.int32()), pa.array(ids[j], pa.int64()), pa.array(numbers[j], pa.int32()), pa.array(np.concatenate(sure or [np.zeros(0, bool)]))], ["doc", "id_1", "no_1", "id_2", "no_2", "sure"])
                 continue
             bare = np.bincount(mark_of, minlength=len(source)) == 0
             keep = bare[i] & bare[j]
@@ -439,7 +445,7 @@ def _tally(side: int, words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.stack((np.full(len(pair), side), low(pair >> np.uint64(32)), low(pair & np.uint64(0xFFFFFFFF)), n), axis=1).astype(np.int64)
 
 
-def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", min_share: float = 0.1, block_chunks: int = 64, fit_blocks: int = 3000, most_words: int = 200_000) -> DataFrame:
+def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", block_chunks: int = 64, fit_blocks: int = 3000, most_words: int = 200_000) -> DataFrame:
     """Pairs of sentences of one document in different languages of which one renders the other (see the module). The lexicon is fitted on about ``fit_blocks``
     documents, chosen by hash, and has ``most_words`` entries at most."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("text"), F.col(kind).alias("kind"))
@@ -464,13 +470,15 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
 
     # versions: the two main languages of a document
     chars = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    versions = chunks.groupBy("doc", "lang").agg(F.count("*").alias("chunks"), F.sum(chars).alias("chars"), F.min("page").alias("first_page"))
-    versions = versions.groupBy("doc").agg(F.sum("chunks").alias("all"), F.slice(F.sort_array(F.collect_list(F.struct("chunks", "chars", "lang", "first_page")), asc=False), 1, 2).alias("v"))
-    versions = versions.where((F.size("v") == 2) & (F.col("v")[1]["chunks"] >= F.lit(min_share) * F.col("all")) & F.col("v")[0]["first_page"].eqNullSafe(F.col("v")[1]["first_page"]))
+    versions = chunks.groupBy("doc", "lang").agg(F.count("*").alias("chunks"), F.sum(chars).alias("chars"), F.sum(F.size("numbers")).alias("sents"))
+    versions = versions.where("sents > 0").groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(F.struct("chunks", "chars", "lang", "sents")), asc=False), 1, 2).alias("v"))
+    versions = versions.where(F.size("v") == 2)
     first, second = (F.when(F.col("v")[0]["lang"] < F.col("v")[1]["lang"], F.col("v")[i]).otherwise(F.col("v")[1 - i]) for i in (0, 1))
     versions = versions.select("doc", F.ceil(F.col("v")[0]["chunks"] / block_chunks).alias("blocks"), first.alias("a"), second.alias("b"))
     versions = materialize(versions, "versions")
-    ratios = versions.groupBy(F.col("a.lang").alias("la"), F.col("b.lang").alias("lb")).agg((F.sum("b.chars") / F.sum("a.chars")).alias("ratio"))
+    # the nearer two versions are in length, the more they say about the ratio of the languages
+    even = F.pow(F.least("a.chunks", "b.chunks") / F.greatest("a.chunks", "b.chunks"), 2)
+    ratios = versions.groupBy(F.col("a.lang").alias("la"), F.col("b.lang").alias("lb")).agg((F.sum(F.col("b.chars") * even) / F.sum(F.col("a.chars") * even)).alias("ratio"))
     versions = versions.join(F.broadcast(ratios), (F.col("a.lang") == F.col("la")) & (F.col("b.lang") == F.col("lb"))).drop("la", "lb")
 
     placed = chunks.join(versions, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1))
@@ -496,7 +504,13 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     dice = dice.withColumn("value", 2 * F.col("n") / (F.col("n1") + F.col("n2"))).where("n >= 3 and value >= 0.25")
     learnt = dice.orderBy(F.desc("n"), F.desc("value"), "word", "other").limit(most_words).select("word", "other", "value").toPandas()
     lexicon = df.sparkSession.sparkContext.broadcast(Lexicon(learnt["word"].to_numpy(np.int32), learnt["other"].to_numpy(np.int32), learnt["value"].to_numpy(np.float64)))
-    found = blocks.select("ratio", "chunks").mapInArrow(_aligned(lexicon), "id_1 long, no_1 int, id_2 long, no_2 int")
+    found = blocks.mapInArrow(_aligned(lexicon), "doc string, id_1 long, no_1 int, id_2 long, no_2 int, sure boolean")
+    found = materialize(found, "found")
+    confirmed = found.where("sure").select("doc", F.posexplode(F.array(F.struct(F.col("id_1").alias("id"), F.col("no_1").alias("no")), F.struct(F.col("id_2").alias("id"), F.col("no_2").alias("no")))).alias("side", "sent")).distinct()
+    confirmed = confirmed.groupBy("doc").agg(F.count_if(F.col("side") == 0).alias("sure_a"), F.count_if(F.col("side") == 1).alias("sure_b"))
+    rendered = F.when(F.col("a.sents") <= F.col("b.sents"), F.col("sure_a") / F.col("a.sents")).otherwise(F.col("sure_b") / F.col("b.sents"))
+    two = versions.join(confirmed, "doc").where(rendered > RENDERED).select("doc")
+    found = found.join(two, "doc", "left_semi").drop("doc", "sure")
     for side in ("1", "2"):
         twin = again.select(F.col("id").alias(f"id_{side}"), F.col("copy").alias(f"copy_{side}"))
         found = found.join(twin, f"id_{side}", "left").withColumn(f"id_{side}", F.coalesce(f"copy_{side}", f"id_{side}"))

@@ -237,6 +237,23 @@ def test_alignment_finds_the_pairs(spark, model):
     assert alignment.align(df.limit(0), model).count() == 0
 
 
+def test_versions_need_no_common_first_page(spark, model):
+    rng = random.Random(14)
+    rows, want = bilingual(rng, "x/late", 10_000, 40)
+    gone = {r[0] for r in rows if r[4] == "fr" and r[3] == 1}
+    rows, want = [r for r in rows if r[0] not in gone], {p for p in want if p[2] not in gone}
+    short, _ = bilingual(rng, "x/other", 20_000, 40)
+    rows += [r for r in short if r[4] == "en"] + [(29_000, "x/other", " ".join(sentence(rng, "fr") for _ in range(4)), 1, "fr")]
+    # one chunk of the second version only: the first 4 sentences of 60 are rendered
+    part, pairs = bilingual(rng, "x/part", 30_000, 60)
+    rows += [r for r in part if r[4] == "en" or r[0] == 31_000]
+    want |= {p for p in pairs if p[2] == 31_000}
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id string, text string, page int, lang string").withColumn("kind", F.lit("text"))
+    got = {tuple(r) for r in alignment.align(df, model).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    assert not any(20_000 <= r[0] < 30_000 for r in got) and any(r[2] == 31_000 for r in got)
+
+
 def test_long_blocks_are_cut():
     import numpy as np
 
