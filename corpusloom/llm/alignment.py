@@ -4,9 +4,10 @@
    its marks: numbers, codes and names, which translations share.
 2. Every document with a second language is aligned, however few its chunks and wherever they stand; the alignment tells
    whether it is a second version: one of which more than half of the sentences have a rendering by marks or words (stretches in
-   another language inside one version have none). Versions are cut into blocks of neighbouring chunks at the same relative place (short documents are one block), so that no task holds
-   more than a few hundred chunks whatever the size of a document; the second version's chunks go to the neighbour
-   blocks too.
+   another language inside one version have none). The first version is cut into blocks of
+   neighbouring chunks (short documents are one block), so that no task holds more than a few hundred chunks whatever
+   the size of a document; the second version's chunks go where marks that each version has once put them, and to the
+   neighbour blocks, so that parts left out of a version shift nothing.
 3. Within a block the best path over one-to-one, omission, merge and split beads is found. The price of a bead is
    the negative log-probability of its length ratio (a normal distribution around the ratio of the two languages,
    measured over all bilingual documents), of its kind, and of the marks that its sides share or lack.
@@ -23,13 +24,15 @@ first, each row once. Null, empty and blank texts have no sentences; rows withou
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.running import before_sum
+from corpusloom.functions.running import before_sum, last_known
 from corpusloom.llm import codepoints as cp
 from corpusloom.llm import sentences
 from corpusloom.llm.language import LanguageModel, chain
@@ -255,30 +258,87 @@ def _path(l1, l2, w1, w2, common, n, m, ratio, words=None):
     return (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
+def _anchors(side: np.ndarray, local: np.ndarray, owner: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (side 0, side 1) of the marks, and of neighbouring marks together, that each side has once."""
+    h = mark.view(np.uint32).astype(np.uint64)
+    same = owner[1:] == owner[:-1]
+    key = np.concatenate((cp.mix(h + np.uint64(1)), cp.mix(h[:-1] * np.uint64(7) + h[1:] + np.uint64(1 << 40))[same]))
+    owner = np.concatenate((owner, owner[1:][same]))
+    once = []
+    for s in (0, 1):
+        mine = np.flatnonzero(side[owner] == s)
+        keys, at, n = np.unique(key[mine], return_index=True, return_counts=True)
+        once.append((keys[n == 1], local[owner[mine[at[n == 1]]]]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    pairs = np.unique(np.stack((once[0][1][i], once[1][1][j]), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _rising(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs form a longest chain that rises on both sides."""
+    order = np.lexsort((-j, i))
+    ends, at, before = [], [], np.full(len(i), -1)
+    for x in order.tolist():
+        k = bisect.bisect_left(ends, j[x])
+        before[x] = at[k - 1] if k else -1
+        ends[k : k + 1], at[k : k + 1] = [j[x]], [x]
+    chain, x = [], at[-1] if at else -1
+    while x >= 0:
+        chain.append(x)
+        x = before[x]
+    return np.array(chain[::-1], np.int64)
+
+
+def held_by(source: np.ndarray, of: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the sentences ``source`` hold, where ``values`` belong to the sentences ``of``: new owners and values."""
+    lo, hi = np.searchsorted(of, source), np.searchsorted(of, source, side="right")
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.repeat(np.arange(len(source)), size), *(v[at] for v in values)
+
+
 def cut_long(side, block, mark_of, mark, weight, *, most: int = 600):
-    """Cuts blocks of more than ``most`` sentences on a side at the same relative places of both; sentences of side 1 go
-    to the neighbour parts too. Gives the source of each sentence, the new columns and the old block of each new one."""
+    """Cuts blocks of more than ``most`` sentences on a side into even parts of side 0. Sentences of side 1 go to the part
+    where the chain of marks that both sides have once puts them, in proportion between two such marks, and to its
+    neighbours; marks off the chain take their sentence to their own part too. Gives the source of each sentence, the
+    new columns and the old block of each new one."""
     blocks = int(block.max()) + 1 if len(block) else 0
     n = np.stack([np.bincount(block[side == s], minlength=blocks) for s in (0, 1)])
     parts = np.maximum(1, -(-n.max(axis=0) // most))
     if (parts == 1).all():
         return np.arange(len(block)), side, block, mark_of, mark, weight, np.arange(blocks)
-    first = np.concatenate(([0], np.cumsum(parts)))
     begin = np.searchsorted(block, np.arange(blocks))
     local = np.arange(len(block)) - begin[block] - np.where(side == 1, n[0][block], 0)
-    part = local * parts[block] // np.maximum(1, n[side, block])
+    part, extra = np.zeros(len(block), np.int64), []
+    for b in np.flatnonzero(parts > 1):
+        lo, mid, hi = begin[b], begin[b] + n[0, b], begin[b] + n[0, b] + n[1, b]
+        m = slice(np.searchsorted(mark_of, lo), np.searchsorted(mark_of, hi))
+        i, j = _anchors(side, local, mark_of[m], mark[m])
+        way = _rising(i, j)
+        place = np.interp(local[mid:hi], np.concatenate(([0], j[way], [n[1, b]])), np.concatenate(([0], i[way], [n[0, b]])))
+        while True:  # a stretch of side 1 without counterpart may crowd into one part: smaller parts of side 0
+            per = parts[b] / max(1, n[0, b])
+            part[lo:mid] = local[lo:mid] * parts[b] // max(1, n[0, b])
+            part[mid:hi] = np.minimum((place * per).astype(np.int64), parts[b] - 1)
+            crowd = np.bincount(part[lo:mid], minlength=parts[b]).max(initial=0) * 3 * np.bincount(part[mid:hi], minlength=parts[b]).max(initial=0)
+            if crowd <= 6 * most * most or parts[b] >= n[0, b]:
+                break
+            parts[b] *= 2
+        far = np.flatnonzero(np.abs(part[lo + i] - part[mid + j]) > 1)
+        extra.append(np.unique(np.stack((mid + j[far], part[lo + i[far]]), axis=1), axis=0))
+    first = np.concatenate(([0], np.cumsum(parts)))
     source, new = [], []
     for step in (-1, 0, 1):
         go = (part + step >= 0) & (part + step < parts[block]) & ((side == 1) | (step == 0))
         source.append(np.flatnonzero(go))
         new.append((first[block] + part + step)[go])
+    for x in extra:
+        source.append(x[:, 0])
+        new.append(first[block[x[:, 0]]] + x[:, 1])
     source, new = np.concatenate(source), np.concatenate(new)
     order = np.lexsort((source, side[source], new))
     source, new = source[order], new[order]
-    ends = np.searchsorted(mark_of, np.arange(len(block) + 1))
-    size = (ends[1:] - ends[:-1])[source]
-    at = np.repeat(ends[source] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return source, side[source], new, np.repeat(np.arange(len(source)), size), mark[at], weight[at], np.repeat(np.arange(blocks), parts)
+    return source, side[source], new, *held_by(source, mark_of, mark, weight), np.repeat(np.arange(blocks), parts)
 
 
 def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_of: np.ndarray, mark: np.ndarray, weight: np.ndarray, ratio: np.ndarray, *, lex_of: np.ndarray | None = None, lex: np.ndarray | None = None, lexicon: Lexicon | None = None, cells: int = 400_000, sure: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -408,9 +468,8 @@ def _aligned(lexicon, learn: bool = False):
             mark_of, lex_of = (np.repeat(np.arange(len(numbers)), flat(n)) for n in ("counts", "lex_counts"))
             mark, weight = flat("marks").astype(np.int32), flat("weights").astype(np.float64)
             lex = flat("lexemes").astype(np.int32)
-            old_side, old_block = side, block
-            source, side, block, mark_of, mark, weight, of = cut_long(old_side, old_block, mark_of, mark, weight)
-            _, _, _, cut_lex_of, cut_lex, _, _ = cut_long(old_side, old_block, lex_of, lex, lex)
+            source, side, block, mark_of, mark, weight, of = cut_long(side, block, mark_of, mark, weight)
+            cut_lex_of, cut_lex = held_by(source, lex_of, lex)
             sure = []
             i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon.value if lexicon else None, sure=sure)
             if not learn:
@@ -445,6 +504,34 @@ def _tally(side: int, words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.stack((np.full(len(pair), side), low(pair >> np.uint64(32)), low(pair & np.uint64(0xFFFFFFFF)), n), axis=1).astype(np.int64)
 
 
+def places(chunks: DataFrame) -> DataFrame:
+    """(id, places) of the chunks of long documents (doc, side, id, nth, marks, blocks, and the chunks n_a and n_b of the
+    versions): blocks of side 0 are even; a chunk of side 1 goes to the blocks of the marks that each version has once,
+    and to those next to where the anchored chunks before and after it stand and to the proportion between them. An
+    anchored chunk stands at the median of its marks. A document without such marks is cut in proportion."""
+    pairs = F.when(F.size("marks") > 1, F.zip_with(F.expr("slice(marks, 1, size(marks) - 1)"), F.expr("slice(marks, 2, size(marks) - 1)"), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+    keys = chunks.select("doc", "side", "nth", F.explode(F.concat(F.transform("marks", lambda x: x.cast("long")), pairs)).alias("key"))
+    at = lambda s: F.max(F.when(F.col("side") == s, F.col("nth")))
+    once = keys.groupBy("doc", "key").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"), at(0).alias("x"), at(1).alias("nth"))
+    once = once.where("n0 = 1 and n1 = 1").groupBy("doc", "nth").agg(F.collect_set("x").alias("own"), F.percentile_approx("x", 0.5).alias("x"))
+    second = chunks.where("side = 1").select("doc", "id", "nth", "blocks", "n_a", "n_b").join(once, ["doc", "nth"], "left")
+    second = materialize(second.withColumn("anchor", F.when(F.col("x").isNotNull(), F.struct("nth", "x"))), "anchors")
+    shifted = lambda df, by, name: df.select("doc", (F.col("nth") + by).alias("nth"), F.col(name))
+    before = last_known(second.select("doc", "nth", "anchor"), ["doc"], F.col("nth"), "anchor", "before", position="nth")
+    back = second.select("doc", "nth", "anchor", (-F.col("nth")).alias("from_end"))
+    after = last_known(back, ["doc"], F.col("from_end"), "anchor", "after", position="from_end")
+    second = second.join(shifted(before, 1, "before"), ["doc", "nth"], "left").join(shifted(after, -1, "after"), ["doc", "nth"], "left")
+    px, py = F.coalesce("before.x", F.lit(0)), F.coalesce("before.nth", F.lit(0))
+    nx, ny = F.coalesce("after.x", F.col("n_a")), F.coalesce("after.nth", F.col("n_b"))
+    between = px + (F.col("nth") - py) * (nx - px) / F.greatest(F.lit(1), ny - py)
+    block = lambda x: F.least(F.floor(x * F.col("blocks") / F.col("n_a")), F.col("blocks") - 1)
+    about = F.filter(F.array(block(F.col("before.x")), block(F.col("after.x")), block(F.col("x")), block(between)), lambda x: x.isNotNull())
+    near = F.flatten(F.transform(about, lambda b: F.array(b - 1, b, b + 1)))
+    own = F.transform(F.coalesce("own", F.array().cast("array<bigint>")), block)
+    second = second.select("id", F.filter(F.array_distinct(F.concat(near, own)), lambda b: (b >= 0) & (b < F.col("blocks"))).alias("places"))
+    return chunks.where("side = 0").select("id", F.array(block(F.col("nth"))).alias("places")).unionByName(second)
+
+
 def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", block_chunks: int = 64, fit_blocks: int = 3000, most_words: int = 200_000) -> DataFrame:
     """Pairs of sentences of one document in different languages of which one renders the other (see the module). The lexicon is fitted on about ``fit_blocks``
     documents, chosen by hash, and has ``most_words`` entries at most."""
@@ -483,12 +570,10 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
 
     placed = chunks.join(versions, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1))
     # the place of a chunk in its version matters in long documents only; counting runs in buckets of ids
-    long = chunks.join(versions.where("blocks > 1").select("doc"), "doc", "left_semi").select("doc", "lang", "id", F.lit(1).alias("one"))
-    places = before_sum(long, ["doc", "lang"], "id", "one", "nth").select("id", "nth")
-    own = F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))
-    placed = placed.join(places, "id", "left")
-    place = F.floor(F.coalesce("nth", F.lit(0)) * F.col("blocks") / own["chunks"])
-    near = F.when((F.col("side") == 0) | (F.col("blocks") == 1), F.array(place)).otherwise(F.array(place - 1, place, place + 1))
+    long = placed.where("blocks > 1").select("doc", "side", "id", "marks", "blocks", F.col("a.chunks").alias("n_a"), F.col("b.chunks").alias("n_b"), F.lit(1).alias("one"))
+    long = materialize(before_sum(long, ["doc", "side"], "id", "one", "nth"), "long")
+    placed = placed.join(places(long), "id", "left")
+    near = F.coalesce("places", F.array(F.lit(0).cast("long")))
     placed = placed.select("doc", "ratio", "side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes", F.explode(near).alias("block"))
     chunk = F.struct("side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes")
     blocks = placed.groupBy("doc", "block").agg(F.first("ratio").alias("ratio"), F.sort_array(F.collect_list(chunk)).alias("chunks"))

@@ -254,6 +254,38 @@ def test_versions_need_no_common_first_page(spark, model):
     assert not any(20_000 <= r[0] < 30_000 for r in got) and any(r[2] == 31_000 for r in got)
 
 
+def test_parts_left_out_shift_nothing(spark, model):
+    rng = random.Random(15)
+    rows, pairs = bilingual(rng, "x/cut", 10_000, 900)
+    # the second version lacks a third of the report, and holds a chunk of its end near its beginning
+    first_of = {}
+    for a, b, c, d in pairs:
+        first_of.setdefault(c, a)
+    gone = {c for c, a in first_of.items() if 10_040 <= a < 10_120}
+    far = max(c for c, a in first_of.items() if a < 10_200)
+    move = {far: 11_001.5}
+    seconds = sorted((c for c in first_of if c not in gone), key=lambda c: move.get(c, c))
+    new = {c: 12_000 + k for k, c in enumerate(seconds)}
+    rows = [(new.get(r[0], r[0]), *r[1:]) for r in rows if r[0] not in gone]
+    want = {(a, b, new[c], d) for a, b, c, d in pairs if c not in gone}
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id string, text string, page int, lang string").withColumn("kind", F.lit("text"))
+    got = {tuple(r) for r in alignment.align(df, model, block_chunks=16).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+    moved = {p for p in want if p[2] == new[far]}
+    assert moved and len(got & moved) >= 0.8 * len(moved)
+
+
+def test_cuts_follow_the_marks():
+    import numpy as np
+
+    n, kept = 3000, np.concatenate((np.arange(300), np.arange(2200, 3000), [1000]))
+    side, block = np.repeat([0, 1], [n, len(kept)]), np.zeros(n + len(kept), np.int64)
+    mark_of, mark = np.arange(n + len(kept)), np.concatenate((np.arange(n), kept)).astype(np.int32)
+    source, s, b, mo, m, w, of = alignment.cut_long(side, block, mark_of, mark, np.full(n + len(kept), 12.0))
+    i, j = alignment.align_blocks(s, b, np.full(len(source), 50.0), mo, m, w, np.ones(len(of)))
+    assert {(int(x), int(y)) for x, y in zip(source[i], source[j])} == {(int(x), n + k) for k, x in enumerate(kept)}
+
+
 def test_long_blocks_are_cut():
     import numpy as np
 
