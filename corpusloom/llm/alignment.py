@@ -11,9 +11,9 @@
 3. Within a block the best path over one-to-one, omission, merge and split beads is found. The price of a bead is
    the negative log-probability of its length ratio (a normal distribution around the ratio of the two languages,
    measured over all bilingual documents), of its kind, and of the marks that its sides share or lack.
-   Sentences without marks are told apart by their words: a first run over a bounded sample of blocks gives pairs of
-   such sentences by length and place, their words that come up together make a lexicon (Dice), and the lexicon's
-   agreement is part of the price in the run over all blocks.
+   Sentences without marks are told apart by their words: a first run over all blocks gives pairs of
+   such sentences by length and place, their words that come up together make a lexicon (Dice), of which each block gets
+   the entries of its own words, and the lexicon's agreement is part of the price in the run over all blocks.
 4. Sentences that the path leaves out were moved where most of their marks stand in a sentence that still has these
    marks to give; they pair across the path.
 
@@ -166,16 +166,14 @@ def _mark_price(common: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarra
 
 
 class Lexicon:
-    """Words of the one language with those of the other that come up in their renderings, and how surely (Dice)."""
+    """Words of the one language with those of the other that come up in their renderings, and how surely: 1 for the
+    surest rendering of a word. Entries may come several times."""
 
     def __init__(self, words: np.ndarray, others: np.ndarray, values: np.ndarray):
-        words, others, values = np.concatenate((words, others)), np.concatenate((others, words)), np.concatenate((values, values))
-        order = np.argsort(words, kind="stable")
-        self.words, self.others, values = words[order], others[order], values[order]
-        # the surest rendering of a word counts fully
-        start = np.flatnonzero(np.concatenate(([True], self.words[1:] != self.words[:-1])))[: len(self.words)]
-        best = np.repeat(np.maximum.reduceat(values, start), np.diff(np.append(start, len(values)))) if len(values) else values
-        self.values = values / best
+        place = words.view(np.uint32).astype(np.uint64) << np.uint64(32) | others.view(np.uint32).astype(np.uint64)
+        _, once = np.unique(place, return_index=True)
+        once = once[np.argsort(words[once], kind="stable")]
+        self.words, self.others, self.values = words[once], others[once], values[once]
 
 
 def bare_scores(lexicon: Lexicon, bare: np.ndarray, side: np.ndarray, block: np.ndarray, lex_of: np.ndarray, lex: np.ndarray):
@@ -449,7 +447,7 @@ def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_o
 _FEATURES = T.StructType([T.StructField("lang", T.IntegerType()), T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("marks", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.ByteType())), T.StructField("lex_counts", T.ArrayType(T.IntegerType())), T.StructField("lexemes", T.ArrayType(T.IntegerType()))])
 
 
-def _aligned(lexicon, learn: bool = False):
+def _aligned(learn: bool = False):
     """Aligns the blocks of a batch: the pairs, or with ``learn`` the words of pairs of sentences without marks and how
     often each comes up (side 0 or 1) and comes up with a word of the other (side 2)."""
 
@@ -471,7 +469,11 @@ def _aligned(lexicon, learn: bool = False):
             source, side, block, mark_of, mark, weight, of = cut_long(side, block, mark_of, mark, weight)
             cut_lex_of, cut_lex = held_by(source, lex_of, lex)
             sure = []
-            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon.value if lexicon else None, sure=sure)
+            lexicon = None
+            if not learn:
+                entries = batch.column("entries").flatten()
+                lexicon = Lexicon(*(entries.field(x).to_numpy(zero_copy_only=False) for x in ("word", "other", "value")))
+            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon, sure=sure)
             if not learn:
                 docs = batch.column("doc").take(pa.array(of[block[i]]))
                 i, j = source[i], source[j]
@@ -496,6 +498,21 @@ def _aligned(lexicon, learn: bool = False):
     return run
 
 
+def _bare_words(batches):
+    """(block_no, word) of the words of sentences without marks, each once in a block."""
+    for batch in batches:
+        listed = batch.column("chunks")
+        c = listed.flatten()
+        flat = lambda name: c.field(name).flatten().to_numpy(zero_copy_only=False)
+        sents = pa.compute.list_value_length(c.field("numbers")).to_numpy(zero_copy_only=False)
+        block = np.repeat(np.repeat(np.arange(len(batch)), pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)), sents)
+        lex_of = np.repeat(np.arange(len(block)), flat("lex_counts"))
+        bare = (flat("counts") == 0)[lex_of]
+        pair = np.unique(block[lex_of[bare]].astype(np.uint64) << np.uint64(32) | flat("lexemes").astype(np.int32)[bare].view(np.uint32).astype(np.uint64))
+        words = pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("block_no").take(pa.array((pair >> np.uint64(32)).astype(np.int64))), words], ["block_no", "word"])
+
+
 def _tally(side: int, words: np.ndarray, others: np.ndarray) -> np.ndarray:
     """(side, word, other, number) of equal pairs."""
     pair = words.view(np.uint32).astype(np.uint64) << np.uint64(32) | others.view(np.uint32).astype(np.uint64)
@@ -532,9 +549,8 @@ def places(chunks: DataFrame) -> DataFrame:
     return chunks.where("side = 0").select("id", F.array(block(F.col("nth"))).alias("places")).unionByName(second)
 
 
-def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", block_chunks: int = 64, fit_blocks: int = 3000, most_words: int = 200_000) -> DataFrame:
-    """Pairs of sentences of one document in different languages of which one renders the other (see the module). The lexicon is fitted on about ``fit_blocks``
-    documents, chosen by hash, and has ``most_words`` entries at most."""
+def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", block_chunks: int = 64) -> DataFrame:
+    """Pairs of sentences of one document in different languages of which one renders the other (see the module)."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("text"), F.col(kind).alias("kind"))
     rows = rows.where("id is not null and doc is not null and length(text) > 0 and not (lower(kind) <=> 'figure') and not startswith(text, '[Figure p.')")
     # chunks written twice: the first stands for all
@@ -578,18 +594,22 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     chunk = F.struct("side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes")
     blocks = placed.groupBy("doc", "block").agg(F.first("ratio").alias("ratio"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
 
-    blocks = materialize(blocks.select("doc", "ratio", "chunks"), "blocks")
-    share = F.pmod(F.xxhash64("doc"), F.lit(max(1, versions.count()))) < fit_blocks
-    sample = blocks.where(share).select("ratio", "chunks")
-    together = sample.mapInArrow(_aligned(None, learn=True), "side int, word int, other int, n long")
-    together = together.groupBy("side", "word", "other").agg(F.sum("n").alias("n"))
-    alone = together.where("side < 2").groupBy("side", "word").agg(F.sum("n").alias("alone"))
+    blocks = materialize(blocks.select("doc", "ratio", "chunks", F.xxhash64("doc", "block").alias("block_no")), "blocks")
+    together = blocks.select("ratio", "chunks").mapInArrow(_aligned(learn=True), "side int, word int, other int, n long")
+    together = materialize(together.groupBy("side", "word", "other").agg(F.sum("n").alias("n")).where("side < 2 or n >= 3"), "words")
+    alone = together.where("side < 2").select("side", "word", F.col("n").alias("alone"))
     dice = together.where("side = 2").join(alone.where("side = 0").select("word", F.col("alone").alias("n1")), "word")
     dice = dice.join(alone.where("side = 1").select(F.col("word").alias("other"), F.col("alone").alias("n2")), "other")
-    dice = dice.withColumn("value", 2 * F.col("n") / (F.col("n1") + F.col("n2"))).where("n >= 3 and value >= 0.25")
-    learnt = dice.orderBy(F.desc("n"), F.desc("value"), "word", "other").limit(most_words).select("word", "other", "value").toPandas()
-    lexicon = df.sparkSession.sparkContext.broadcast(Lexicon(learnt["word"].to_numpy(np.int32), learnt["other"].to_numpy(np.int32), learnt["value"].to_numpy(np.float64)))
-    found = blocks.mapInArrow(_aligned(lexicon), "doc string, id_1 long, no_1 int, id_2 long, no_2 int, sure boolean")
+    dice = dice.withColumn("value", 2 * F.col("n") / (F.col("n1") + F.col("n2"))).where("value >= 0.25").select("word", "other", "value")
+    # both ways, the surest rendering of a word counts fully
+    ways = dice.unionByName(dice.select(F.col("other").alias("word"), F.col("word").alias("other"), "value")).groupBy("word", "other").agg(F.max("value").alias("value"))
+    ways = materialize(ways, "ways")
+    entries = ways.join(ways.groupBy("word").agg(F.max("value").alias("best")), "word").select("word", "other", (F.col("value") / F.col("best")).alias("value"))
+    # each block gets the entries of its own words: the lexicon is never in one place
+    needed = blocks.select("chunks", "block_no").mapInArrow(_bare_words, "block_no long, word int").distinct()
+    needed = needed.join(entries, "word").groupBy("block_no").agg(F.collect_list(F.struct("word", "other", "value")).alias("entries"))
+    blocks = blocks.join(needed, "block_no", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<word:int,other:int,value:double>>")))
+    found = blocks.select("doc", "ratio", "chunks", "entries").mapInArrow(_aligned(), "doc string, id_1 long, no_1 int, id_2 long, no_2 int, sure boolean")
     found = materialize(found, "found")
     confirmed = found.where("sure").select("doc", F.posexplode(F.array(F.struct(F.col("id_1").alias("id"), F.col("no_1").alias("no")), F.struct(F.col("id_2").alias("id"), F.col("no_2").alias("no")))).alias("side", "sent")).distinct()
     confirmed = confirmed.groupBy("doc").agg(F.count_if(F.col("side") == 0).alias("sure_a"), F.count_if(F.col("side") == 1).alias("sure_b"))

@@ -275,6 +275,22 @@ def test_parts_left_out_shift_nothing(spark, model):
     assert moved and len(got & moved) >= 0.8 * len(moved)
 
 
+def test_all_documents_teach_the_lexicon(spark, model):
+    # no marks anywhere and equal lengths; each pair of words comes up in 4 of 3,300 documents only
+    rng = random.Random(16)
+    name = lambda k, letters: "".join(letters[(k // 6**p) % 6] for p in range(6))
+    rows, want = [], set()
+    for d in range(3300):
+        own = [d // 4 * 2, d // 4 * 2 + 1]
+        for side, (lang, letters) in enumerate((("en", "bdgkmp"), ("fr", "fhlnrs"))):
+            say = lambda k: " ".join([*(rng.choice(WORDS[lang].split()) for _ in range(6)), *[name(k, letters) + x for x in "aeiou"]]).capitalize() + "."
+            rows.append((10 * d + side, f"x/{d}", " ".join(say(k) for k in (own if side == 0 or d % 4 else own[::-1])), 1, lang))
+        want |= {(10 * d, 1 + i, 10 * d + 1, (1 + i) if d % 4 else 2 - i) for i in (0, 1)}
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id string, text string, page int, lang string").withColumn("kind", F.lit("text"))
+    got = {tuple(r) for r in alignment.align(df, model).collect()}
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_cuts_follow_the_marks():
     import numpy as np
 
