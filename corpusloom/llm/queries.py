@@ -41,6 +41,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(read(spark, d, "chunks"), read(spark, d, "page_extracts"))
 
 
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(read(spark, d, "chunks"), read(spark, d, "page_extracts")).select("chunk_id", "text")
+
+
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -57,7 +61,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P2 = r"""

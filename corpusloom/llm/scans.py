@@ -241,9 +241,8 @@ def _as_number(word: Column) -> Column:
     return F.when(shape & ~word.rlike(r"^[A-Z][0-9]{2,6}$"), F.translate(word, "".join(DIGITS), "".join(DIGITS.values())))
 
 
-def noise(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row (chunk_id, line_no, noise, repaired) for each piece of noise: ``header`` and ``page_no`` with an empty
-    repair, ``hyphen`` and ``misread`` with the right word or number in lower case."""
+def _places(chunks: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scanned chunks, and their noise with what stands in the text, in lower case (``wrong``)."""
     scanned = materialize(scanned_chunks(chunks, pages), "scanned")
     lines = materialize(read_pages(scanned), "lines")
     top = materialize(headers(lines), "headers")
@@ -268,10 +267,77 @@ def noise(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
     unknown = odd.select("wrong").unionByName(split.where("known is null").select(F.col("joined").alias("wrong"))).groupBy("wrong").agg(F.count("*").alias("n_wrong"))
     right = materialize(corrections(unknown, known), "corrections")
-    row = lambda df, kind, value: df.select("chunk_id", "line_no", F.lit(kind).alias("noise"), value.alias("repaired"))
-    found = row(lines.where("role = 'page_no'"), "page_no", F.lit(""))
-    found = found.unionByName(row(top, "header", F.lit("")))
-    found = found.unionByName(row(odd.join(right, "wrong"), "misread", F.col("word")))
-    found = found.unionByName(row(words.where("number is not null"), "misread", F.lower("number")))
+    row = lambda df, kind, value, wrong: df.select("chunk_id", "line_no", F.lit(kind).alias("noise"), value.alias("repaired"), wrong.alias("wrong"))
+    none = F.lit(None).cast("string")
+    found = row(lines.where("role = 'page_no'"), "page_no", F.lit(""), none)
+    found = found.unionByName(row(top, "header", F.lit(""), none))
+    found = found.unionByName(row(odd.join(right, "wrong"), "misread", F.col("word"), F.col("wrong")))
+    found = found.unionByName(row(words.where("number is not null"), "misread", F.lower("number"), F.col("wrong")))
     split = split.join(right, F.col("joined") == F.col("wrong"), "left")
-    return found.unionByName(row(split, "hyphen", F.coalesce("known", "word", "joined"))).distinct()
+    return scanned, found.unionByName(row(split, "hyphen", F.coalesce("known", "word", "joined"), F.col("joined")))
+
+
+def noise(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row (chunk_id, line_no, noise, repaired) for each piece of noise: ``header`` and ``page_no`` with an empty
+    repair, ``hyphen`` and ``misread`` with the right word or number in lower case."""
+    return _places(chunks, pages)[1].select("chunk_id", "line_no", "noise", "repaired").distinct()
+
+
+def _cased(right: str, like: str) -> str:
+    """The right word with the capitals of what stood in its place."""
+    letters = [c for c in like if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if like[:1].isupper() else right
+
+
+def _replaced(token: str, right: str) -> str:
+    core = token.strip(EDGE)
+    return token.replace(core, _cased(right, core), 1)
+
+
+def repair(text: str, found: list[tuple]) -> str:
+    """The text without furniture, with whole and right words, its lines joined into paragraphs. ``found`` has (line_no,
+    noise, repaired, wrong). A paragraph ends at a blank line and after a short line that ends a sentence."""
+    lines = text.split("\n")
+    gone = {n for n, kind, _, _ in found if kind in ("header", "page_no")}
+    divided = {n: right for n, kind, right, _ in found if kind == "hyphen"}
+    misread = {(n, wrong): right for n, kind, right, wrong in found if kind == "misread"}
+    full = [i for i, x in enumerate(lines) if x.strip() and i + 1 not in gone]
+    words = {i: lines[i].split() for i in full}
+    for i in full:
+        words[i] = [_replaced(w, misread[i + 1, k]) if (k := w.strip(EDGE).lower()) and (i + 1, k) in misread else w for w in words[i]]
+    for i, after in zip(full, full[1:]):
+        if i + 1 in divided and words[i] and words[after]:
+            left, right = words[i].pop(), words[after].pop(0)
+            head, tail = left[: len(left) - len(left.lstrip(EDGE))], right[len(right.rstrip(EDGE)) :]
+            words[i].append(head + _cased(divided[i + 1], left.strip(EDGE + HYPHENS)) + tail)
+    sizes = sorted(len(lines[i]) for i in full)
+    short = 0.7 * sizes[len(sizes) // 2] if sizes else 0
+    out, before = [], None
+    for i in full:
+        line = " ".join(words[i])
+        blank = before is not None and any(not lines[k].strip() for k in range(before + 1, i) if k + 1 not in gone)
+        ends = before is not None and len(lines[before]) < short and lines[before].rstrip()[-1:] in ".!?:。！？："
+        if before is None or blank or ends:
+            out.append(line)
+        elif line:
+            solid = re.search(r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]$", out[-1]) and re.match(r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]", line)
+            out[-1] += ("" if solid or not out[-1] else " ") + line
+        before = i
+    return "\n".join(x for x in out if x)
+
+
+def repaired(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chunks`` with the text of scanned pages repaired (see ``repair``), other rows untouched."""
+    scanned, found = _places(chunks, pages)
+    fixes = found.groupBy("chunk_id").agg(F.collect_set(F.struct("line_no", "noise", "repaired", "wrong")).alias("found"))
+
+    def run(batches):
+        for pdf in batches:
+            new = [repair(t, [] if f is None else [(x["line_no"], x["noise"], x["repaired"], x["wrong"]) for x in f]) for t, f in zip(pdf["old"], pdf["found"])]
+            yield pd.DataFrame({"__id": pdf["chunk_id"], "__old": pdf["old"], "__new": new})
+
+    new = scanned.select("chunk_id", F.col("text").alias("old")).distinct().join(fixes, "chunk_id", "left").mapInPandas(run, "__id long, __old string, __new string")
+    out = chunks.join(new, (F.col("chunk_id").cast("long") == F.col("__id")) & (F.col("text") == F.col("__old")), "left")
+    return out.withColumn("text", F.coalesce("__new", "text")).select(*chunks.columns)

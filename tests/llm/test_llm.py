@@ -357,6 +357,17 @@ def test_scanned_noise(spark):
     assert scans.noise(c.limit(0), g.limit(0)).count() == 0
 
 
+def test_scanned_text_is_repaired(spark):
+    found = [(1, "header", "", None), (3, "misread", "member", "rnember"), (3, "hyphen", "landing", "landing"), (5, "misread", "2013", "2o13"), (6, "page_no", "", None)]
+    text = "Head Of Page\n\nRnember of the crew saw it before lan-\nding. Then the wing was\nseen in (2O13).\n7"
+    assert scans.repair(text, found) == "Member of the crew saw it before landing. Then the wing was seen in (2013)."
+    assert scans.repair("安全\n检查\n\nnew one", []) == "安全检查\nnew one"
+    c = spark.createDataFrame([(1, "a/1", 1, "one\ntwo", "text"), (2, "a/2", 1, "one\ntwo\n3", "text"), (3, "a/1", 1, None, None), (None, "a/2", 1, "x\ny", "text")], "chunk_id long, doc_id string, page int, text string, kind string")
+    g = spark.createDataFrame([("a/1", 1, "one two", False), ("a/2", 1, "", True)], "doc_id string, page int, text string, image_only boolean")
+    got = {r["chunk_id"]: r["text"] for r in scans.repaired(c, g).collect()}
+    assert got == {1: "one\ntwo", 2: "one two", 3: None, None: "x\ny"}
+
+
 # --- 6: encoding -------------------------------------------------------------------------------------------------
 
 VOCABULARY = os.path.join(os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
