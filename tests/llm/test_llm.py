@@ -470,6 +470,36 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch, piece):
     assert spans.shared_characters(df.limit(0)).count() == 0
 
 
+def test_shared_sentences_equal_brute_force(spark):
+    """Texts of lines and sentences: units of both kinds, spans that begin and end inside them, many copies."""
+    rng = random.Random(12)
+    say = lambda: " ".join("".join(rng.choice("abé安") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 7))) + rng.choice([". ", "! ", "。", ".\n", "\n", "\r\n\n", " "])
+    base = ["".join(say() for _ in range(rng.randint(2, 14))) for _ in range(25)]
+    docs = []
+    for i in range(150):
+        t = "".join(say() for _ in range(rng.randint(0, 4)))
+        for _ in range(rng.choice([0, 1, 2])):
+            b = rng.choice(base)
+            a = rng.randrange(max(1, len(b) - 30))
+            t += b[a : a + rng.randint(25, 220)] + rng.choice(["", say(), say()])
+        docs.append((str(i), t))
+    docs += [(f"c{i}", base[0] * 2) for i in range(12)]
+    want = brute_shared(docs, 40)
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    assert want and {r["doc_id"]: r["shared_chars"] for r in spans.shared_characters(df, length=40).collect()} == want
+
+
+def test_repeated_lines_keep_the_first(spark):
+    line = "The board recommends that operators revise the checklist for the pump."
+    docs = [(3, f"{line}\r\nshort\nown line of the third document, which stands alone"), (1, f"short\n\n  {line.upper()}"), (2, f"{line}\n{line}\nshort"), (4, None), (5, ""), (None, line), (6, "é" * 60_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line_no", F.lit("clash"))
+    got = {tuple(r) for r in spans.repeated_lines(df).collect()}
+    assert got == {(2, 1, 0, 70, 1, 3), (2, 2, 71, 141, 1, 3), (3, 1, 0, 71, 1, 3)}
+    clean = {r["doc_id"]: r["text"] for r in spans.without_repeats(df).collect()}
+    assert clean[2] == "short" and clean[3].startswith("short\nown") and clean[1] == docs[1][1] and clean[4] is None and clean[5] == "" and clean[None] == line
+    assert spans.without_repeats(df).columns == df.columns and spans.without_repeats(df.limit(0)).count() == 0
+
+
 def test_one_key_shares_nothing_with_itself(spark):
     df = spark.createDataFrame([(1, "x" * 1000), (1, "x" * 1000), (None, "x" * 1000)], "doc_id long, text string")
     assert spans.shared_characters(df).count() == 0
@@ -478,5 +508,5 @@ def test_one_key_shares_nothing_with_itself(spark):
 def test_queries_are_registered():
     from corpusloom.llm import queries
 
-    assert {f"p{i}_found" for i in (1, 2, 3, 4, 5, 7, 8)} | {"p6_ids"} <= set(queries.queries())
+    assert {f"p{i}_found" for i in (1, 2, 3, 4, 5, 7, 8)} | {"p2_text", "p5_text", "p6_ids", "p8_text"} <= set(queries.queries())
     assert re.fullmatch(r"[\w./-]+", queries.TOKENIZERS)
