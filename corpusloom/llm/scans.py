@@ -2,15 +2,19 @@
 
 1. The chunks of image-only pages are found by their page; a chunk that stands as text on another version's page of the
    same number is none.
-2. Lines are read in pairs (a line and the next). A logistic classifier of line pairs tells running headers from text; it
-   is fitted on lines that come back at the top of a document's pages and on lines from inside pages (a bounded sample).
-   A line of nothing but a page number stands first or last. A word that ends a line with a hyphen is joined with the
-   next line's first; the vocabulary says whether the hyphen is its own.
+2. Lines are read in pairs (a line and the next), and logistic classifiers of line pairs decide on furniture and joins. One
+   tells running headers from text (fitted on lines that come back at the top of a document's pages and on lines from inside
+   pages), one page numbers among short first and last lines (fitted on those with a clean number and on lines from inside pages), one whether a hyphen at a line's end parts a word or is its own (fitted on pairs of which the vocabulary
+   knows one form better). Each is fitted on the driver on a bounded sample (``most`` lines of each kind) and applied to
+   all; without a sample of a kind there is nothing to decide on, and no line is furniture.
 3. Words that the vocabulary of all other chunks lacks get candidates by an inverted join on positional character
    q-grams. Gradient-boosted trees rank the candidates (edit distance, shared q-grams, how often the same letters are
    confused over all pages, frequency, agreement at the ends); they are fitted on a bounded sample of vocabulary words
    that are corrupted by the confusions found. Numbers with letters in them are read as digits.
 
+Words are runs of letters and digits of one script: text between Chinese characters, long dashes and slashes between words
+is looked at by itself. Chinese characters that were read wrongly are not corrected, they have no words to be looked up in.
+
 A word that no candidate explains stays as it is. Null and empty texts have no lines to repair, rows without chunk_id or
 doc_id no result.
 """
@@ -20,8 +24,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,8 @@ PLAIN = r"^[a-z\u00df-\u024f]+(?:-[a-z\u00df-\u024f]+)*$"
 PAGE_NO = re.compile(r"^[\W_]*(?:(?:page|p\.?)\s*)?(?:[0-9lOoISsBZz]{1,4}|[ivxlcdm]{1,7})(?:\s*(?:of|sur|de|/)\s*[0-9lOoISsBZz]{1,4})?[^\w.,;:]*$", re.IGNORECASE)
 CODE = re.compile(r"^(?:[A-Z]\d{2,6}|[A-Z]{1,3}-[A-Z]{2,5}|\d{2,3}-\d{2,3}|[A-Z]{2,})$")
 EDGE = ".,;:!?()[]«»\"“”…"
+RUN = re.compile(r"[^\s\u2013\u2014\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]+")
+SLASH = re.compile(r"(?<=[^\W\d_]{2})/(?=[^\W\d_]{2})")
 LINES = "chunk_id long, doc_id string, line_no int, role string, value string, features array<double>"
 
 
@@ -63,11 +70,37 @@ def _pair(line: str, following: str, median: float) -> list[float]:
         len(line) / max(1.0, median),
         float(re.search(r"\d:\d|\d\.\d", line) is not None),
         float(len(words)),
+        sum(c.isdigit() or c in DIGITS for c in line) / max(1, sum(c.isalnum() for c in line)),
+        float(re.search(r"^\W|[\W_]$", line.strip()) is not None),
     ]
 
 
+def _logistic(sample: DataFrame) -> Column:
+    """Probability of label 1 for ``features``, fitted on the driver on a bounded sample (features, label)."""
+    rows = sample.select("features", "label").toPandas()
+    if not len(rows):
+        return F.lit(0.5)
+    x, y = np.array(rows["features"].tolist(), np.float64), rows["label"].to_numpy(np.float64)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    x = np.column_stack(((x - mean) / scale, np.ones(len(x))))
+    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, 0.01 * len(x)), 1e-3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        w += np.clip(step, -5, 5)
+    odds = F.lit(float(w[-1]))
+    for i in range(len(mean)):
+        odds = odds + (F.col("features")[i] - float(mean[i])) * float(w[i] / scale[i])
+    return 1 / (1 + F.exp(-odds))
+
+
+def _runs(line: str) -> list[str]:
+    return [x for run in RUN.findall(line) for x in SLASH.split(run)]
+
+
 def _read_page(chunk: int, doc: str, text: str) -> Iterator[tuple]:
-    """Rows of LINES: page numbers, lines at the top and inside, divided words and the other words."""
+    """Rows of LINES: what may be page numbers (with features and, last, whether they hold a clean number), lines at the top
+    and inside, divided words and the other words."""
     lines = text.split("\n")
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
@@ -77,19 +110,21 @@ def _read_page(chunk: int, doc: str, text: str) -> Iterator[tuple]:
     numbers = {i for i in (*full[:2], *full[-1:]) if PAGE_NO.match(lines[i].strip()) and len(full) > 1}
     body = [i for i in full if i not in numbers]
     for i in sorted(numbers):
-        yield chunk, doc, i + 1, "page_no", lines[i], None
+        following = next((lines[k].strip() for k in full if k > i), "")
+        clean = re.search(r"(?<!\w)\d+(?!\w)", lines[i]) is not None
+        yield chunk, doc, i + 1, "number", lines[i], [*_pair(lines[i], following, median), float(clean)]
     carried = False
     for k, i in enumerate(body):
         line = lines[i].strip()
         following = lines[body[k + 1]].strip() if k + 1 < len(body) else ""
         role = "top" if k == 0 and i in full[:2] else "inner"
         yield chunk, doc, i + 1, role, line, _pair(lines[i], following, median)
-        words = line.split()
+        words = _runs(line)
         if carried:
             words = words[1:]
         carried = False
         if words and following and re.search(rf"[^\W\d_][{HYPHENS}]$", words[-1]) and re.match(r"[^\W\d_]", following) and following[:1].islower():
-            left, right = words.pop()[:-1].lstrip(EDGE), following.split()[0].rstrip(EDGE)
+            left, right = words.pop()[:-1].lstrip(EDGE), _runs(following)[0].rstrip(EDGE)
             yield chunk, doc, i + 1, "hyphen", f"{left}|{right}".lower(), None
             carried = True
         for w in words:
@@ -113,30 +148,51 @@ def _line_words(line: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.col(line)), F.lit(r"(\p{L}{3,})")))
 
 
-def headers(lines: DataFrame, *, most_inner: int = 4000, least_pages: int = 3) -> DataFrame:
+def headers(lines: DataFrame, *, most: int = 4000, least_pages: int = 3) -> DataFrame:
     """(chunk_id, line_no) of running headers, by the line-pair classifier."""
     top = lines.where("role = 'top'")
     words = top.select("chunk_id", "line_no", "doc_id", "value", F.explode(_line_words("value")).alias("word"))
     known = words.groupBy("doc_id", "word").agg(F.countDistinct("value", "chunk_id").alias("pages"))
     back = words.join(known, ["doc_id", "word"]).groupBy("chunk_id", "line_no").agg(F.avg((F.col("pages") >= least_pages).cast("double")).alias("back"))
     top = top.join(back, ["chunk_id", "line_no"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
-    inner = lines.where("role = 'inner'").orderBy(F.xxhash64("value", "chunk_id")).limit(most_inner).withColumn("back", F.lit(0.0))
+    inner = lines.where("role = 'inner'").orderBy(F.xxhash64("value", "chunk_id")).limit(most).withColumn("back", F.lit(0.0))
     # how often the words of a line stand at the top of pages
     place = lines.where("role in ('top', 'inner')").select("role", F.explode(_line_words("value")).alias("word"))
     place = place.groupBy("word").agg(F.avg((F.col("role") == "top").cast("double")).alias("at_top"))
     rows = top.select("chunk_id", "line_no", "role", "value", "features", "back").unionByName(inner.select("chunk_id", "line_no", "role", "value", "features", "back"))
     mean = rows.select("chunk_id", "line_no", F.explode(_line_words("value")).alias("word")).join(place, "word").groupBy("chunk_id", "line_no").agg(F.avg("at_top").alias("at_top"))
-    rows = rows.join(mean, ["chunk_id", "line_no"], "left").withColumn("features", F.concat("features", F.array(F.coalesce("at_top", F.lit(0.0)))))
+    rows = rows.join(mean, ["chunk_id", "line_no"], "left").withColumn("features", F.concat(F.slice("features", 1, 8), F.array(F.coalesce("at_top", F.lit(0.0)))))
     rows = materialize(rows, "pairs")
     top = rows.where("role = 'top'")
     again = top.where((F.col("back") >= 0.75) & (F.col("features")[2] == 0)).select("features", F.lit(1.0).alias("label"))
-    sample = again.orderBy(F.xxhash64("features")).limit(most_inner).unionByName(rows.where("role = 'inner'").select("features", F.lit(0.0).alias("label")))
-    sample = materialize(sample.withColumn("features", array_to_vector("features")), "line-pairs")
-    if sample.where("label = 1").limit(1).count() == 0 or sample.where("label = 0").limit(1).count() == 0:
-        return top.where((F.col("features")[0] >= 0.6) & (F.col("features")[2] == 0) & (F.col("features")[3] == 1)).select("chunk_id", "line_no")
-    model = LogisticRegression(maxIter=25, regParam=0.01).fit(sample)
-    scored = model.transform(top.withColumn("features", array_to_vector("features")))
-    return scored.where(vector_to_array("probability")[1] >= 0.5).select("chunk_id", "line_no")
+    sample = again.orderBy(F.xxhash64("features")).limit(most).unionByName(rows.where("role = 'inner'").select("features", F.lit(0.0).alias("label")))
+    return top.where(_logistic(sample) > 0.5).select("chunk_id", "line_no")
+
+
+def page_numbers(lines: DataFrame, *, most: int = 4000) -> DataFrame:
+    """(chunk_id, line_no) of lines that are page numbers only, by the line-pair classifier."""
+    maybe = lines.where("role = 'number'").withColumn("clean", F.col("features")[10]).withColumn("features", F.slice("features", 1, 10))
+    sure = maybe.where("clean = 1").orderBy(F.xxhash64("value", "chunk_id")).limit(most).select("features", F.lit(1.0).alias("label"))
+    inner = lines.where("role = 'inner'").orderBy(F.xxhash64("value", "chunk_id")).limit(most).select("features", F.lit(0.0).alias("label"))
+    return maybe.where(_logistic(sure.unionByName(inner)) > 0.5).select("chunk_id", "line_no")
+
+
+def divided_words(lines: DataFrame, known: DataFrame, *, most: int = 4000) -> DataFrame:
+    """(chunk_id, line_no, joined, form, known) of words divided between a line and the next: ``form`` is the word as the
+    classifier joins it, with or without the hyphen, ``known`` whether the vocabulary has it."""
+    split = lines.where("role = 'hyphen'").select("chunk_id", "line_no", F.split_part("value", F.lit("|"), F.lit(1)).alias("left"), F.split_part("value", F.lit("|"), F.lit(2)).alias("right"))
+    split = split.withColumn("joined", F.concat("left", "right")).withColumn("own", F.concat_ws("-", "left", "right"))
+    for c in ("joined", "own", "left", "right"):
+        split = split.join(known.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    log = lambda c: F.log1p(F.coalesce(F.col(f"n_{c}"), F.lit(0)).cast("double"))
+    both = (F.col("n_left").isNotNull() & F.col("n_right").isNotNull()).cast("double")
+    more = F.coalesce("n_joined", F.lit(0)) - F.coalesce("n_own", F.lit(0))
+    split = split.withColumn("features", F.array(log("joined"), log("own"), log("left"), log("right"), both, F.length("left").cast("double"), F.length("right").cast("double"))).withColumn("more", more)
+    split = materialize(split.select("chunk_id", "line_no", "joined", "own", "n_joined", "n_own", "features", "more"), "divided")
+    sample = split.where("more != 0").select("features", (F.col("more") > 0).cast("double").alias("label"))
+    sample = sample.groupBy("features", "label").agg(F.count("*").alias("n")).orderBy(F.xxhash64("features", "label")).limit(most)
+    join = _logistic(sample) >= 0.5
+    return split.select("chunk_id", "line_no", "joined", F.when(join, F.col("joined")).otherwise(F.col("own")).alias("form"), F.when(join, F.col("n_joined")).otherwise(F.col("n_own")).isNotNull().alias("known"))
 
 
 def vocabulary(texts: DataFrame, *, text: str = "text", min_count: int = 3) -> DataFrame:
@@ -218,19 +274,17 @@ def corrections(unknown: DataFrame, known: DataFrame, *, training_words: int = 3
     confusions = confused_letters(pairs, least_times=least_times)
     # training pairs: vocabulary words spoilt by the confusions found, against their other candidates
     clean = known.where(F.length("word") >= 4).orderBy(F.xxhash64("word")).limit(training_words).select(F.col("word").alias("truth"))
-    most = confusions.orderBy(F.desc("times"), "read", "meant").limit(60)
-    spoilt = clean.join(F.broadcast(most.where("meant != ''")), F.expr("contains(truth, meant)"))
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("truth")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("truth"), i, n)))))
+    spoilt = clean.select("truth", F.explode(parts).alias("meant")).distinct().join(confusions, "meant")
     spoilt = spoilt.withColumn("wrong", F.expr("concat(substring(truth, 1, locate(meant, truth) - 1), read, substring(truth, locate(meant, truth) + length(meant)))"))
     spoilt = spoilt.join(known, F.col("wrong") == known["word"], "left_anti").orderBy(F.xxhash64("wrong", "truth")).limit(2 * training_words).select("wrong", "truth")
     spoilt = materialize(spoilt.groupBy("wrong").agg(F.min("truth").alias("truth")), "spoilt")
     train = with_confusion(candidates(spoilt.select("wrong", F.lit(1).alias("n_wrong")), known)).join(spoilt, "wrong")
     train = materialize(_features(train, confusions).select("features", (F.col("word") == F.col("truth")).cast("double").alias("label")), "training-pairs")
-    scored = _features(pairs, confusions)
-    if train.select("label").distinct().count() == 2:
-        model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=5).fit(train)
-        scored = model.transform(scored).withColumn("score", vector_to_array("probability")[1])
-    else:
-        scored = scored.withColumn("score", F.when(F.col("edits") == 1, 0.6).otherwise(0.4))
+    if train.select("label").distinct().count() < 2:  # no confusion comes up often enough: nothing is known to rank by
+        return pairs.where("false").select("wrong", "word")
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=5).fit(train.coalesce(2))
+    scored = model.transform(_features(pairs, confusions)).withColumn("score", vector_to_array("probability")[1])
     best = scored.groupBy("wrong").agg(F.max_by("word", F.struct("score", "times", "n", "word")).alias("word"), F.max("score").alias("score"), F.max_by("times", F.struct("score", "times", "n", "word")).alias("times"))
     return best.where((F.col("score") >= 0.5) & (F.col("times") > 0)).select("wrong", "word")
 
@@ -258,23 +312,18 @@ def _places(chunks: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     odd = odd.withColumn("last", F.when((F.size(parts) > 1) & (F.length(parts[0]) <= 4) & ~F.col("wrong").rlike(r"e'[a-z]*$"), F.element_at(parts, -1)).otherwise(F.col("wrong")))
     odd = odd.join(known, F.col("last") == F.col("word"), "left_anti").select("chunk_id", "line_no", "wrong")
 
-    split = lines.where("role = 'hyphen'").select("chunk_id", "line_no", F.split_part("value", F.lit("|"), F.lit(1)).alias("left"), F.split_part("value", F.lit("|"), F.lit(2)).alias("right"))
-    split = split.withColumn("joined", F.concat("left", "right")).withColumn("own", F.concat_ws("-", "left", "right"))
-    count = lambda c, name: known.select(F.col("word").alias(c), F.col("n").alias(name))
-    split = split.join(count("joined", "n_joined"), "joined", "left").join(count("own", "n_own"), "own", "left")
-    split = split.withColumn("known", F.when(F.coalesce("n_own", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("own")).when(F.col("n_joined").isNotNull(), F.col("joined")))
-    split = materialize(split.select("chunk_id", "line_no", "joined", "known"), "divided")
+    split = materialize(divided_words(lines, known), "joins")
 
-    unknown = odd.select("wrong").unionByName(split.where("known is null").select(F.col("joined").alias("wrong"))).groupBy("wrong").agg(F.count("*").alias("n_wrong"))
+    unknown = odd.select("wrong").unionByName(split.where("not known and form = joined").select(F.col("joined").alias("wrong"))).groupBy("wrong").agg(F.count("*").alias("n_wrong"))
     right = materialize(corrections(unknown, known), "corrections")
     row = lambda df, kind, value, wrong: df.select("chunk_id", "line_no", F.lit(kind).alias("noise"), value.alias("repaired"), wrong.alias("wrong"))
     none = F.lit(None).cast("string")
-    found = row(lines.where("role = 'page_no'"), "page_no", F.lit(""), none)
+    found = row(page_numbers(lines), "page_no", F.lit(""), none)
     found = found.unionByName(row(top, "header", F.lit(""), none))
     found = found.unionByName(row(odd.join(right, "wrong"), "misread", F.col("word"), F.col("wrong")))
     found = found.unionByName(row(words.where("number is not null"), "misread", F.lower("number"), F.col("wrong")))
-    split = split.join(right, F.col("joined") == F.col("wrong"), "left")
-    return scanned, found.unionByName(row(split, "hyphen", F.coalesce("known", "word", "joined"), F.col("joined")))
+    split = split.join(right, (F.col("form") == F.col("wrong")) & ~F.col("known"), "left")
+    return scanned, found.unionByName(row(split, "hyphen", F.coalesce("word", "form"), F.col("joined")))
 
 
 def noise(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -336,8 +385,10 @@ def repaired(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             new = [repair(t, [] if f is None else [(x["line_no"], x["noise"], x["repaired"], x["wrong"]) for x in f]) for t, f in zip(pdf["old"], pdf["found"])]
-            yield pd.DataFrame({"__id": pdf["chunk_id"], "__old": pdf["old"], "__new": new})
+            yield pd.DataFrame({"__id": pdf["chunk_id"], "__form": pdf["form"], "__new": new})
 
-    new = scanned.select("chunk_id", F.col("text").alias("old")).distinct().join(fixes, "chunk_id", "left").mapInPandas(run, "__id long, __old string, __new string")
-    out = chunks.join(new, (F.col("chunk_id").cast("long") == F.col("__id")) & (F.col("text") == F.col("__old")), "left")
+    # a key that stands for several texts: the digest tells which one is meant
+    new = scanned.select("chunk_id", F.col("text").alias("old"), F.xxhash64("text").alias("form")).join(fixes, "chunk_id", "left").mapInPandas(run, "__id long, __form long, __new string")
+    new = materialize(new.dropDuplicates(["__id", "__form"]), "repaired")
+    out = chunks.join(new, (F.col("chunk_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__form")), "left")
     return out.withColumn("text", F.coalesce("__new", "text")).select(*chunks.columns)
