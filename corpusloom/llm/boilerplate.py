@@ -1,11 +1,12 @@
 """Lines repeated across the documents of one source: document bitmaps per line.
 
-1. Every line gets a key of its letters and a key of its stored form (a variant). Lines that come up fewer than
-   ``min_docs`` times can't be in so many documents and leave at once.
-2. Documents get numbers that are dense within a partition; the documents of a variant are kept as compressed
-   bitmaps by source: a block of 32,768 document numbers is a sorted array of its few members.
-3. The variants of a line are united into one bitmap for each block of numbers, whose bits are counted: exact
-   numbers of documents, compared with the source's share.
+1. Every line gets a key of its letters and a key of its stored form (a variant). A line that comes up less often than
+   the fewest documents that make it excessive in its source can't be in so many and leaves at once.
+2. Documents get numbers that are dense within a partition; the documents of a variant are kept as bitmaps by source, one
+   for each block of 32,768 document numbers that has any (Spark compresses what it shuffles and writes, so the empty bytes of
+   a sparse one cost little).
+3. The bitmaps of a line's variants are united and their bits counted: exact numbers of documents, compared with the
+   source's share.
 4. A line is deleted where the bit of its document is set in the bitmap of an excessive line.
 
 A block holds at most 32,768 bits whatever the size of a source, so a source or a line with a third of all rows is
@@ -46,16 +47,16 @@ def repeated_lines(df: DataFrame, *, key: str = "chunk_id", doc: str = "doc_id",
     lines = rows.select("key", "doc", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("letters", letters(F.col("line")))
     lines = lines.where(F.length("letters") >= min_letters)
     lines = lines.select("key", "doc", "source", (F.col("pos") + 1).alias("line_no"), F.unhex(F.md5("letters")).alias("same"), F.xxhash64(F.trim("line")).alias("variant"))
-    often = lines.groupBy("source", "same").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("source", "same")
+    enough = F.greatest(F.lit(min_docs).cast("double"), F.lit(min_share) * F.col("docs"))
+    often = lines.groupBy("source", "same").agg(F.count("*").alias("n")).join(sources, "source").where(F.col("n") >= enough).select("source", "same")
     places = lines.join(often, ["source", "same"], "left_semi").join(docs.select("source", "doc", "number"), ["source", "doc"])
-    places = places.select("key", "line_no", "source", "same", "variant", F.bitmap_bucket_number("number").alias("block"), F.bitmap_bit_position("number").cast("smallint").alias("bit"))
+    places = places.select("key", "line_no", "source", "same", "variant", F.bitmap_bucket_number("number").alias("block"), F.bitmap_bit_position("number").alias("bit"))
     places = materialize(places, "line-places")
 
-    variants = places.groupBy("source", "same", "variant", "block").agg(F.sort_array(F.collect_set("bit")).alias("bits"))
-    union = variants.select("source", "same", "block", F.explode("bits").alias("bit"))
-    union = union.groupBy("source", "same", "block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
+    variants = places.groupBy("source", "same", "variant", "block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    union = materialize(variants.groupBy("source", "same", "block").agg(F.bitmap_or_agg("bitmap").alias("bitmap")), "line-bitmaps")
     count = union.groupBy("source", "same").agg(F.sum(F.bitmap_count("bitmap")).alias("held"))
-    count = count.join(sources, "source").where((F.col("held") >= min_docs) & (F.col("held") >= F.lit(min_share) * F.col("docs")))
+    count = count.join(sources, "source").where(F.col("held") >= enough)
     excessive = union.join(count.select("source", "same"), ["source", "same"], "left_semi")
     found = places.join(excessive, ["source", "same", "block"]).where(_bit(F.col("bitmap"), F.col("bit")))
     return found.select(F.col("key").alias(key), F.col("line_no").cast("int").alias("line_no")).distinct()

@@ -4,7 +4,8 @@ The kernel of two sentences is the number of n-grams (``n`` from 1 to 3, blended
 hold, over the geometric mean of their numbers. Nyström landmarks span the feature space and kernel ridge
 regression, one language against the rest, is fitted on the driver on a bounded sample of labelled rows. Kernel
 values with the landmarks are products of presence matrices, so landmarks, Nyström map and regression fold into one
-matrix (n-gram bucket x language); a batch of sentences is scored by one product of its presence rows with it.
+matrix (n-gram bucket x language); a batch of sentences is scored by the product of its presence rows, which are sparse,
+with it.
 
 Each text is a chain of sentences; the best chain of languages, with a price for each change, gives the segments,
 so that lone names, codes and short ends of lines stay with their neighbours.
@@ -32,6 +33,7 @@ NAMES = {
     "es": ["es", "spa", "esp", "spanish", "espagnol", "español", "espanol", "castellano"],
 }
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
+CHINESE = 3  # letters that a Chinese character says as much as
 
 
 def known_label(label: Column) -> Column:
@@ -50,7 +52,8 @@ def _alphabet() -> np.ndarray:
 
 
 def grams(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram buckets of each sentence: buckets, n + 1 offsets, and the number of letters."""
+    """Distinct n-gram buckets of each sentence: buckets, n + 1 offsets, and the number of letters (a Chinese
+    character counts CHINESE)."""
     n = len(start)
     size = end - start
     owner = np.repeat(np.arange(n), size)
@@ -59,7 +62,8 @@ def grams(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     blank = low == 0x20
     keep = ~(blank & np.concatenate(([False], blank[:-1])) & np.concatenate(([False], owner[1:] == owner[:-1])))
     low, owner = low[keep].astype(np.uint64), owner[keep]
-    letters = np.bincount(owner[low != 0x20], minlength=n)
+    solid = low != 0x20
+    letters = np.bincount(owner[solid], weights=np.where((cp.classes()[low[solid]] & cp.CJK) > 0, CHINESE, 1), minlength=n).astype(np.int64)
     buckets, owners = [], []
     code = np.zeros(len(low), np.uint64)
     for order in range(1, max(ORDERS) + 1):
@@ -229,18 +233,21 @@ def segments_of(model: LanguageModel, texts: pa.Array, figure: np.ndarray) -> di
     return {"row": seg_row, "seg_no": seg_no, "lang": lang[head], "confidence": confidence, "first": nth[head], "last": nth[np.append(head[1:], len(row)) - 1]}
 
 
-def segments(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", text: str = "text", kind: str | None = "kind") -> DataFrame:
-    """One row for each longest run of sentences in one language: key, seg_no, lang, confidence, first and last
-    sentence (from 1). Null, empty and blank texts have none; repeated rows repeat their segments."""
-    figure = F.lower(F.col(kind)).eqNullSafe("figure") | F.col(text).startswith("[Figure p.") if kind else F.lit(False)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(figure, F.lit(False)).alias("figure")).where(F.length("text") > 0)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _segment_rows(rows: DataFrame, model: LanguageModel, key: str, wrong_only: bool) -> DataFrame:
+    """Segments of rows (key, text, figure, label); with ``wrong_only`` of those that ``mislabelled`` reports."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        names = pa.array(shared.value.languages)
+        languages = shared.value.languages
+        names = pa.array(languages)
         for batch in batches:
             for at, texts in cp.slices(batch.column("text"), 1 << 19):
                 s = segments_of(shared.value, texts, batch.column("figure").slice(at, len(texts)).to_numpy(zero_copy_only=False))
+                if wrong_only and len(s["row"]):
+                    label = np.array([languages.index(x) if x in languages else -1 for x in batch.column("label").slice(at, len(texts)).to_pylist()])
+                    bad = np.zeros(len(texts), bool)
+                    bad[s["row"][(s["lang"] != label[s["row"]]) | (s["seg_no"] > 1)]] = True
+                    s = {n: x[bad[s["row"]]] for n, x in s.items()}
                 if len(s["row"]):
                     yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(s["row"] + at)), pa.array(s["seg_no"], pa.int32()), names.take(pa.array(s["lang"])), pa.array(s["confidence"]), pa.array(s["first"], pa.int32()), pa.array(s["last"], pa.int32())], ["key", "seg_no", "lang", "confidence", "first_sent", "last_sent"])
 
@@ -248,13 +255,18 @@ def segments(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", text
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def _rows(df: DataFrame, key: str, text: str, kind: str | None, label: Column) -> DataFrame:
+    figure = F.lower(F.col(kind)).eqNullSafe("figure") | F.col(text).startswith("[Figure p.") if kind else F.lit(False)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(figure, F.lit(False)).alias("figure"), label.alias("label")).where(F.length("text") > 0)
+
+
+def segments(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", text: str = "text", kind: str | None = "kind") -> DataFrame:
+    """One row for each longest run of sentences in one language: key, seg_no, lang, confidence, first and last
+    sentence (from 1). Null, empty and blank texts have none; repeated rows repeat their segments."""
+    return _segment_rows(_rows(df, key, text, kind, F.lit("")), model, key, False)
+
+
 def mislabelled(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", text: str = "text", label: str = "lang", kind: str | None = "kind") -> DataFrame:
     """Segments of the texts whose label is missing, names no language or another one, and of all texts in several
-    languages. ``key`` should be unique."""
-    tagged = df.withColumn("__key", F.struct(F.col(key).alias("key"), F.col(label).alias("label")))
-    found = segments(tagged, model, key="__key", text=text, kind=kind)
-    # the chunk's segments come together out of one task, so the last one's number is known from the first
-    found = found.select(F.col("__key.key").alias(key), known_label(F.col("__key.label")).alias("label"), "seg_no", "lang", "confidence", "first_sent", "last_sent")
-    case = F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("seg_no") > 1)
-    keys = found.where(case).select(key).distinct()
-    return found.join(keys, key, "left_semi").drop("label")
+    languages; each row is judged by itself, in one pass."""
+    return _segment_rows(_rows(df, key, text, kind, known_label(F.col(label))), model, key, True)

@@ -6,8 +6,9 @@ a block of no pattern lets the search skip ``length - 1`` words. Where the shift
 (as suffix of a pattern) and of the window's first block (as prefix) selects test windows, and their words are
 compared directly. All rows of a batch are searched in step, so each step is array arithmetic.
 
-The pattern tables go to the tasks in blocks of ``items_per_block`` test items, each block a scan of its own, so
-what is sent at once has a bound whatever the number of test items.
+The pattern tables go to the tasks in blocks of at most about ``items_per_block`` test items and ``chars_per_block``
+characters, each block a scan of its own. One block is sent at a time: what the driver and the tasks hold has a bound whatever
+the number and length of test items.
 
 Results: one row (document key, item key) for each document that holds at least ``length`` consecutive words of
 the item's passage. Null and shorter texts or passages give none; repeated rows give one.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import codepoints as cp
+from corpusloom.session import materialize
 
 
 def _block(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,15 +112,16 @@ class Patterns:
         return np.array(out_rows, np.int64), np.array(out_items, np.int64)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", length: int = 12, items_per_block: int = 20_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", length: int = 12, items_per_block: int = 20_000, chars_per_block: int = 8_000_000) -> DataFrame:
     """Documents that hold ``length`` consecutive words of a test passage (see the module).
 
-    ``items_per_block`` bounds what is collected and sent to the tasks at once.
+    ``items_per_block`` and ``chars_per_block`` bound what is collected and sent to the tasks at once.
     """
     documents = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     items = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).where(F.length("passage") > 0).distinct()
     schema = T.StructType([T.StructField(key, documents.schema["key"].dataType), T.StructField(item, items.schema["item"].dataType)])
-    blocks = max(1, -(-items.count() // items_per_block))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // items_per_block), -(-size["chars"] // chars_per_block))
     found = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == b).orderBy("item", "passage").toPandas()
@@ -134,7 +137,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows + first)), names.take(pa.array(hits))], [key, item])
 
-        found.append(documents.mapInArrow(search, schema))
+        hits = documents.mapInArrow(search, schema)
+        if blocks > 1:
+            hits = materialize(hits.distinct(), "leaks")
+            tables.destroy()
+        found.append(hits)
     if not found:
         return documents.sparkSession.createDataFrame([], schema)
     out = found[0]

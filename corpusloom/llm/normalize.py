@@ -1,14 +1,16 @@
 """Text in one consistent form: visually identical text gets identical characters.
 
 The whole batch is handled as one code-point array: a lookup-table gather replaces characters one to one,
-expansion offsets make room for those that become several, and marks are composed with their bases by a
-sorted pair table. No string function runs per row.
+expansion offsets make room for those that become several, and marks are put into canonical order and composed with their
+bases by a sorted pair table (Hangul by its arithmetic). No string function runs per row.
 
 Usual form:
 * compatibility letters and digits (full-width, ligatures, mathematical alphabets, radicals, compatibility
   ideographs) become ordinary ones; every kind of space becomes a plain space, hyphens become ``-``, invisible
   format characters go; accented letters become one character;
-* a Cyrillic or Greek look-alike becomes the Latin letter where its word shows that it stands for one;
+* a Cyrillic or Greek look-alike becomes the Latin letter where its word has Latin letters too, or is made of look-alikes
+  only in a text that has no more unmistakable letters of that script than Latin ones;
+* line and paragraph separators become line breaks;
 * full-width signs become plain ones on lines without Chinese, and stay Chinese punctuation elsewhere;
 * Greek quantities, fractions, raised and circled figures, ordinary punctuation and line breaks stay.
 
@@ -34,7 +36,10 @@ CYRILLIC = {"А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "γ": "y"}
 LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "ⅼ": "l"}
 HYPHENS = "\u2010\u2011\u2012\u2043\ufe63\u02d7"
+LINE_ENDS = "\u0085\u2028\u2029"
 KEPT_FORMATS = "\u061c"
+# The Hangul letters and syllables that Unicode composes by arithmetic.
+LEAD, VOWEL, TRAIL, SYLLABLE, VOWELS, TRAILS = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28
 
 
 @functools.cache
@@ -69,6 +74,8 @@ def _tables() -> dict[str, np.ndarray]:
     for i in range(0xFF01, 0xFF5F):
         if single[i] == i:
             wide[i] = i - 0xFEE0
+    for c in LINE_ENDS:
+        single[ord(c)] = 0x0A
     length = np.ones(cp.SPAN, np.int8)
     start = np.zeros(cp.SPAN, np.int32)
     pool: list[int] = []
@@ -95,8 +102,10 @@ def _tables() -> dict[str, np.ndarray]:
     order = np.argsort(np.array(keys, np.uint64))
     combining = np.zeros(cp.SPAN, bool)
     combining[[v & 0x1FFFFF for v in keys]] = True
-    dirty = (single != np.arange(cp.SPAN)) | (length != 1) | (wide != np.arange(cp.SPAN)) | (like > 0) | combining
-    return {"single": single, "length": length, "start": start, "pool": np.array(pool or [0], np.uint32), "wide": wide, "like": like, "script": script, "pairs": np.array(keys, np.uint64)[order], "composed": np.array(values, np.uint32)[order], "combining": combining, "dirty": dirty}
+    order_class = np.array([unicodedata.combining(chr(i)) for i in range(cp.SPAN)], np.uint8)
+    dirty = (single != np.arange(cp.SPAN)) | (length != 1) | (wide != np.arange(cp.SPAN)) | (like > 0) | combining | (order_class > 0)
+    dirty[VOWEL : VOWEL + VOWELS] = dirty[TRAIL + 1 : TRAIL + TRAILS] = True
+    return {"order": order_class, "single": single, "length": length, "start": start, "pool": np.array(pool or [0], np.uint32), "wide": wide, "like": like, "script": script, "pairs": np.array(keys, np.uint64)[order], "composed": np.array(values, np.uint32)[order], "combining": combining, "dirty": dirty}
 
 
 def _expand(points: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -111,27 +120,66 @@ def _expand(points: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarra
     return out, ends[offsets]
 
 
-def _compose(points: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Joins each mark to the character before it, as often as that gives one character."""
-    while True:
+def _without(points: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(keep, out=ends[1:])
+    return points[keep], ends[offsets]
+
+
+def _hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of a syllable become the syllable: lead and vowel, then what ends it."""
+    for lead in (True, False):
         first = np.zeros(len(points) + 1, bool)
         first[offsets] = True
-        at = np.flatnonzero(t["combining"][points] & ~first[:-1])
-        if not len(at):
-            return points, offsets
-        at = at[~np.isin(at - 1, at)]  # the first of several marks
-        key = points[at - 1].astype(np.uint64) << np.uint64(21) | points[at]
+        base, after = points[:-1].astype(np.int64), points[1:].astype(np.int64)
+        if lead:
+            hit = (base >= LEAD) & (base < LEAD + 19) & (after >= VOWEL) & (after < VOWEL + VOWELS)
+            new = SYLLABLE + ((base - LEAD) * VOWELS + after - VOWEL) * TRAILS
+        else:
+            hit = (base >= SYLLABLE) & (base < 0xD7A4) & ((base - SYLLABLE) % TRAILS == 0) & (after > TRAIL) & (after < TRAIL + TRAILS)
+            new = base + after - TRAIL
+        at = np.flatnonzero(hit & ~first[1:-1])
+        if len(at):
+            points = points.copy()
+            points[at] = new[at]
+            keep = np.ones(len(points), bool)
+            keep[at + 1] = False
+            points, offsets = _without(points, offsets, keep)
+    return points, offsets
+
+
+def _compose(points: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Puts the marks of each letter in canonical order and joins them to it, as far as that gives one character and no
+    mark of the same class stands between."""
+    first = np.zeros(len(points) + 1, bool)
+    first[offsets] = True
+    first = first[:-1]
+    order = t["order"][points]
+    mark = (t["combining"][points] | (order > 0)) & ~first
+    if not mark.any():
+        return points, offsets
+    if (mark[1:] & (order[1:] > 0) & (order[:-1] > order[1:])).any():
+        put = np.lexsort((order, np.cumsum((order == 0) | first)))
+        points, order = points[put], order[put]
+        mark = (t["combining"][points] | (order > 0)) & ~first
+    points = points.copy()
+    keep = np.ones(len(points), bool)
+    at = np.flatnonzero(mark & ~np.concatenate(([False], mark[:-1])))
+    base, last = at - 1, np.zeros(len(at), np.uint8)  # the letter, and the class of the mark left before
+    while len(at):
+        key = points[base].astype(np.uint64) << np.uint64(21) | points[at]
         found = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
-        hit = t["pairs"][found] == key
-        if not hit.any():
-            return points, offsets
-        points = points.copy()
-        points[at[hit] - 1] = t["composed"][found[hit]]
-        keep = np.ones(len(points), bool)
+        free = (last < order[at]) | (last == 0) & (order[at] == 0)
+        hit = (t["pairs"][found] == key) & free
+        points[base[hit]] = t["composed"][found[hit]]
         keep[at[hit]] = False
-        ends = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(keep, out=ends[1:])
-        points, offsets = points[keep], ends[offsets]
+        letter = ~hit & (order[at] == 0)
+        base, last = np.where(letter, at, base), np.where(hit, last, order[at])
+        at = at + 1
+        go = at < len(points)
+        go[go] = mark[at[go]]
+        at, base, last = at[go], base[go], last[go]
+    return _without(points, offsets, keep)
 
 
 def _runs(flag: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +192,8 @@ def _runs(flag: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lookalikes(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
-    """A word's Cyrillic and Greek look-alikes become Latin where the word has Latin letters, or is nothing but
-    look-alikes; a lone small Greek letter stays a quantity."""
+    """A word's Cyrillic and Greek look-alikes become Latin where the word has Latin letters, or is nothing but look-alikes in a
+    text that is not of their script; a lone small Greek letter stays a quantity."""
     like = t["like"][points]
     if not like.any():
         return points
@@ -160,7 +208,13 @@ def _lookalikes(points: np.ndarray, offsets: np.ndarray, t: dict) -> np.ndarray:
     greek_only = count((script == 4) & (like > 0))
     capital = np.isin(points[starts], [ord(c) for c in GREEK if c.isupper()])
     quantity = (sizes == 1) & (greek_only == 1) & ~capital
-    turn = (foreign > 0) & ~quantity & ((latin > 0) | (other == 0))
+    # unmistakable letters of the whole text
+    row = cp.row_of(offsets)
+    in_row = lambda mask: np.bincount(row[mask], minlength=len(offsets) - 1)
+    of = row[starts]
+    cyrillic, greek = in_row((script == 2) & (like == 0)), in_row((script == 4) & (like == 0) & (points != 0x394) & (points != 0x3BC))
+    foreign_text = np.where(script[starts] == 4, greek[of], cyrillic[of]) > in_row(script == 1)[of]
+    turn = (foreign > 0) & ~quantity & ((latin > 0) | (other == 0) & ~foreign_text)
     word = np.repeat(turn, sizes)
     at = np.concatenate([np.zeros(0, np.int64), np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())])
     at = at[word].astype(np.int64)
@@ -197,7 +251,7 @@ def normalize_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     sizes = np.diff(offsets)[rows]
     sub, sub_offsets = points[mask], np.concatenate(([0], np.cumsum(sizes)))
     sub, sub_offsets = _expand(sub, sub_offsets, t)
-    sub, sub_offsets = _compose(sub, sub_offsets, t)
+    sub, sub_offsets = _compose(*_hangul(sub, sub_offsets), t)
     sub = _lookalikes(sub, sub_offsets, t)
     sub, sub_offsets = _compose(sub, sub_offsets, t)  # marks on letters that were of another script
     sub = _wide_signs(sub, sub_offsets, t)
