@@ -90,3 +90,60 @@ def similarity_report(pairs: DataFrame, *, threshold: float = 0.4, score: str =
     placed = counts.join(bins, "bin").withColumn("upto", run).crossJoin(total.select("n_ok"))
     median = placed.where(F.col("upto") > F.floor(F.col("n_ok") / 2)).agg(F.bround(F.min(score), 4).alias("median"))
     return total.crossJoin(median)
+
+
+def region_candidates(chunks: DataFrame, *, least_area: float = 100.0, least_chars: int = 30) -> DataFrame:
+    """Chunks whose region can be compared with their text: four coordinates, an area of at least ``least_area``, at least
+    ``least_chars`` characters, a page from 1."""
+    box = F.col("bbox")
+    area = F.greatest(F.lit(0.0), box[2] - box[0]) * F.greatest(F.lit(0.0), box[3] - box[1])
+    return chunks.where((F.size(box) == 4) & (F.length("text") >= least_chars) & (F.col("page") >= 1)).where(area >= least_area)
+
+
+def region_sample(chunks: DataFrame, *, n: int = 50, seed: int = 0, **options) -> DataFrame:
+    """``n`` of these candidates (the sampling is the feature), those of least hash of seed and chunk_hash."""
+    return region_candidates(chunks, **options).orderBy(F.xxhash64(F.lit(seed), "chunk_hash"), "chunk_hash").limit(n)
+
+
+def worst(pairs: DataFrame, *, n: int = 5, score: str = "similarity", key: str = "chunk_id") -> DataFrame:
+    """The ``n`` least similar pairs."""
+    return pairs.where(F.col(score).isNotNull()).orderBy(score, key).limit(n)
+
+
+def traversal_scores(items: DataFrame, context: DataFrame) -> DataFrame:
+    """Graph items (item_id, occ_id, keywords) against the facts of their occurrences (see ``graph.hop_one``): numbers of findings,
+    recommendations and distinct regulations, keyword_hit, and score 1 where there are findings and a keyword stands in them."""
+    rows = items.join(context.select("occ_id", "findings", "recommendations", "direct_regs"), "occ_id", "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(context.schema[like].dataType))
+    found = none("findings", "findings")
+    regs = F.array_union(none("direct_regs", "direct_regs"), F.filter(F.transform(found, lambda f: f["cites_reg"]), lambda x: x.isNotNull()))
+    hit = keyword_hit(F.transform(found, lambda f: F.coalesce(f["text"], F.lit(""))), F.col("keywords"))
+    return rows.select("item_id", "occ_id", F.size(found).alias("n_findings"), F.size(none("recommendations", "recommendations")).alias("n_recs"), F.size(regs).alias("n_regs"), hit.alias("keyword_hit"), F.when((F.size(found) > 0) & hit, 1.0).otherwise(0.0).alias("score"))
+
+
+def replayed(queries: DataFrame, log: DataFrame, points: DataFrame, *, k: int = 10, threshold: float = 0.8) -> DataFrame:
+    """Retrieval with the feedback of the log: of each query (query_id, vector) the nearest open rejection as near as
+    ``threshold``, the hashes that it excludes, and of the ``k`` best points (point_id, chunk_hash, vector) without it how many
+    those exclude. Resolved rejections exclude nothing."""
+    from corpusloom.operators import feedback, search
+
+    near = feedback.similar_rejections(queries, log, threshold=threshold, k=1)
+    gone = feedback.exclusions(near, log)
+    hits = search.dense_topk(queries, points, k=k).join(points.select("point_id", "chunk_hash"), "point_id")
+    hit = hits.join(gone.withColumn("gone", F.lit(1)), ["query_id", "chunk_hash"], "left").groupBy("query_id").agg(F.count("gone").alias("hits_excluded"))
+    size = gone.groupBy("query_id").agg(F.count("*").alias("excluded"))
+    out = queries.select("query_id").distinct().join(near.select("query_id", "id"), "query_id", "left").join(size, "query_id", "left").join(hit, "query_id", "left")
+    return out.select("query_id", "id", F.coalesce("excluded", F.lit(0)).alias("excluded"), F.coalesce("hits_excluded", F.lit(0)).alias("hits_excluded"))
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """A report by slice (see ``report``) as lines of text: (slice, line)."""
+    number = lambda c: F.format_string("%.4f", c)
+    head = F.when(F.col("slice") == "all", F.concat(F.lit("Eval over "), F.col("items").cast("string"), F.lit(" queries"))).otherwise(F.concat(F.lit("  -- "), "slice", F.lit(" (n="), F.col("items").cast("string"), F.lit(")")))
+    return report.select("slice", F.concat(head, F.lit(": R@5="), number("recall_5"), F.lit(" R@10="), number("recall_10"), F.lit(" MRR="), number("rr"), F.lit(" nDCG@5="), number("ndcg_5"), F.lit(" nDCG@10="), number("ndcg_10")).alias("line"))
+
+
+def result_json(hits: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """Ranked hits of each query as one JSON array."""
+    fields = [c for c in ("rank", "doc_id", "page", "section_title", "lang", "source_url", "bbox", "score", "rerank_score", "text") if c in hits.columns]
+    return hits.groupBy(query).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("json"))

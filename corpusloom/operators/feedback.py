@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.running import before_sum
 from corpusloom.operators.search import dense_topk, ranked
+from corpusloom.session import materialize
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -25,6 +26,21 @@ def similar_rejections(queries: DataFrame, log: DataFrame, *, threshold: float =
     return dense_topk(queries, open_, k=k, least=threshold).withColumnRenamed("point_id", "id")
 
 
+def written(rows: DataFrame, path: str) -> None:
+    """Appends rejections (id, query, query_emb, answer, chunk_hashes, terms) to the log at ``path``, open and with the time of
+    writing."""
+    stamped = rows.withColumn("created_at", F.current_timestamp()).withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    stamped.write.mode("append").parquet(path)
+
+
+def resolved(ids: DataFrame, path: str) -> None:
+    """Marks rejections (id) of the log at ``path`` as resolved now: their last state is appended with the time; ids that the log
+    does not have change nothing."""
+    log = ids.sparkSession.read.parquet(path)
+    rows = latest(log).join(ids.select("id").distinct(), "id", "left_semi").select(*log.columns)
+    materialize(rows.withColumn("resolved_at", F.current_timestamp()), "resolved").write.mode("append").parquet(path)
+
+
 def exclusions(nearest: DataFrame, log: DataFrame) -> DataFrame:
     """Chunk hashes that a query's nearest rejection excludes: (query_id, chunk_hash)."""
     best = nearest.where("rank = 1").select("query_id", "id")
@@ -90,8 +106,29 @@ def steps(trace: DataFrame, *, thread: str, order: str) -> DataFrame:
 
 
 def context_block(context: DataFrame) -> DataFrame:
-    """Graph facts of occurrences (id, direct_regs, acs, reg_guided_acs as lists) as lines of a prompt; an occurrence without facts
-    is named only."""
-    line = lambda name, label: F.when(F.size(name) > 0, F.concat(F.lit(f"\n  {label}: "), F.array_join(name, ", "))).otherwise("")
-    facts = F.concat(line("direct_regs", "cited regulations"), line("reg_guided_acs", "implementing regs guided by ACs"), line("acs", "referenced ACs"))
-    return context.select("id", F.when(facts == "", F.concat(F.lit("- Occurrence "), F.col("id"))).otherwise(F.concat(F.lit("Occurrence "), F.col("id"), F.lit(":"), facts)).alias("block"))
+    """Graph facts of occurrences (see ``graph.hop_one``; ``id`` or ``occ_id``, columns that are missing count as empty) as lines of
+    a prompt; an occurrence without facts is named only."""
+    key = "occ_id" if "occ_id" in context.columns else "id"
+    empty = F.lit("")
+
+    def listed(name: str, label: str) -> Column:
+        if name not in context.columns:
+            return empty
+        return F.when(F.size(name) > 0, F.concat(F.lit(f"\n  {label}: "), F.array_join(name, ", "))).otherwise("")
+
+    def each(name: str, line) -> Column:
+        return F.array_join(F.transform(name, line), "") if name in context.columns else empty
+
+    place = lambda x: F.concat(F.lit("\n  ["), F.coalesce(x["source_doc_id"], F.col(key)), F.lit(" p."), F.coalesce(x["page"].cast("string"), F.lit("?")), F.lit("] "))
+    flat = lambda x: F.trim(F.regexp_replace(F.coalesce(x["text"], empty), "\n", " "))
+    facts = F.concat(
+        each("findings", lambda x: F.concat(place(x), F.coalesce(x["category"], F.lit("finding")), F.lit(": "), flat(x), F.when(F.coalesce(x["cites_reg"], empty) != "", F.concat(F.lit(" [cites CAR "), x["cites_reg"], F.lit("]"))).otherwise(""))),
+        each("recommendations", lambda x: F.concat(place(x), F.lit("recommendation"), F.when(F.coalesce(x["id"], empty) != "", F.concat(F.lit(" ("), x["id"], F.lit(")"))).otherwise(""), F.lit(": "), flat(x))),
+        listed("direct_regs", "cited regulations"),
+        listed("rec_regs", "recommendations implement"),
+        listed("reg_guided_acs", "implementing regs guided by ACs"),
+        listed("acs", "referenced ACs"),
+    )
+    url = F.coalesce("occ_url", empty) if "occ_url" in context.columns else empty
+    bare = F.rtrim(F.concat(F.lit("- Occurrence "), F.col(key), F.lit("  "), url))
+    return context.select(key, F.when(facts == "", bare).otherwise(F.concat(F.lit("Occurrence "), F.col(key), F.lit(":"), facts)).alias("block"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import lake
+from corpusloom.session import materialize
 
 # Citation patterns and section headings with their category.
 REGULATION = r"(?iU)\bCARs?\s*(\d{3}(?:\.\d+)+)"
@@ -21,42 +23,38 @@ SECTIONS = [
     (r"(?iu)mesures\s+de\s+sécurité\b", "safety_action"),
 ]
 LIST_ITEM = r"(?s)(?:^|\n)\s*(?:\d+\.|•|-|\*)\s+(.+?)(?=\n\s*(?:\d+\.|•|-|\*|\z)|\z)"
-# Aircraft patterns and the form of their ids; {1} is the first group, in capitals.
+# Aircraft patterns, the form of their ids ({1} is the group, in capitals; "{1:title}" in title case) and forms that
+# single values of the group have instead.
 AIRCRAFT = [
-    (r"(?i)\bDHC[-\s]?8[-\s][-\s]?(\d{3})[A-Z]?\b", "DHC-8-{1}"),
-    (r"(?i)\bQ\s*(400)\b", "DHC-8-402"),
-    (r"(?i)\bQ\s*(300)\b", "DHC-8-311"),
-    (r"(?i)\bQ\s*(200)\b", "DHC-8-202"),
-    (r"(?i)\bQ\s*(100)\b", "DHC-8-102"),
-    (r"(?i)\b(Dash[-\s]?8|DHC[-\s]?8)\b", "DHC-8"),
-    (r"(?i)\bCRJ[-\s]?(1000|900|705|700|200|100)\b", "CRJ-{1}"),
-    (r"(?i)\bCanadair\s+Regional\s+Jet\s*(\d{3})\b", "CRJ-{1}"),
-    (r"(?i)\b(CRJ|Canadair\s+Regional\s+Jet)\b", "CRJ"),
-    (r"(?i)\bLearjet\s*(\d{2}[A-Z]?)\b", "Learjet-{1}"),
-    (r"(?i)\bChallenger\s*(\d{3})\b", "Challenger-{1}"),
-    (r"(?i)\bCL[-\s]?(6\d{2})\b", "CL-{1}"),
-    (r"(?i)\bGlobal\s*(8000|7500|6500|6000|5500|5000)\b", "Global-{1}"),
-    (r"(?i)\bGlobal\s*(Express)\b", "Global-Express"),
-    (r"(?i)\bGlobal\s*(XRS)\b", "Global-Xrs"),
-    (r"(?i)\b(BD[-\s]?700)\b", "BD-700"),
-    (r"(?i)\b(Twin\s+Otter|DHC[-\s]?6)\b", "DHC-6"),
-    (r"(?i)\b(DHC[-\s]?2|Beaver)\b", "DHC-2"),
-    (r"(?i)\b(DHC[-\s]?3|Single\s+Otter)\b", "DHC-3"),
-    (r"(?i)\bDHC[-\s]?([2-9])\b", "DHC-{1}"),
-    (r"(?i)\bATR[-\s]?(72|42)(?:[-\s]\d{3})?\b", "ATR-{1}"),
-    (r"(?i)\bERJ[-\s]?(\d{3})\b", "ERJ-{1}"),
-    (r"(?i)\bE[-\s]?(170|175|190|195)(?:[-\s]E2)?\b", "E{1}"),
-    (r"(?i)\bKing\s+Air\s+([A-Z]?\d{2,3}[A-Z]*)\b", "King-Air-{1}"),
-    (r"(?i)\b(Beech(?:craft)?\s+1900[A-Z]?|1900[CD])\b", "Beechcraft-1900"),
-    (r"(?i)\bPA[-\s](\d{2}[A-Z]?)\b", "PA-{1}"),
-    (r"(?i)\bCessna\s+(\d{3}[A-Z]?)\b", "Cessna-{1}"),
-    (r"(?i)\bPC[-\s]?(12|24)\b", "PC-{1}"),
-    (r"(?i)\bGulfstream\s+G(\d{3,4})\b", "G{1}"),
-    (r"(?i)\bFalcon\s*(\d{3,4}[A-Z]?)\b", "Falcon-{1}"),
-    (r"\bC-([A-Z]{4})\b", "C-{1}"),
+    (r"(?iU)\bDHC[-\s]?8[-\s][-\s]?(\d{3})[A-Z]?\b", "DHC-8-{1}", {}),
+    (r"(?iU)\bQ\s*(400|300|200|100)\b", "DHC-8-{1}", {"400": "DHC-8-402", "300": "DHC-8-311", "200": "DHC-8-202", "100": "DHC-8-102"}),
+    (r"(?iU)\b(Dash[-\s]?8|DHC[-\s]?8)\b", "DHC-8", {}),
+    (r"(?iU)\bCRJ[-\s]?(1000|900|705|700|200|100)\b", "CRJ-{1}", {}),
+    (r"(?iU)\bCanadair\s+Regional\s+Jet\s*(\d{3})?\b", "CRJ-{1}", {"": "CRJ"}),
+    (r"(?iU)\b(CRJ)\b", "CRJ", {}),
+    (r"(?iU)\bLearjet\s*(\d{2}[A-Z]?)\b", "Learjet-{1}", {}),
+    (r"(?iU)\bChallenger\s*(\d{3})\b", "Challenger-{1}", {}),
+    (r"(?iU)\bCL[-\s]?(6\d{2})\b", "CL-{1}", {}),
+    (r"(?iU)\bGlobal\s*(Express|XRS|8000|7500|6500|6000|5500|5000)\b", "Global-{1:title}", {}),
+    (r"(?iU)\b(BD[-\s]?700)\b", "BD-700", {}),
+    (r"(?iU)\b(Twin\s+Otter|DHC[-\s]?6)\b", "DHC-6", {}),
+    (r"(?iU)\b(DHC[-\s]?2|Beaver)\b", "DHC-2", {}),
+    (r"(?iU)\b(DHC[-\s]?3|Single\s+Otter)\b", "DHC-3", {}),
+    (r"(?iU)\bDHC[-\s]?([2-9])\b", "DHC-{1}", {}),
+    (r"(?iU)\bATR[-\s]?(72|42)(?:[-\s]\d{3})?\b", "ATR-{1}", {}),
+    (r"(?iU)\bERJ[-\s]?(\d{3})\b", "ERJ-{1}", {}),
+    (r"(?iU)\bE[-\s]?(170|175|190|195)(?:[-\s]E2)?\b", "E{1}", {}),
+    (r"(?iU)\bKing\s+Air\s+([A-Z]?\d{2,3}[A-Z]*)\b", "King-Air-{1}", {}),
+    (r"(?iU)\b(Beech(?:craft)?\s+1900[A-Z]?|1900[CD])\b", "Beechcraft-1900", {}),
+    (r"(?iU)\bPA[-\s](\d{2}[A-Z]?)\b", "PA-{1}", {}),
+    (r"(?iU)\bCessna\s+(\d{3}[A-Z]?)\b", "Cessna-{1}", {}),
+    (r"(?iU)\bPC[-\s]?(12|24)\b", "PC-{1}", {}),
+    (r"(?iU)\bGulfstream\s+G(\d{3,4})\b", "G{1}", {}),
+    (r"(?iU)\bFalcon\s*(\d{3,4}[A-Z]?)\b", "Falcon-{1}", {}),
+    (r"(?U)\bC-([A-Z]{4})\b", "C-{1}", {}),
 ]
 # Beginnings of all patterns but the last, the registration.
-AIRCRAFT_BEGINNING = r"(?i)\b(?:DHC|Q\s*[1-4]00|Dash|CRJ|Canadair|Learjet|Challenger|CL[-\s]?6|Global|BD|Twin|Beaver|Single|ATR|ERJ|E[-\s]?1[79]|King\s|Beech|1900|PA[-\s]|Cessna|PC[-\s]?[12]|Gulfstream|Falcon)"
+AIRCRAFT_BEGINNING = r"(?iU)\b(?:DHC|Q\s*[1-4]00|Dash|CRJ|Canadair|Learjet|Challenger|CL[-\s]?6|Global|BD|Twin|Beaver|Single|ATR|ERJ|E[-\s]?1[79]|King\s|Beech|1900|PA[-\s]|Cessna|PC[-\s]?[12]|Gulfstream|Falcon)"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -77,13 +75,19 @@ def recommendation_ids(text: Column) -> Column:
 
 
 def aircraft(text: Column) -> Column:
-    """Aircraft ids, each once, in the order of the patterns."""
+    """Aircraft ids, each once, in the order of the patterns, those of one pattern in the order of the text."""
 
-    def ids(pattern: str, form: str) -> Column:
-        fixed, group, _ = form.partition("{1}")
-        return F.transform(_all(text, pattern), lambda x: F.concat(F.lit(fixed), F.upper(x)) if group else F.lit(form))
+    def ids(pattern: str, form: str, special: dict[str, str]) -> Column:
+        def one(x: Column) -> Column:
+            fixed, group, _ = form.partition("{1")
+            out = F.lit(form) if not group else F.concat(F.lit(fixed), F.initcap(F.lower(x)) if form.endswith(":title}") else F.upper(x))
+            for value, to in special.items():
+                out = F.when(x == value, F.lit(to)).otherwise(out)
+            return out
 
-    types = F.concat(*[ids(pattern, form) for pattern, form in AIRCRAFT[:-1]])
+        return F.transform(_all(text, pattern), one)
+
+    types = F.concat(*[ids(*row) for row in AIRCRAFT[:-1]])
     # one pass over word beginnings spares most texts the passes of all patterns
     types = F.when(text.rlike(AIRCRAFT_BEGINNING), types).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(types, ids(*AIRCRAFT[-1])))
@@ -139,24 +143,108 @@ def circular_nodes(chunks: DataFrame) -> DataFrame:
     return first.select(circular_number(F.col("doc_id")).alias("id"), "doc_id", F.col("section_title").alias("title")).where("id is not null")
 
 
-def edges_of(chunks: DataFrame) -> DataFrame:
-    """Edges (src, rel, dst), each once, out of chunk texts: CITES, REFERENCES_AC and INVOLVES of occurrences, GUIDED_BY of
-    regulations and IMPLEMENTS of recommendations."""
+def _facts(chunks: DataFrame) -> DataFrame:
+    """Chunks with their entities, their occurrence (``occ``, tsb) or circular (``circular``, tc) and ``findings`` and
+    ``recommendations`` as arrays of (id, text, ...)."""
     rows = entities(chunks).withColumn("occ", F.when(F.col("corpus") == "tsb", F.expr("substring(doc_id, instr(doc_id, '/') + 1)"))).withColumn("circular", F.when(F.col("corpus") == "tc", circular_number(F.col("doc_id"))))
+    none = lambda t: F.array().cast(t)
+    found = F.transform("findings", lambda f: F.struct(T.fact_id(F.col("occ"), "f", f["text"]).alias("id"), f["text"].alias("text"), f["category"].alias("category")))
+    recommended = F.transform("recommendation_ids", lambda r: F.struct(T.fact_id(F.col("occ"), "r", F.lit(""), r).alias("id"), F.lit("").alias("text")))
+    return rows.withColumn("findings", F.when(F.col("occ").isNotNull(), found).otherwise(none("array<struct<id:string,text:string,category:string>>"))).withColumn("recommendations", F.when(F.col("occ").isNotNull(), recommended).otherwise(none("array<struct<id:string,text:string>>")))
 
+
+def _edges(facts: DataFrame) -> DataFrame:
     def edge(src: Column, rel: str, dst: Column) -> Column:
         return F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
 
     occ, circular = F.col("occ"), F.col("circular")
-    implements = F.flatten(F.transform("recommendation_ids", lambda r: F.transform("regulations", lambda g: edge(r, "IMPLEMENTS", g))))
+    every = lambda name, rel: F.flatten(F.transform(name, lambda x: F.transform("regulations", lambda g: edge(x["id"], rel, g))))
     found = F.concat(
         F.transform("regulations", lambda g: edge(occ, "CITES", g)),
         F.transform("circulars", lambda c: edge(occ, "REFERENCES_AC", c)),
         F.transform("aircraft", lambda a: edge(occ, "INVOLVES", a)),
         F.transform("regulations", lambda g: edge(g, "GUIDED_BY", circular)),
-        implements,
+        F.transform("findings", lambda f: edge(occ, "HAS_FINDING", f["id"])),
+        F.transform("recommendations", lambda r: edge(occ, "HAS_RECOMMENDATION", r["id"])),
+        every("findings", "FINDING_CITES"),
+        every("recommendations", "IMPLEMENTS"),
     )
-    return rows.select(F.explode(found).alias("e")).select("e.*").where("src is not null and dst is not null").distinct()
+    return facts.select(F.explode(found).alias("e")).select("e.*").where("src is not null and dst is not null").distinct()
+
+
+def edges_of(chunks: DataFrame) -> DataFrame:
+    """Edges (src, rel, dst), each once, out of chunk texts: CITES, REFERENCES_AC, INVOLVES, HAS_FINDING and
+    HAS_RECOMMENDATION of occurrences, FINDING_CITES of findings and IMPLEMENTS of recommendations with the regulations of
+    their chunk, GUIDED_BY of regulations and the circular whose text cites them."""
+    return _edges(_facts(chunks))
+
+
+def tables_of(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The graph as tables, from one extraction that is written once: ``edges`` and the nodes ``occurrences``, ``findings``,
+    ``recommendations``, ``regulations``, ``circulars`` and ``aircraft``, ids unique. Of findings and recommendations with one
+    id the properties written last in scan order stay."""
+    wanted = ["chunk_id", "doc_id", "corpus", "lang", "page", "source_url", "section_title", "occ", "circular", "regulations", "circulars", "aircraft", "findings", "recommendations"]
+    facts = materialize(_facts(chunks).where("corpus in ('tsb', 'tc')").select(*wanted), "facts")
+
+    def written(name: str, *fields: str) -> DataFrame:
+        rows = facts.select("chunk_id", "doc_id", "corpus", "lang", "page", F.posexplode(name).alias("nth", "x"))
+        rows = rows.select(F.col("x.id").alias("id"), *[F.col(f"x.{f}").alias(f) for f in fields], "lang", F.col("doc_id").alias("source_doc_id"), "page", "doc_id", "corpus", "chunk_id", "nth")
+        return last_of(rows, ["id"], [*lake.scan_order(rows), F.col("nth")]).drop("doc_id", "corpus", "chunk_id", "nth")
+
+    cited = lambda name: facts.select(F.explode(name).alias("id")).distinct()
+    titled = circular_nodes(facts)
+    return {
+        "edges": _edges(facts),
+        "occurrences": occurrences(facts),
+        "findings": written("findings", "text", "category"),
+        "recommendations": written("recommendations", "text"),
+        "regulations": cited("regulations"),
+        "circulars": cited("circulars").join(titled.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min_by("title", "doc_id").alias("title")), "id", "full_outer"),
+        "aircraft": cited("aircraft").withColumn("type_family", type_family(F.col("id"))),
+    }
+
+
+def hop_one(ids: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Nested facts of occurrences: occ_id, occ_url, findings (one struct for each finding and regulation that it cites),
+    recommendations, direct_regs, acs, rec_regs (implemented by recommendations) and reg_guided_acs (circulars that guide
+    those). Unknown ids are dropped, repeated ones come once, missing facts are an empty list."""
+    edges, asked = tables["edges"], ids.select("id").distinct()
+    rel = lambda name, a, b: edges.where(F.col("rel") == name).select(F.col("src").alias(a), F.col("dst").alias(b))
+    cites = rel("FINDING_CITES", "finding", "cites_reg")
+    found = rel("HAS_FINDING", "id", "finding").join(asked, "id", "left_semi").join(cites, "finding", "left").join(tables["findings"].withColumnRenamed("id", "finding"), "finding")
+    said = rel("HAS_RECOMMENDATION", "id", "rec").join(asked, "id", "left_semi")
+    implemented = said.join(rel("IMPLEMENTS", "rec", "reg"), "rec")
+    guided = implemented.join(rel("GUIDED_BY", "reg", "ac"), "reg")
+    said = said.join(tables["recommendations"].withColumnRenamed("id", "rec"), "rec")
+    branches = {
+        "findings": found.select("id", F.struct("text", "category", "lang", "source_doc_id", "page", "cites_reg").alias("fact")),
+        "recommendations": said.select("id", F.struct(F.col("rec").alias("id"), "text", "lang", "source_doc_id", "page").alias("fact")),
+        "direct_regs": rel("CITES", "id", "fact"),
+        "acs": rel("REFERENCES_AC", "id", "fact"),
+        "rec_regs": implemented.select("id", F.col("reg").alias("fact")),
+        "reg_guided_acs": guided.select("id", F.col("ac").alias("fact")),
+    }
+    out = context(asked, tables["occurrences"].select("id", F.col("source_url").alias("occ_url")), branches)
+    return out.withColumnRenamed("id", "occ_id")
+
+
+def looked_up(doc: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The facts of one document, by its name with or without the corpus; no such occurrence is an error."""
+    spark = tables["edges"].sparkSession
+    out = hop_one(spark.createDataFrame([(doc.split("/", 1)[-1],)], "id string"), tables)
+    if not out.limit(1).count():
+        raise LookupError(f"no graph data for {doc}")
+    return out
+
+
+def missing_nodes(edges: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Edges (src, rel, dst) an end of which is no node: what a check of the stored graph reports."""
+    known = None
+    for name, nodes in tables.items():
+        if name != "edges":
+            known = nodes.select("id") if known is None else known.unionByName(nodes.select("id"))
+    known = known.distinct()
+    return edges.join(known.withColumnRenamed("id", "src"), "src", "left_anti").unionByName(edges.join(known.withColumnRenamed("id", "dst"), "dst", "left_anti")).distinct()
 
 
 def existing_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -177,6 +265,15 @@ def adjacency(cites: DataFrame) -> DataFrame:
     return rows.groupBy("occ_id").agg(F.array_sort(F.collect_set("reg")).alias("regs"), F.min("occ_url").alias("occ_url"))
 
 
+def citing(cites: DataFrame, *, part: int = 10_000) -> DataFrame:
+    """The same folded by regulation: (reg, part, occs): the occurrences in order, each once. A regulation that very many
+    cite has several parts of about ``part`` of them, split by hash."""
+    rows = cites.where("occ_id is not null and reg is not null").select("reg", F.lower("occ_id").alias("occ_id")).distinct()
+    sizes = rows.groupBy("reg").agg(F.ceil(F.count("*") / part).alias("parts"))
+    rows = rows.join(sizes, "reg").withColumn("part", F.pmod(F.xxhash64("occ_id"), F.col("parts")))
+    return rows.groupBy("reg", "part").agg(F.array_sort(F.collect_list("occ_id")).alias("occs"))
+
+
 def context(ids: DataFrame, occ: DataFrame, branches: dict[str, DataFrame]) -> DataFrame:
     """Nested facts of occurrences (hop 1): ``ids`` (id) that exist, each once, with one column for each branch, a list of
     the distinct ``fact`` values of its rows (id, fact). Branches are aggregated before they are joined, so they don't
@@ -214,14 +311,26 @@ def type_family(aircraft_id: Column) -> Column:
 
 
 def entity_counts(chunks: DataFrame) -> DataFrame:
-    """Tallies of an extraction: distinct regulations, circulars and aircraft; rows of findings and recommendations."""
-    e = entities(chunks)
-    rows = e.agg(F.count("*").alias("chunks"), F.sum(F.size("findings")).alias("findings"), F.sum(F.size("recommendation_ids")).alias("recommendations"))
-    for name in ("regulations", "circulars", "aircraft"):
-        rows = rows.crossJoin(e.select(F.explode(name).alias("x")).agg(F.count_distinct("x").alias(name)))  # single rows
-    return rows
-
-
+    """Tallies of an extraction in one pass: distinct regulations, circulars and aircraft; rows of findings, recommendations and
+    of links between recommendations or circulars and regulations."""
+    facts = _facts(chunks)
+    kind = lambda name, values: F.transform(values, lambda x: F.struct(F.lit(name).alias("kind"), x.alias("value")))
+    own = F.coalesce("circular", F.col("occ")).isNotNull()
+    number = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
+    rows = F.concat(
+        F.array(F.struct(F.lit("chunks").alias("kind"), F.lit("").alias("value"))),
+        kind("regulations", F.col("regulations")),
+        kind("circulars", F.col("circulars")),
+        kind("aircraft", F.col("aircraft")),
+        kind("findings", F.transform("findings", lambda f: f["id"])),
+        kind("recommendations", F.transform("recommendations", lambda r: r["id"])),
+        kind("rec_reg_links", number(F.size("recommendations") * F.size("regulations"))),
+        kind("reg_ac_links", F.when(own & F.col("circular").isNotNull(), F.col("regulations")).otherwise(F.array().cast("array<string>"))),
+    )
+    # values of one kind first, so that no task counts all of them
+    counts = facts.select(F.explode(rows).alias("r")).groupBy("r.kind", "r.value").agg(F.count("*").alias("n")).groupBy("kind").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values"))
+    pick = lambda name, column: F.coalesce(F.max(F.when(F.col("kind") == name, F.col(column))), F.lit(0)).alias(name)
+    return counts.agg(*[pick(n, "n_rows") for n in ("chunks", "findings", "recommendations", "rec_reg_links", "reg_ac_links")], *[pick(n, "n_values") for n in ("regulations", "circulars", "aircraft")])
 
 
 def merged_findings(by_rule: Column, by_model: Column) -> Column:
@@ -234,3 +343,16 @@ def merged_recommendations(ids_by_rule: Column, by_model: Column) -> Column:
     own = F.coalesce(by_model, F.array().cast("array<struct<id: string, text: string>>"))
     missing = F.array_except(ids_by_rule, F.transform(own, lambda r: r["id"]))
     return F.concat(F.transform(missing, lambda i: F.struct(i.alias("id"), F.lit("").alias("text"))), own)
+
+
+def extracted(chunks: DataFrame, model) -> DataFrame:
+    """Chunks with entities where ``model`` (a function of an iterator of Arrow batches (chunk_id, text), which gives chunk_id,
+    findings array<struct<category, text>> and recommendations array<struct<id, text>>) reads the chunks with sections, at most
+    3,000 characters of each; what it gives goes before what the rules found. Other chunks never reach it."""
+    rows = entities(chunks)
+    kinds = "findings array<struct<category:string,text:string>>, recommendations array<struct<id:string,text:string>>"
+    asked = chunks.where(F.coalesce(F.col("corpus").isin("tsb", "tc"), F.lit(False)) & has_sections(F.col("text"))).select("chunk_id", F.substring("text", 1, 3000).alias("text"))
+    said = asked.mapInArrow(model, f"chunk_id long, {kinds}").select(F.col("chunk_id").alias("__id"), F.col("findings").alias("__findings"), F.col("recommendations").alias("__recommendations"))
+    out = rows.join(said, F.col("chunk_id") == F.col("__id"), "left")
+    out = out.withColumn("findings", merged_findings(F.col("findings"), F.col("__findings"))).withColumn("recommendations", merged_recommendations(F.col("recommendation_ids"), F.col("__recommendations")))
+    return out.drop("__id", "__findings", "__recommendations")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 # Scan order of languages and sources.
-LANGUAGES = ["en", "fr", "zh"]
-SOURCES = ["tsb", "tc", "ttsb", "caac"]
+LANGUAGES, SOURCES = ["en", "fr", "zh"], ["tsb", "tc", "ttsb", "caac"]
 
 
 def _rank(column: str, values: list[str]):
@@ -117,3 +116,28 @@ def chunks_as_figures(chunks: DataFrame) -> DataFrame:
     rows = chunks.where(F.col("text").rlike(tag))
     rest = F.regexp_extract("text", tag, 2)
     return rows.select("doc_id", F.regexp_extract("text", tag, 1).cast("int").alias("page"), F.split_part(rest, F.lit("\n\n"), F.lit(1)).alias("caption"), F.regexp_extract(rest, r"(?s)^.*?\n\n(.*)$", 1).alias("ocr_text"))
+
+
+def processed(documents: DataFrame, chunks: DataFrame, *, done: DataFrame | None = None, lake: DataFrame | None = None, curate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """New chunks for the lake and the admissions of all documents (lang, doc_id): documents that are ``done`` (fresh outputs)
+    count as admitted and give no chunks; of the others the admitted ones' chunks stay, each text once, none that ``lake``
+    has. Texts of rejected documents claim no hash."""
+    todo = documents if done is None else documents.join(done.select("lang", "doc_id").distinct(), ["lang", "doc_id"], "left_anti")
+    verdict = admissions(todo, chunks)
+    if not curate:
+        verdict = verdict.withColumn("reason", F.lit(None).cast("string"))
+    good = verdict.where("reason is null").select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__doc")).distinct()
+    kept = chunks.join(good, chunks["doc_id"].eqNullSafe(F.col("__doc")) & chunks["lang"].eqNullSafe(F.col("__lang")), "left_semi")
+    if done is not None:
+        fresh = documents.join(done.select("lang", "doc_id").distinct(), ["lang", "doc_id"], "left_semi")
+        verdict = verdict.unionByName(fresh.select("lang", "doc_id", F.lit(None).cast("long").alias("total_chars"), F.lit(None).cast("string").alias("reason")))
+    return new_chunks(kept, lake), verdict
+
+
+def embedded(chunks: DataFrame, embedder, *, key: str = "chunk_hash", text: str = "text") -> DataFrame:
+    """Points of chunks: point_id, ``vector`` and the chunk's columns. ``embedder`` is a function of an iterator of Arrow batches
+    (key, text) that gives (key, vector array<double>); a text comes to it once, in batches of Spark's size, and a chunk that
+    it gives no vector for is left out."""
+    once = chunks.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
+    made = once.mapInArrow(embedder, "key string, vector array<double>").where("vector is not null")
+    return chunks.join(made.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key")).drop("__key").withColumn("point_id", T.point_id(F.col(key)))

@@ -10,6 +10,8 @@ from corpusloom.operators.lake import first_of
 
 # Order in which source and language parts of a path count.
 SOURCES, LANGUAGES = ["tsb", "tc", "ttsb", "caac"], ["en", "fr", "zh"]
+# Addresses of reports.
+TSB_REPORT, TTSB_MEDIA = "https://www.bst-tsb.gc.ca/sites/default/files/rapports-reports/aviation/", "https://www.ttsb.gov.tw/media/"
 REPORT_ID = r"(?U)\b([Aa]\d{2}[A-Za-z]\d{4})\b"
 
 
@@ -47,9 +49,35 @@ def seeds(lines: DataFrame, *, host_suffix: str, line: str = "value", number: st
 
 def document_reference(path: Column) -> Column:
     """struct(source, lang, stem, doc_id) of a file's path: the first source and the first language in their fixed order among
-    its parts; a path without a source raises an error."""
+    its parts; a path without one of them raises an error."""
     parts = F.split(path, "/")
     pick = lambda values: F.coalesce(*[F.when(F.array_contains(parts, v), v) for v in values])
     source = F.coalesce(pick(SOURCES), F.raise_error(F.concat(F.lit("no source in path: "), path)))
+    lang = F.coalesce(pick(LANGUAGES), F.raise_error(F.concat(F.lit("no language in path: "), path)))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    return F.struct(source.alias("source"), pick(LANGUAGES).alias("lang"), stem.alias("stem"), F.concat_ws("/", source, stem).alias("doc_id"))
+    return F.struct(source.alias("source"), lang.alias("lang"), stem.alias("stem"), F.concat_ws("/", source, stem).alias("doc_id"))
+
+
+def rebuilt_urls(documents: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """``documents`` (source, stem, lang, ...) with ``source_url`` as far as name and seeds (name, url) tell it: tsb by the report's
+    id, ttsb by the media number before the first ``_`` of the stem, caac by the seed of its file name; tc has none."""
+    stem, source = F.col("stem"), F.col("source")
+    rid = F.lower(stem)
+    tsb = F.concat(F.lit(TSB_REPORT), rid, F.when(F.col("lang") == "en", "/eng/").otherwise("/fra/"), rid, F.lit(".pdf"))
+    media = F.when(stem.rlike(r"(?s)^\d+_.+$"), F.concat(F.lit(TTSB_MEDIA), F.substring_index(stem, "_", 1), F.lit("/"), F.expr("substring(stem, instr(stem, '_') + 1)"), F.lit(".pdf")))
+    if seeds is None:
+        return documents.withColumn("source_url", F.when(source == "tsb", tsb).when(source == "ttsb", media))
+    known = by_name(seeds).select(F.col("name").alias("__name"), F.col("url").alias("__url"))
+    out = documents.join(known, F.concat(stem, F.lit(".pdf")) == F.col("__name"), "left")
+    return out.withColumn("source_url", F.when(source == "tsb", tsb).when(source == "ttsb", media).when(source == "caac", F.col("__url"))).drop("__name", "__url")
+
+
+def by_name(urls: DataFrame) -> DataFrame:
+    """One url for each file name: (name, url), of several the first by name."""
+    return urls.where("url is not null").select(F.coalesce("name", T.file_name(F.col("url"))).alias("name") if "name" in urls.columns else T.file_name(F.col("url")).alias("name"), "url").groupBy("name").agg(F.min("url").alias("url"))
+
+
+def detail_reports(found: DataFrame) -> DataFrame:
+    """Report ids in the targets and texts of an index page's links (target, text), each once."""
+    text = F.concat_ws(" ", "target", "text") if "text" in found.columns else F.col("target")
+    return found.select(F.explode(report_ids(text)).alias("report_id")).distinct()

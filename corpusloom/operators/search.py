@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import materialize
+
+
+def chosen(selected: list[str] | None, values: list[str]) -> list[str]:
+    """A choice of several values as a filter: none or all of them are no filter (an empty list)."""
+    some = [x for x in selected or [] if x in values]
+    return [] if len(set(some)) == len(values) else some
 
 
 def payload_filter(df: DataFrame, *, lang=None, source: str | None = None, loose_source: bool = False) -> DataFrame:
@@ -29,45 +37,102 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, *, k: int | None = 10, query: str = "query_id", point: str = "point_id", vector: str = "vector", decimals: int = 6, block_rows: int = 2048, within: str | None = None, least: float | None = None) -> DataFrame:
+class _Best:
+    """The ``k`` best points of each query over the batches of one task, ties by point; ``k`` None keeps all that count."""
+
+    def __init__(self, queries: int, k: int | None):
+        self.k, self.parts = k, [[] for _ in range(queries)]
+        self.full = np.zeros(queries, np.int64)
+
+    def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray, least: float) -> None:
+        """Scores (queries ``which`` x points ``ids``); those not above ``least`` don't count."""
+        order = np.argsort(ids, kind="stable")
+        scores, ids = scores[:, order], ids[order]
+        for row, q in enumerate(which):
+            some = np.flatnonzero(scores[row] > least)
+            if self.k is not None and len(some) > self.k:
+                bound = np.partition(scores[row][some], -self.k)[-self.k]
+                above, equal = some[scores[row][some] > bound], some[scores[row][some] == bound]
+                some = np.concatenate((above, equal[: self.k - len(above)]))
+            if len(some):
+                self.parts[q].append((scores[row][some], ids[some]))
+                self.full[q] += len(some)
+                if self.k is not None and self.full[q] > 8 * self.k:
+                    self._cut(q)
+
+    def _cut(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        scores, ids = (np.concatenate(x) for x in zip(*self.parts[q]))
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.parts[q], self.full[q] = [(scores[best], ids[best])], len(best)
+        return self.parts[q][0]
+
+    def rows(self):
+        """(queries, points, scores) of what is left, in pieces."""
+        for q in range(len(self.parts)):
+            if self.parts[q]:
+                scores, ids = self._cut(q)
+                yield np.full(len(ids), q), ids, scores
+
+
+def _scan(queries: DataFrame, points: DataFrame, task, schema: str, block_rows: int, columns: list[str]) -> DataFrame:
+    """Points stay where they are; the queries go to all tasks in blocks of about ``block_rows`` rows, one block at a time.
+    ``task(block)`` makes the function of a task from a block's Arrow table (first column id)."""
+    n = queries.count()
+    blocks, out = max(1, -(-n // block_rows)), None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select(*columns).orderBy("id").toArrow()
+        sent = queries.sparkSession.sparkContext.broadcast(block)
+        found = points.mapInArrow(task(sent), schema)
+        if blocks > 1:
+            found = materialize(found, "block-hits")
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(column), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
+
+
+def dense_topk(queries: DataFrame, points: DataFrame, *, k: int | None = 10, query: str = "query_id", point: str = "point_id", vector: str = "vector", decimals: int = 6, block_rows: int = 8192, within: str | None = None, least: float | None = None) -> DataFrame:
     """The ``k`` points of greatest cosine for each query, exact: (query, point, score, rank), ties by point.
 
-    Queries and points are cut into blocks of about ``block_rows`` rows. Each pair of blocks is one matrix product of
-    bounded size that keeps k rows a query, and the best of all blocks are ranked; nothing is sent whole to one task.
-    ``within`` names a column that query and point must share (a filter below the ranking), ``least`` a score below which
-    points don't count; ``k`` None ranks all of them. Rows whose vector is null are
-    in no result, and a vector of zeros has the score 0.
+    One pass over the points for each block of about ``block_rows`` queries: a batch of points times the block is a matrix
+    product, a task keeps k rows a query, and the best of all tasks are ranked, which is all that is shuffled. ``within`` names a
+    column that query and point must share: only such are multiplied. ``least`` is a score below which points don't count; ``k``
+    None ranks all of them. Rows whose vector is null are in no result, and a vector of zeros has the score 0.
     """
     cols = lambda df, key: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(within).cast("string") if within else F.lit("")).alias("w"))
     queries, points = cols(queries, query), cols(points, point)
     kinds = queries.schema["id"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block_rows))
-        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "v", "w")).alias(f"{name}_rows"))
-
-    def best(batches):
-        for pdf in batches:
-            for q, p in zip(pdf["q_rows"], pdf["p_rows"]):
-                qv, pv = np.array([r["v"] for r in q], np.float64), np.array([r["v"] for r in p], np.float64)
-                for m in (qv, pv):
-                    norm = np.linalg.norm(m, axis=1, keepdims=True)
-                    m /= np.where(norm == 0, 1, norm)
-                score = np.round(qv @ pv.T, decimals) + 0.0
-                if within:
-                    score[np.array([r["w"] for r in q])[:, None] != np.array([r["w"] for r in p])[None, :]] = -np.inf
-                if least is not None:
-                    score[score < least] = -np.inf
-                ids = np.array([r["id"] for r in p])
-                order = np.argsort(ids, kind="stable")
-                score, ids = score[:, order], ids[order]
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                values = np.take_along_axis(score, top, axis=1).ravel()
-                keep = np.isfinite(values)
-                yield pd.DataFrame({query: np.repeat([r["id"] for r in q], top.shape[1])[keep], point: ids[top].ravel()[keep], "score": values[keep]})
-
-    pairs = blocks(queries, "q").crossJoin(blocks(points, "p")).repartition("q", "p")
-    found = pairs.select("q_rows", "p_rows").mapInPandas(best, f"{query} {kinds[0]}, {point} {kinds[1]}, score double")
+    floor = -np.inf if least is None else np.nextafter(least, -np.inf)
+
+    def task(sent):
+        def run(batches):
+            block = sent.value
+            if not block.num_rows:
+                return
+            qv, qw = _matrix(block["v"]), np.array(block["w"].to_pylist(), object)
+            best = _Best(len(qv), k)
+            for batch in batches:
+                for start in range(0, len(batch), max(1, 4_000_000 // len(qv))):
+                    some = batch.slice(start, max(1, 4_000_000 // len(qv)))
+                    pv, ids, pw = _matrix(some.column("v")), some.column("id").to_numpy(zero_copy_only=False), np.array(some.column("w").to_pylist(), object)
+                    for w in set(pw.tolist()) - ({None} if within else set()):
+                        which, here = np.flatnonzero(qw == w), np.flatnonzero(pw == w)
+                        if len(which):
+                            best.add(which, np.round(qv[which] @ pv[here].T, decimals) + 0.0, ids[here], floor)
+            names = block["id"].combine_chunks()
+            for q, ids, scores in best.rows():
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids), pa.array(scores)], [query, point, "score"])
+
+        return run
+
+    found = _scan(queries, points, task, f"{query} {kinds[0]}, {point} {kinds[1]}, score double", block_rows, ["id", "v", "w"])
     return ranked(found, query, [F.desc("score"), F.col(point)], k)
 
 
@@ -78,13 +143,64 @@ def ranked(df: DataFrame, key: str, order: list, k: int | None = None) -> DataFr
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-def sparse_topk(queries: DataFrame, passages: DataFrame, *, k: int = 10, query: str = "query_id", point: str = "point_id", text: str = "text") -> DataFrame:
-    """Top ``k`` passages by the product of term counts (learned weights are a slot; counts stand in). Stop words don't
-    count. (query, point, score, rank), ties by point; queries without terms have no rows."""
-    count = lambda df, key, name: df.select(F.col(key).alias(key), F.explode(T.search_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias(name))
-    left, right = count(queries, query, "wq"), count(passages, point, "wp")
-    scores = left.join(right, "term").groupBy(query, point).agg(F.sum(F.col("wq") * F.col("wp")).cast("double").alias("score"))
-    return ranked(scores, query, [F.desc("score"), F.col(point)], k)
+def term_counts(text: Column) -> tuple[Column, Column]:
+    """Default weights of a text: its search terms, each time it comes up with the weight 1."""
+    terms = T.search_terms(text)
+    return terms, F.transform(terms, lambda _: F.lit(1.0))
+
+
+def map_weights(weights: Column) -> tuple[Column, Column]:
+    """Weights out of a map of terms (learned ones, by a model outside)."""
+    return F.map_keys(weights).cast("array<string>"), F.map_values(weights).cast("array<double>")
+
+
+def sparse_topk(queries: DataFrame, passages: DataFrame, *, k: int = 10, query: str = "query_id", point: str = "point_id", text: str = "text", weigh=term_counts, block_rows: int = 2048) -> DataFrame:
+    """Top ``k`` passages by the sum of products of term weights: (query, point, score, rank), ties by point; passages without a
+    common term and queries without terms have no rows. ``weigh`` gives terms and weights of the column ``text``: counts of
+    terms without stop words by default, ``map_weights`` for a column of maps.
+
+    One pass over the passages for each block of about ``block_rows`` queries: a passage is scored where it is read, by the
+    queries that hold its terms, a task keeps k rows a query, and only these are shuffled.
+    """
+    cols = lambda df, key: df.select(F.col(key).alias("id"), *[c.alias(n) for c, n in zip(weigh(F.col(text)), ("terms", "weights"))]).where(F.size("terms") > 0)
+    queries, passages = cols(queries, query), cols(passages, point)
+    kinds = queries.schema["id"].dataType.simpleString(), passages.schema["id"].dataType.simpleString()
+
+    def postings(terms, weights):
+        per = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(terms)), per), terms.flatten(), weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def task(sent):
+        def run(batches):
+            block = sent.value
+            if not block.num_rows:
+                return
+            n = block.num_rows
+            owner, terms, weight = postings(block["terms"].combine_chunks(), block["weights"].combine_chunks())
+            known = terms.unique()
+            code = pc.index_in(terms, known).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            owner, weight, first = owner[order], weight[order], np.searchsorted(code[order], np.arange(len(known) + 1))
+            best, names = _Best(n, k), block["id"].combine_chunks()
+            step = max(1, 2_000_000 // n)
+            for batch in batches:
+                for start in range(0, len(batch), step):
+                    some = batch.slice(start, step)
+                    row, words, w = postings(some.column("terms"), some.column("weights"))
+                    c = pc.index_in(words, known)
+                    hit = c.is_valid().to_numpy(zero_copy_only=False)
+                    c, row, w = c.drop_null().to_numpy(zero_copy_only=False), row[hit], w[hit]
+                    size = first[c + 1] - first[c]
+                    at = np.repeat(first[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    scores = np.bincount(owner[at] * len(some) + np.repeat(row, size), weights=weight[at] * np.repeat(w, size), minlength=n * len(some)).reshape(n, len(some))
+                    best.add(np.arange(n), scores, some.column("id").to_numpy(zero_copy_only=False), 0.0)
+            for q, ids, scores in best.rows():
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids), pa.array(scores)], [query, point, "score"])
+
+        return run
+
+    found = _scan(queries, passages, task, f"{query} {kinds[0]}, {point} {kinds[1]}, score double", block_rows, ["id", "terms", "weights"])
+    return ranked(found, query, [F.desc("score"), F.col(point)], k)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, *, query: str = "query_id", point: str = "point_id", k: int = 60) -> DataFrame:
@@ -124,24 +240,69 @@ def within_budget(df: DataFrame, *, budget: int, key: str = "query_id", text: st
     return df.withColumn("__total", total).where((F.col("__total") <= budget) | (F.col("rank") == 1)).drop("__total")
 
 
-def anchored(seeds: DataFrame, chunks: DataFrame, queries: DataFrame, *, top_docs: int = 3, budget: int = 24000, excluded: DataFrame | None = None, same_language: bool = True) -> DataFrame:
-    """All chunks of the first documents of each seed ranking (query_id, doc_id, lang, rank), reranked against the query
-    (query_id, query), cut by the character budget, in reading order. ``excluded`` holds (query_id, chunk_hash) that are
-    left out; ``same_language`` keeps the language of the best seed. Empty texts are
-    left out."""
+def retrieve(queries: DataFrame, points: DataFrame, *, ann_k: int = 50, top_k: int = 10, lang=None, source: str | None = None, excluded: DataFrame | None = None, hybrid: bool = False, rrf_k: int = 60, weigh=term_counts, sparse_text: str = "text", scorer=overlap_score) -> DataFrame:
+    """Nearest points (point_id, vector, text, ... other columns stay) of each query (query_id, query, vector), reranked by
+    ``scorer`` and cut at ``top_k``: adds query_id, score, rerank_score and rank.
+
+    ``ann_k`` candidates a query go to the reranker. Language, source and ``excluded`` (chunk_hash) filter below the search. With
+    ``hybrid`` a sparse ranking over ``sparse_text`` is fused in; a query without sparse hits keeps its dense ones, and the fused
+    candidates (up to twice ``ann_k``) are not cut again. Blank queries have no rows; ``ann_k`` below ``top_k`` is an error.
+    """
+    if ann_k < top_k:
+        raise ValueError(f"ann_k ({ann_k}) must not be less than top_k ({top_k})")
+    asked = queries.where(F.trim("query") != "")
+    points = payload_filter(points, lang=lang, source=source)
+    if excluded is not None:
+        points = points.join(excluded.select("chunk_hash").distinct(), "chunk_hash", "left_anti")
+    hits = dense_topk(asked, points, k=ann_k)
+    if hybrid:
+        sparse = sparse_topk(asked.withColumn(sparse_text, F.col("query")) if weigh is term_counts else asked, points, k=ann_k, text=sparse_text, weigh=weigh)
+        hits, sparse = materialize(hits, "dense-hits"), materialize(sparse, "sparse-hits")
+        both = sparse.select("query_id").distinct()
+        fused = rrf_fuse(hits.join(both, "query_id", "left_semi"), sparse, k=rrf_k)
+        hits = hits.join(both, "query_id", "left_anti").unionByName(fused)
+    hits = hits.join(points.drop("vector"), "point_id").join(asked.select("query_id", "query"), "query_id")
+    return rerank(hits, top_k=top_k, scorer=scorer).drop("ann_rank")
+
+
+def anchored(seeds: DataFrame, chunks: DataFrame, queries: DataFrame, *, top_docs: int = 3, budget: int = 24000, excluded: DataFrame | None = None, lang: str | list[str] | None = None, scorer=overlap_score) -> DataFrame:
+    """All chunks of the first documents of each seed ranking (query_id, doc_id, lang, rank), reranked by ``scorer`` against the
+    query (query_id, query), cut by the character budget, in reading order. ``excluded`` holds (query_id, chunk_hash) that are
+    left out. Chunks stay whose language is one of ``lang``, or, where that is None, the best seed's; a seed without language
+    and an empty list filter nothing. A query whose documents have no such chunk keeps its seeds in their order. Empty texts
+    are left out."""
     docs = top_documents(seeds, n=top_docs)
     pool = chunks.join(docs.select("query_id", "doc_id"), "doc_id").join(queries.select("query_id", "query"), "query_id")
     if excluded is not None:
         pool = pool.join(excluded, ["query_id", "chunk_hash"], "left_anti")
-    if same_language:
+    langs = [lang] if isinstance(lang, str) else lang
+    if langs:
+        pool = pool.where(F.col("lang").isin(langs))
+    elif langs is None:
         first = seeds.where("rank = 1").select("query_id", F.col("lang").alias("seed_lang"))
-        pool = pool.join(first, "query_id").where(F.col("lang").eqNullSafe(F.col("seed_lang"))).drop("seed_lang")
-    scored = pool.withColumn("rerank_score", F.round(overlap_score(F.col("query"), F.col("text")), 9))
+        pool = pool.join(first, "query_id").where("seed_lang is null or lang = seed_lang").drop("seed_lang")
+    scored = pool.withColumn("rerank_score", F.round(scorer(F.col("query"), F.col("text")), 9))
     # a text has a character at least, so no more than ``budget`` rows can fit: tasks keep no more before the shuffle
     scored = ranked(scored.where(F.length("text") > 0), "query_id", [F.desc("rerank_score"), F.col("chunk_id")], budget + 1)
     kept = within_budget(scored, budget=budget)
     order = W.partitionBy("query_id").orderBy("doc_id", F.coalesce("page", F.lit(0)), "rank")
-    return kept.withColumn("reading_no", F.row_number().over(order).cast("long"))
+    kept = kept.withColumn("reading_no", F.row_number().over(order).cast("long"))
+    alone = seeds.join(kept.select("query_id").distinct(), "query_id", "left_anti")
+    if "chunk_id" not in alone.columns:
+        alone = alone.withColumn("chunk_id", F.col("point_id").cast(chunks.schema["chunk_id"].dataType))
+    alone = alone.withColumn("rank", F.col("rank").cast("long")).withColumn("reading_no", F.col("rank"))
+    return kept.unionByName(alone.select(*[c for c in alone.columns if c in kept.columns]), allowMissingColumns=True)
+
+
+def displayed(hits: DataFrame, *, query: str = "query_id") -> DataFrame:
+    """Hits in the order of display: greatest rerank_score first, those without one last, ``place`` from 1."""
+    order = W.partitionBy(query).orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    return hits.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def grouped(hits: DataFrame, *, by: list[str], query: str = "query_id") -> DataFrame:
+    """Hits of one document (or document and page) together: greatest rerank_score, ranks in order, whether any is a figure."""
+    return hits.groupBy(query, *by).agg(F.max("rerank_score").alias("best"), F.array_sort(F.collect_set("rank")).alias("ranks"), F.coalesce(F.bool_or(F.col("kind") == "figure"), F.lit(False)).alias("figure"))
 
 
 def merge_candidates(old: DataFrame, new: DataFrame, *, top_k: int, key: str = "query_id", point: str = "point_id") -> DataFrame:

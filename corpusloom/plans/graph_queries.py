@@ -30,9 +30,39 @@ def entity_citations(spark, d):
     return e.select("kind", F.explode("values").alias("value")).groupBy("kind", "value").agg(F.count("*").alias("chunks"))
 
 
-@query("""
-WITH e AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^\\pL\\pN_])C-([A-Z]{4})(?:$|[^\\pL\\pN_])', 1))) AS mark FROM (""" + OWN + """))
-SELECT 'C-' || mark AS aircraft, count(*) AS chunks FROM e GROUP BY 1
+WORD, BLANK = "[^\\pL\\pM\\pN_]", "\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}"
+
+
+def _aircraft_sql() -> str:
+    """All patterns as one list: no look-around in DuckDB, so boundaries are the signs beside a match."""
+    parts = []
+    for pattern, form, special in graph.AIRCRAFT:
+        flags, body = ("(?i)", pattern.removeprefix("(?iU)")) if pattern.startswith("(?iU)") else ("", pattern.removeprefix("(?U)"))
+        body = body.replace("[-\\s]", f"[-{BLANK}]").replace("\\s", f"[{BLANK}]").replace("\\d", "\\p{Nd}")
+        body = f"{flags}(?:^|{WORD})" + body.removeprefix("\\b").removesuffix("\\b") + f"(?:$|{WORD})"
+        fixed, group, _ = form.partition("{1")
+        to = f"'{form}'" if not group else f"'{fixed}' || " + ("upper(x[1]) || lower(x[2:])" if form.endswith(":title}") else "upper(x)")
+        for value, name in special.items():
+            to = f"CASE WHEN x = '{value}' THEN '{name}' ELSE {to} END"
+        parts.append(f"list_transform(regexp_extract_all(text, '{body}', 1), lambda x: {to})")
+    return "list_distinct(flatten([" + ", ".join(parts) + "]))"
+
+
+AIR = _aircraft_sql()
+RECS = "list_distinct(regexp_extract_all(text, '\\b(A\\d{2}-\\d{2})\\b', 1))"
+CIRCULAR = "upper(replace(regexp_extract(doc_id, '(?i)AC[_\\s]?(\\d{3}[-_]\\d{3})', 1), '_', '-'))"
+SECTION_SQL = " UNION ALL ".join(
+    f"SELECT chunk_id, doc_id, corpus, '{category}' AS category, regexp_extract(text, '(?is)({pattern.replace('(?iu)', '').replace(chr(92) + 'b', '')}.*)$', 1) AS section FROM own" for pattern, category in graph.SECTIONS
+)
+FINDINGS = f"""
+parts AS (SELECT chunk_id, doc_id, corpus, category, unnest(string_split(regexp_replace(section, '\\n\\s*(?:\\d+\\.|•|-|\\*)', chr(1), 'g'), chr(1))[2:]) AS part FROM ({SECTION_SQL}) WHERE section <> ''),
+findings AS (SELECT chunk_id, doc_id, corpus, category, trim(regexp_replace(part, '^\\s+|\\s+$', '', 'g')) AS text FROM parts WHERE regexp_matches(part, '^\\s+\\S') AND length(regexp_replace(part, '^\\s+|\\s+$', '', 'g')) > 20)
+"""
+
+
+@query(f"""
+WITH e AS (SELECT chunk_id, unnest({AIR}) AS aircraft FROM ({OWN}))
+SELECT aircraft, count(*) AS chunks FROM e GROUP BY 1
 """)
 def entity_aircraft(spark, d):
     e = graph.entities(_chunks(spark, d)).select(F.explode("aircraft").alias("aircraft"))
@@ -58,20 +88,48 @@ def circular_nodes(spark, d):
 
 EDGES = f"""
 own AS ({OWN}),
+e AS (SELECT {OCC} AS occ, {CIRCULAR} AS circular, corpus, {REGS} AS regs, {ACS} AS acs, {AIR} AS air, {RECS} AS recs FROM own),
 edges AS (SELECT DISTINCT * FROM (
-  SELECT {OCC} AS src, 'CITES' AS rel, unnest({REGS}) AS dst FROM own WHERE corpus = 'tsb'
-  UNION ALL SELECT {OCC}, 'REFERENCES_AC', unnest({ACS}) FROM own WHERE corpus = 'tsb'
-  UNION ALL SELECT {OCC}, 'INVOLVES', 'C-' || unnest(list_distinct(regexp_extract_all(text, '(?:^|[^\\pL\\pN_])C-([A-Z]{{4}})(?:$|[^\\pL\\pN_])', 1))) FROM own WHERE corpus = 'tsb'
-  UNION ALL SELECT unnest({REGS}), 'GUIDED_BY', upper(replace(regexp_extract(doc_id, '(?i)AC[_\\s]?(\\d{{3}}[-_]\\d{{3}})', 1), '_', '-')) FROM own WHERE corpus = 'tc' AND regexp_matches(doc_id, '(?i)AC[_\\s]?(\\d{{3}}[-_]\\d{{3}})'))
-)
+  SELECT occ AS src, 'CITES' AS rel, unnest(regs) AS dst FROM e WHERE corpus = 'tsb'
+  UNION ALL SELECT occ, 'REFERENCES_AC', unnest(acs) FROM e WHERE corpus = 'tsb'
+  UNION ALL SELECT occ, 'INVOLVES', unnest(air) FROM e WHERE corpus = 'tsb'
+  UNION ALL SELECT occ, 'HAS_RECOMMENDATION', unnest(recs) FROM e WHERE corpus = 'tsb'
+  UNION ALL SELECT rec, 'IMPLEMENTS', unnest(regs) FROM (SELECT unnest(recs) AS rec, regs FROM e WHERE corpus = 'tsb')
+  UNION ALL SELECT unnest(regs), 'GUIDED_BY', circular FROM e WHERE corpus = 'tc' AND circular <> ''))
 """
 
 
-@query(f"WITH {EDGES} SELECT * FROM edges")
+@query(f"""
+WITH {EDGES}, {FINDINGS},
+f AS (SELECT {OCC} || ':f:' || substr(sha256({OCC} || ':' || f.text), 1, 12) AS id, {OCC} AS occ, chunk_id FROM findings f WHERE corpus = 'tsb')
+SELECT * FROM edges UNION SELECT occ, 'HAS_FINDING', id FROM f UNION SELECT id, 'FINDING_CITES', unnest(regs) FROM f JOIN (SELECT chunk_id, {REGS} AS regs FROM own) USING (chunk_id)
+""")
 def graph_edges(spark, d):
     return graph.edges_of(_chunks(spark, d))
 
 
+@query(f"""
+WITH {EDGES}, {FINDINGS}
+SELECT 'aircraft' AS label, id, split_part(id, '-', 1) AS detail FROM (SELECT DISTINCT unnest(air) AS id FROM e)
+UNION ALL SELECT 'regulation', id, '' FROM (SELECT DISTINCT unnest(regs) AS id FROM e)
+UNION ALL SELECT 'circular', id, '' FROM (SELECT unnest(acs) AS id FROM e UNION SELECT circular FROM e WHERE corpus = 'tc' AND circular <> '')
+UNION ALL SELECT 'occurrence', id, '' FROM (SELECT DISTINCT occ AS id FROM e WHERE corpus = 'tsb')
+UNION ALL SELECT 'recommendation', rec, arg_max(doc_id || ' ' || page, struct_pack(o := n)) FROM (
+  SELECT unnest({RECS}) AS rec, doc_id, page, n FROM (SELECT text, doc_id, coalesce(page, 0) AS page, row_number() OVER (ORDER BY {ORDER}) AS n FROM (SELECT chunk_id, doc_id, page, lang, text, {CORPUS} AS corpus FROM chunks WHERE {CORPUS} = 'tsb'))) GROUP BY rec
+UNION ALL SELECT 'finding', id, arg_max(category, struct_pack(n := n, c := category)) FROM (
+  SELECT {OCC} || ':f:' || substr(sha256({OCC} || ':' || f.text), 1, 12) AS id, category, n FROM findings f JOIN (SELECT chunk_id, row_number() OVER (ORDER BY {ORDER}) AS n FROM own) USING (chunk_id) WHERE corpus = 'tsb') GROUP BY id
+""")
+def graph_nodes(spark, d):
+    """All nodes: label, id, and the family of aircraft, the place of recommendations, the category of findings."""
+    t = graph.tables_of(_chunks(spark, d))
+    row = lambda name, label, detail: t[name].select(F.lit(label).alias("label"), "id", detail.alias("detail"))
+    out = row("aircraft", "aircraft", F.col("type_family"))
+    for name, label in (("regulations", "regulation"), ("circulars", "circular"), ("occurrences", "occurrence")):
+        out = out.unionByName(row(name, label, F.lit("")))
+    out = out.unionByName(row("recommendations", "recommendation", F.concat_ws(" ", "source_doc_id", F.col("page").cast("string"))))
+    return out.unionByName(row("findings", "finding", F.col("category")))
+
+
 @query(f"""
 WITH {EDGES}
 SELECT DISTINCT lower(occ_id) AS src, reg AS dst FROM cites WHERE reg IS NOT NULL AND lower(occ_id) IN (SELECT {OCC} FROM own WHERE corpus = 'tsb') AND reg IN (SELECT dst FROM edges WHERE rel = 'CITES')
@@ -79,10 +137,18 @@ SELECT DISTINCT lower(occ_id) AS src, reg AS dst FROM cites WHERE reg IS NOT NUL
 def edges_dangling_dropped(spark, d):
     c = _chunks(spark, d)
     cites = read(spark, d, "cites").where("reg is not null").select(F.lower("occ_id").alias("src"), F.col("reg").alias("dst"))
-    known = graph.edges_of(c).where("rel = 'CITES'").select(F.col("dst").alias("id"))
+    known = c.where("corpus = 'tsb'").select(F.explode(graph.regulations(F.col("text"))).alias("id"))
     return graph.existing_edges(cites, graph.occurrences(c), known)
 
 
+@query("""
+SELECT reg, count(DISTINCT lower(occ_id)) AS n, string_agg(DISTINCT lower(occ_id), ',' ORDER BY lower(occ_id)) AS occs FROM cites WHERE occ_id IS NOT NULL AND reg IS NOT NULL GROUP BY reg
+""")
+def citing_fold(spark, d):
+    rows = graph.citing(read(spark, d, "cites"))
+    return rows.select("reg", F.explode("occs").alias("occ")).groupBy("reg").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("occ")), ",").alias("occs"))
+
+
 @query("""
 SELECT lower(occ_id) AS occ_id, coalesce(array_to_string(list_sort(list_distinct(list(reg))), ','), '') AS regs, min(occ_url) AS occ_url FROM cites WHERE occ_id IS NOT NULL GROUP BY 1
 """)
@@ -124,22 +190,23 @@ def recurring_context_all_seeds(spark, d):
 
 
 @query(f"""
-WITH {EDGES},
-nodes AS (SELECT {OCC} AS id, max_url AS url FROM (SELECT doc_id, arg_min(source_url, n) AS max_url FROM (SELECT doc_id, source_url, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS n FROM own WHERE corpus = 'tsb') WHERE n = 1 GROUP BY doc_id)),
+WITH {EDGES}, {FINDINGS},
+nodes AS (SELECT {OCC} AS id, source_url AS occ_url FROM (SELECT doc_id, source_url, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS n FROM own WHERE corpus = 'tsb') WHERE n = 1),
 ids AS (SELECT DISTINCT substr(x, instr(x, '/') + 1) AS id FROM (SELECT unnest(expected) AS x FROM eval_items)),
 f AS (SELECT src AS id, rel, string_agg(dst, ',' ORDER BY dst) AS facts FROM edges GROUP BY ALL),
-g AS (SELECT e.src AS id, string_agg(DISTINCT g.dst, ',' ORDER BY g.dst) AS facts FROM edges e JOIN edges g ON g.src = e.dst AND g.rel = 'GUIDED_BY' WHERE e.rel = 'CITES' GROUP BY 1)
-SELECT n.id, coalesce(c.facts, '') AS direct_regs, coalesce(a.facts, '') AS acs, coalesce(i.facts, '') AS aircraft, coalesce(g.facts, '') AS reg_guided_acs
-FROM nodes n JOIN ids USING (id) LEFT JOIN f c ON c.id = n.id AND c.rel = 'CITES' LEFT JOIN f a ON a.id = n.id AND a.rel = 'REFERENCES_AC' LEFT JOIN f i ON i.id = n.id AND i.rel = 'INVOLVES' LEFT JOIN g ON g.id = n.id
+i AS (SELECT e.src AS id, g.dst AS reg FROM edges e JOIN edges g ON g.src = e.dst AND g.rel = 'IMPLEMENTS' WHERE e.rel = 'HAS_RECOMMENDATION'),
+r AS (SELECT id, string_agg(DISTINCT reg, ',' ORDER BY reg) AS facts FROM i GROUP BY 1),
+g AS (SELECT id, string_agg(DISTINCT dst, ',' ORDER BY dst) AS facts FROM i JOIN edges ON src = reg AND rel = 'GUIDED_BY' GROUP BY 1),
+n AS (SELECT {OCC} AS id, count(DISTINCT (f.text, coalesce(reg, ''))) AS n FROM findings f LEFT JOIN (SELECT chunk_id, unnest({REGS}) AS reg FROM own) USING (chunk_id) WHERE corpus = 'tsb' GROUP BY 1)
+SELECT o.id AS occ_id, occ_url, coalesce(c.facts, '') AS direct_regs, coalesce(a.facts, '') AS acs, coalesce(h.facts, '') AS recommendations, coalesce(r.facts, '') AS rec_regs, coalesce(g.facts, '') AS reg_guided_acs, coalesce(n.n, 0) AS n_findings
+FROM nodes o JOIN ids USING (id) LEFT JOIN f c ON c.id = o.id AND c.rel = 'CITES' LEFT JOIN f a ON a.id = o.id AND a.rel = 'REFERENCES_AC' LEFT JOIN f h ON h.id = o.id AND h.rel = 'HAS_RECOMMENDATION'
+LEFT JOIN r ON r.id = o.id LEFT JOIN g ON g.id = o.id LEFT JOIN n ON n.id = o.id
 """)
 def graph_context(spark, d):
-    c = _chunks(spark, d)
-    edges = graph.edges_of(c)
     ids = read(spark, d, "eval_items").select(F.explode("expected").alias("doc")).select(F.expr("substring(doc, instr(doc, '/') + 1)").alias("id"))
-    branch = lambda rel: edges.where(F.col("rel") == rel).select(F.col("src").alias("id"), F.col("dst").alias("fact"))
-    guided = edges.where("rel = 'CITES'").select(F.col("src").alias("id"), F.col("dst").alias("reg")).join(edges.where("rel = 'GUIDED_BY'").select(F.col("src").alias("reg"), F.col("dst").alias("fact")), "reg").select("id", "fact")
-    out = graph.context(ids, graph.occurrences(c).select("id"), {"direct_regs": branch("CITES"), "acs": branch("REFERENCES_AC"), "aircraft": branch("INVOLVES"), "reg_guided_acs": guided})
-    return out.select("id", *[F.array_join(n, ",").alias(n) for n in ("direct_regs", "acs", "aircraft", "reg_guided_acs")])
+    out = graph.hop_one(ids, graph.tables_of(_chunks(spark, d)))
+    out = out.withColumn("recommendations", F.transform("recommendations", lambda r: r["id"]))
+    return out.select("occ_id", "occ_url", *[F.array_join(n, ",").alias(n) for n in ("direct_regs", "acs", "recommendations", "rec_regs", "reg_guided_acs")], F.size("findings").cast("long").alias("n_findings"))
 
 
 @query(f"""
@@ -152,20 +219,23 @@ def figure_edges(spark, d):
 
 
 @query(f"""
-WITH own AS ({OWN}), e AS (SELECT chunk_id, {REGS} AS regs, {ACS} AS acs, list_distinct(regexp_extract_all(text, '(?:^|[^\\pL\\pN_])C-([A-Z]{{4}})(?:$|[^\\pL\\pN_])', 1)) AS air FROM own)
+WITH {EDGES}, {FINDINGS}
 SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT x) FROM (SELECT unnest(regs) AS x FROM e)) AS regulations,
-       (SELECT count(DISTINCT x) FROM (SELECT unnest(acs) AS x FROM e)) AS circulars, (SELECT count(DISTINCT x) FROM (SELECT unnest(air) AS x FROM e)) AS aircraft
+       (SELECT count(DISTINCT x) FROM (SELECT unnest(acs) AS x FROM e)) AS circulars, (SELECT count(DISTINCT x) FROM (SELECT unnest(air) AS x FROM e)) AS aircraft,
+       (SELECT count(*) FROM findings WHERE corpus = 'tsb') AS findings, (SELECT coalesce(sum(len(recs)), 0)::BIGINT FROM e WHERE corpus = 'tsb') AS recommendations,
+       (SELECT coalesce(sum(len(recs) * len(regs)), 0)::BIGINT FROM e WHERE corpus = 'tsb') AS rec_reg_links, (SELECT coalesce(sum(len(regs)), 0)::BIGINT FROM e WHERE corpus = 'tc' AND circular <> '') AS reg_ac_links
 """)
 def entity_counts(spark, d):
-    return graph.entity_counts(_chunks(spark, d)).select("chunks", "regulations", "circulars", "aircraft")
+    return graph.entity_counts(_chunks(spark, d))
 
 
-@query()
+@query(f"""
+WITH own AS ({OWN}), {FINDINGS}
+SELECT chunk_id, category, text FROM findings
+""")
 def entity_findings(spark, d):
-    """List items under headings of findings; the items need a look ahead, which DuckDB's patterns lack."""
-    c = _chunks(spark, d)
-    text = F.concat_ws("\n", "section_title", "text")
-    return c.where(graph.has_sections(text)).select("chunk_id", F.explode(graph.findings(text)).alias("f")).select("chunk_id", "f.category", "f.text")
+    """List items under headings of findings."""
+    return graph.entities(_chunks(spark, d)).select("chunk_id", F.explode("findings").alias("f")).select("chunk_id", "f.category", "f.text")
 
 
 @query("""

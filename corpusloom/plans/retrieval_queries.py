@@ -84,7 +84,7 @@ WITH d AS ({TOP.format(rows=PAIRS, k=50)}),
 v AS (SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id),
 q AS (SELECT id AS query_id, unnest({TERMS.format(t='text')}) AS term FROM v WHERE id % 20 = 0),
 qc AS (SELECT query_id, term, count(*) AS wq FROM q GROUP BY ALL),
-p AS (SELECT id AS point_id, unnest({TERMS.format(t='text')}) AS term FROM v),
+p AS (SELECT doc_id AS point_id, unnest({TERMS.format(t='text')}) AS term FROM documents),
 pc AS (SELECT point_id, term, count(*) AS wp FROM p GROUP BY ALL),
 s0 AS (SELECT query_id, point_id, sum(wq * wp)::DOUBLE AS score FROM qc JOIN pc USING (term) GROUP BY ALL),
 s AS ({TOP.format(rows='FROM s0 SELECT *', k=50)}),
@@ -97,10 +97,11 @@ SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(HYBRID)
 def rrf_fusion(spark, d):
-    """Dense and sparse rankings of the documents that have a vector, fused; queries are the rows with an id divisible by 20."""
+    """The dense ranking of all vectors and the sparse one of all documents, fused; queries are the vectors with an id divisible
+    by 20 and their documents."""
     p = _vectors(spark, d)
-    texts = p.select("point_id").join(read(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text"), "point_id")
-    asked = texts.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "text")
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    asked = texts.join(p.select("point_id"), "point_id", "left_semi").where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "text")
     return search.rrf_fuse(search.dense_topk(_queries(p), p, k=50), search.sparse_topk(asked, texts, k=50))
 
 
@@ -124,11 +125,12 @@ def top_documents(spark, d):
 
 @query(SEEDS + DOCS + f""",
 pool AS (SELECT i.item_id AS query_id, c.chunk_id, c.doc_id, coalesce(c.page, 0) AS page, c.text, list_distinct({TERMS.format(t='i.query')}) AS qt, {TERMS.format(t='c.text')} AS pt
-         FROM docs JOIN chunks c USING (doc_id) JOIN eval_items i ON i.item_id = docs.query_id JOIN seeds s ON s.query_id = docs.query_id AND s.rank = 1 WHERE c.lang IS NOT DISTINCT FROM s.lang),
+         FROM docs JOIN chunks c USING (doc_id) JOIN eval_items i ON i.item_id = docs.query_id JOIN seeds s ON s.query_id = docs.query_id AND s.rank = 1 WHERE s.lang IS NULL OR c.lang = s.lang),
 sc AS (SELECT *, CASE WHEN len(qt) = 0 THEN 0.0 ELSE round(len(list_intersect(qt, pt)) / len(qt), 9) END AS rerank_score FROM pool),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM sc),
 bu AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM rk)
 SELECT query_id, chunk_id, rerank_score, rank, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, page, rank) AS reading_no FROM bu WHERE total <= 4000 OR rank = 1
+UNION ALL SELECT query_id, point_id, NULL, rank, rank FROM seeds WHERE query_id NOT IN (SELECT query_id FROM pool)
 """)
 def anchored_budget(spark, d):
     items = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query")
@@ -203,10 +205,10 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 
-def _similar(spark, d):
+def _similar(spark, d, k=None):
     log = read(spark, d, "unaccepted_qa")
     asked = feedback.latest(log).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("query_emb").alias("vector"))
-    return log, feedback.similar_rejections(asked, log)
+    return log, feedback.similar_rejections(asked, log, k=k)
 
 
 @query(f"WITH {SIMILAR} SELECT * FROM near")
@@ -216,7 +218,7 @@ def feedback_similar(spark, d):
 
 @query(f"WITH {SIMILAR}, b AS (SELECT query_id, id FROM near WHERE rank = 1) SELECT DISTINCT query_id, unnest(chunk_hashes) AS chunk_hash FROM b JOIN ({LATEST}) USING (id)")
 def feedback_exclusions(spark, d):
-    log, near = _similar(spark, d)
+    log, near = _similar(spark, d, k=1)
     return feedback.exclusions(near, log)
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` of the session; only where that is unset (tests, one machine) is a
-    temporary folder made and set.
+    Reads ``spark.checkpoint.dir`` of the session; only where that is unset and the master is local (tests, one machine) is
+    a temporary folder made and set. On a cluster a folder of one machine would lose rows, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("corpusloom.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("corpusloom.checkpoint.dir", root)

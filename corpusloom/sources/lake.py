@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import lake
-from corpusloom.operators.links import LANGUAGES, SOURCES, document_reference
+from corpusloom.operators.lake import LANGUAGES, SOURCES
+from corpusloom.operators.links import document_reference
 
 RECORD = T.StructType(
     [
@@ -105,11 +106,72 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def export(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
-    """Writes tables as parquet and checks that as many rows are read again; their numbers."""
+    """Writes tables as parquet and checks that as many rows can be read as were written (Spark counts them while it writes); their
+    numbers."""
+    from pyspark.sql import Observation
+
     counts = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/{name}")
         counts[name] = df.sparkSession.read.parquet(f"{root}/{name}").count()
-        if counts[name] != df.count():
+        if counts[name] != seen.get["n"]:
             raise ValueError(f"{name}: rows written and read differ")
     return counts
+
+
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType, *, recreate: bool = False) -> DataFrame:
+    """The parquet table at ``path``, made empty where it is missing or with ``recreate``; a table of other columns is an error, as a
+    change of columns needs ``recreate``."""
+    there = read_or_empty(spark, path, schema)
+    kinds = lambda s: {f.name: f.dataType.simpleString() for f in s.fields}
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if recreate or not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    if kinds(spark.read.parquet(path).schema) != kinds(schema):
+        raise ValueError(f"{path} has other columns")
+    return there
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The tallies of a run (see ``lake.manifest``) as JSON lines with the time of writing, appended."""
+    manifest.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def quarantined(bad: DataFrame, path: str, *, root: str, quarantine: str) -> None:
+    """Appends files that can't be opened (path, error_class, message) to a CSV manifest, with the place that mirrors theirs under
+    ``quarantine`` and the time. Moving the files is left to the caller."""
+    place = F.concat(F.lit(quarantine.rstrip("/")), F.expr("substring(path, length(root) + 1)"))
+    rows = bad.withColumn("root", F.lit(root.rstrip("/"))).select(F.col("path").alias("original_path"), place.alias("quarantine_path"), "error_class", F.col("message").alias("error_message"), F.current_timestamp().alias("quarantined_at"))
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def read_pages(files: DataFrame, opener) -> DataFrame:
+    """Pages of files (path, content): path, page, text, chars, image_only (blank text on a page with images). ``opener`` is a
+    function from bytes to an iterator of (page, text, chars as tuples (text, x0, x1, top, bottom, size), has_images)."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows = []
+                for page, text, chars, images in opener(bytes(content)):
+                    glyphs = [dict(zip(("text", "x0", "x1", "top", "bottom", "size"), c), page=page) for c in chars or []]
+                    rows.append((path, page, text or "", glyphs, not (text or "").strip() and bool(images)))
+                yield pd.DataFrame(rows, columns=["path", "page", "text", "chars", "image_only"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, chars array<struct<text:string,x0:double,x1:double,top:double,bottom:double,size:double,page:int>>, image_only boolean")
+
+
+def recognised(pages: DataFrame, reader) -> DataFrame:
+    """Pages (path, page, text, image_only, lang, source, ...) whose image-only ones were read: ``reader`` is a function of an iterator
+    of Arrow batches (path, page, reader: the model's name) that gives (path, page, text). A page that it gives nothing for stays
+    empty."""
+    from corpusloom.functions.text import ocr_language
+
+    asked = pages.where("image_only").select("path", "page", ocr_language(F.col("lang"), F.col("source")).alias("reader"))
+    read = asked.mapInArrow(reader, "path string, page int, text string").withColumnRenamed("text", "__read")
+    out = pages.join(read, ["path", "page"], "left")
+    return out.withColumn("text", F.when(F.col("image_only"), F.coalesce("__read", "text")).otherwise(F.col("text"))).drop("__read")
