@@ -1,16 +1,17 @@
 """Sentence alignment in bilingual documents: length-based dynamic programming.
 
-1. Each chunk is split into sentences and put to the version of its main language; a sentence keeps its length and
+1. Each chunk is split into sentences and these go to the versions of their languages; a sentence keeps its length and
    its marks: numbers, codes and names, which translations share.
-2. Every document with a second language is aligned, however few its chunks and wherever they stand; the alignment tells
-   whether it is a second version: one of which more than half of the sentences have a rendering by marks or words (stretches in
-   another language inside one version have none). The first version is cut into blocks of
-   neighbouring chunks (short documents are one block), so that no task holds more than a few hundred chunks whatever
-   the size of a document; the second version's chunks go where marks that each version has once put them, and to the
-   neighbour blocks, so that parts left out of a version shift nothing.
+2. Of every document with several languages each two are aligned, however few their sentences and wherever they stand; the
+   alignment tells whether they are two versions: more than half of the shorter one's sentences have a rendering by marks or
+   words, a part of one left aside for chance (stretches in another language inside one version have none). The first
+   version is cut into blocks of neighbouring chunks (short documents are one block), so that no task holds more than a few
+   hundred chunks whatever the size of a document; the second version's chunks go where marks that each version has once put
+   them, and to the neighbour blocks, so that parts left out of a version shift nothing.
 3. Within a block the best path over one-to-one, omission, merge and split beads is found. The price of a bead is
-   the negative log-probability of its length ratio (a normal distribution around the ratio of the two languages,
-   measured over all bilingual documents), of its kind, and of the marks that its sides share or lack.
+   the negative log-probability of its length ratio (two-sided, a normal distribution around the ratio of the two languages,
+   which is measured over all bilingual documents, with a variance of VARIANCE for each character), of its kind, and of the
+   marks that its sides share or lack.
    Sentences without marks are told apart by their words: a first run over all blocks gives pairs of
    such sentences by length and place, their words that come up together make a lexicon (Dice), of which each block gets
    the entries of its own words, and the lexicon's agreement is part of the price in the run over all blocks.
@@ -40,8 +41,9 @@ from corpusloom.session import materialize
 
 # Prices (negative log-probabilities) of the kinds of beads.
 ONE, OMIT, MERGE = 0.1, 3.0, 1.6
-VARIANCE = 6.8
+VARIANCE = 13.6
 WORDS = 3.5  # price of a sentence without marks whose known words are not rendered; as much is gained where they are
+CHANCE = 0.5  # sentences that agree by chance: one alone is no version
 RENDERED = 0.5  # of the shorter version's sentences more have a sure rendering, else there are no two versions
 MOVED = 0.65  # least share of a moved sentence's marks
 SCALE = 4  # weights of marks are whole numbers of quarters
@@ -116,47 +118,52 @@ def lexemes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return owner[once], hashed[once].view(np.int32)
 
 
-def _features(model: LanguageModel, texts: pa.Array) -> dict[str, list]:
-    """Per row: main language, and of its sentences in it the numbers, lengths and marks."""
+def _features(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, dict[str, list]]:
+    """For each row and each language in it: the row, and the language's sentences with numbers, lengths, marks and words."""
     points, start, end, row = sentences.in_usual_form(*cp.decode(texts))
-    n = len(texts)
     lang, _ = chain(model, points, start, end, row)
-    k = len(model.languages)
-    size = np.bincount(row * k + lang, weights=end - start, minlength=n * k).reshape(n, k)
-    main = size.argmax(axis=1)
-    first = np.searchsorted(row, np.arange(n))
-    number = np.arange(len(row)) - first[row] + 1
-    mine = lang == main[row]
-    who, mark, weight = marks(points, start, end)
-    count = np.bincount(who, minlength=len(row))
-    lex_of, lex = lexemes(points, start, end)
-    lex_mine = mine[lex_of]
-    lex_count = np.bincount(lex_of, minlength=len(row))
-    per_lex = np.bincount(row[lex_of][lex_mine], minlength=n)
-    order = np.argsort(who, kind="stable")
-    mine_marks = mine[who[order]]
-    offs = lambda per_row: pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
-    per = np.bincount(row[mine], minlength=n)
-    per_marks = np.bincount(row[who[order]][mine_marks], minlength=n)
+    number = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    part = row * len(model.languages) + lang
+    order = np.argsort(part, kind="stable")
+    parts, per = np.unique(part, return_counts=True)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # of each sentence among those ordered by part
+    offs = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    first = np.concatenate(([0], np.cumsum(per)))
     lists = lambda o, v, t: pa.ListArray.from_arrays(o, pa.array(v, t))
-    return {
-        "lang": pa.array(main, pa.int32()),
-        "numbers": lists(offs(per), number[mine], pa.int32()),
-        "lengths": lists(offs(per), (end - start)[mine], pa.int32()),
-        "counts": lists(offs(per), count[mine], pa.int32()),
-        "marks": lists(offs(per_marks), mark[order][mine_marks], pa.int32()),
-        "weights": lists(offs(per_marks), weight[order][mine_marks], pa.int8()),
-        "lex_counts": lists(offs(per), lex_count[mine], pa.int32()),
-        "lexemes": lists(offs(per_lex), lex[lex_mine], pa.int32()),
+
+    def held(of: np.ndarray, *values: np.ndarray):
+        """Numbers a sentence, offsets by part, and the values in the sentences' order."""
+        count = np.bincount(place[of], minlength=len(order))
+        put = np.argsort(place[of], kind="stable")
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return count, pa.array(ends[first].astype(np.int32)), *(v[put] for v in values)
+
+    count, mark_offs, mark, weight = held(*marks(points, start, end))
+    lex_count, lex_offs, lex = held(*lexemes(points, start, end))
+    return parts // len(model.languages), {
+        "lang": pa.array(parts % len(model.languages), pa.int32()),
+        "numbers": lists(offs(per), number[order], pa.int32()),
+        "lengths": lists(offs(per), (end - start)[order], pa.int32()),
+        "counts": lists(offs(per), count, pa.int32()),
+        "marks": lists(mark_offs, mark, pa.int32()),
+        "weights": lists(mark_offs, weight, pa.int8()),
+        "lex_counts": lists(offs(per), lex_count, pa.int32()),
+        "lexemes": lists(lex_offs, lex, pa.int32()),
     }
 
 
 def _length_price(l1: np.ndarray, l2: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """-log of the probability that the lengths differ so much by chance."""
+    """-log of the probability that the lengths differ so much by chance: the normal distribution's two tails, their probability
+    by a rational approximation (error below 1e-6 of log), bounded at 12."""
     mean = (l1 + l2 / ratio) / 2
-    z = np.abs(l2 / ratio - l1) / np.sqrt(np.maximum(mean, 1) * VARIANCE)
-    # bound of the two-sided tail of the normal distribution
-    return np.minimum(0.5 * z * z * 0.5 + 0.3 * z, 12)
+    z = np.abs(l2 / ratio - l1) / np.sqrt(np.maximum(mean, 1) * 2 * VARIANCE)
+    t = 1 / (1 + 0.5 * z)
+    # Coefficients of the complementary error function's expansion.
+    series = np.full_like(t, 0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        series = series * t + c
+    return np.minimum(z * z - series - np.log(t), 12)
 
 
 def _mark_price(common: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
@@ -522,7 +529,7 @@ def _tally(side: int, words: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def places(chunks: DataFrame) -> DataFrame:
-    """(id, places) of the chunks of long documents (doc, side, id, nth, marks, blocks, and the chunks n_a and n_b of the
+    """(doc, side, id, places) of the chunks of long documents (doc, side, id, nth, marks, blocks, and the chunks n_a and n_b of the
     versions): blocks of side 0 are even; a chunk of side 1 goes to the blocks of the marks that each version has once,
     and to those next to where the anchored chunks before and after it stand and to the proportion between them. An
     anchored chunk stands at the median of its marks. A document without such marks is cut in proportion."""
@@ -545,8 +552,8 @@ def places(chunks: DataFrame) -> DataFrame:
     about = F.filter(F.array(block(F.col("before.x")), block(F.col("after.x")), block(F.col("x")), block(between)), lambda x: x.isNotNull())
     near = F.flatten(F.transform(about, lambda b: F.array(b - 1, b, b + 1)))
     own = F.transform(F.coalesce("own", F.array().cast("array<bigint>")), block)
-    second = second.select("id", F.filter(F.array_distinct(F.concat(near, own)), lambda b: (b >= 0) & (b < F.col("blocks"))).alias("places"))
-    return chunks.where("side = 0").select("id", F.array(block(F.col("nth"))).alias("places")).unionByName(second)
+    second = second.select("doc", F.lit(1).alias("side"), "id", F.filter(F.array_distinct(F.concat(near, own)), lambda b: (b >= 0) & (b < F.col("blocks"))).alias("places"))
+    return chunks.where("side = 0").select("doc", "side", "id", F.array(block(F.col("nth"))).alias("places")).unionByName(second)
 
 
 def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: str = "doc_id", text: str = "text", page: str = "page", kind: str = "kind", block_chunks: int = 64) -> DataFrame:
@@ -564,31 +571,32 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     def features(batches):
         for batch in batches:
             for at, texts in cp.slices(batch.column("text"), 1 << 19):
-                f = _features(shared.value, texts)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), batch.column("doc").slice(at, len(texts)), batch.column("page").slice(at, len(texts)), *f.values()], ["id", "doc", "page", *f])
+                row, f = _features(shared.value, texts)
+                if len(row):
+                    which = pa.array(row + at)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(which), batch.column("doc").take(which), *f.values()], ["id", "doc", *f])
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("doc", T.StringType()), T.StructField("page", T.IntegerType()), *_FEATURES.fields])
-    chunks = rows.join(later, "id", "left_anti").select("id", F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), "text").mapInArrow(features, schema)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("doc", T.StringType()), *_FEATURES.fields])
+    chunks = rows.join(later, "id", "left_anti").select("id", F.col("doc").cast("string").alias("doc"), "text").mapInArrow(features, schema)
     chunks = materialize(chunks, "sentences")
 
-    # versions: the two main languages of a document
+    # versions: each two languages of a document, which has no more than the model knows
     chars = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     versions = chunks.groupBy("doc", "lang").agg(F.count("*").alias("chunks"), F.sum(chars).alias("chars"), F.sum(F.size("numbers")).alias("sents"))
-    versions = versions.where("sents > 0").groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(F.struct("chunks", "chars", "lang", "sents")), asc=False), 1, 2).alias("v"))
-    versions = versions.where(F.size("v") == 2)
-    first, second = (F.when(F.col("v")[0]["lang"] < F.col("v")[1]["lang"], F.col("v")[i]).otherwise(F.col("v")[1 - i]) for i in (0, 1))
-    versions = versions.select("doc", F.ceil(F.col("v")[0]["chunks"] / block_chunks).alias("blocks"), first.alias("a"), second.alias("b"))
-    versions = materialize(versions, "versions")
+    versions = versions.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lang", "chunks", "chars", "sents"))).alias("v")).where(F.size("v") > 1)
+    versions = versions.select("doc", F.explode("v").alias("a"), "v").select("doc", "a", F.explode("v").alias("b")).where("a.lang < b.lang")
+    versions = versions.withColumn("pair", F.concat_ws("\u0001", "doc", F.col("a.lang").cast("string"), F.col("b.lang").cast("string")))
+    versions = materialize(versions.withColumn("blocks", F.ceil(F.greatest("a.chunks", "b.chunks") / block_chunks)), "versions")
     # the nearer two versions are in length, the more they say about the ratio of the languages
-    even = F.pow(F.least("a.chunks", "b.chunks") / F.greatest("a.chunks", "b.chunks"), 2)
+    even = F.pow(F.least("a.sents", "b.sents") / F.greatest("a.sents", "b.sents"), 4)
     ratios = versions.groupBy(F.col("a.lang").alias("la"), F.col("b.lang").alias("lb")).agg((F.sum(F.col("b.chars") * even) / F.sum(F.col("a.chars") * even)).alias("ratio"))
     versions = versions.join(F.broadcast(ratios), (F.col("a.lang") == F.col("la")) & (F.col("b.lang") == F.col("lb"))).drop("la", "lb")
 
-    placed = chunks.join(versions, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1))
+    placed = chunks.join(versions, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1)).withColumn("doc", F.col("pair"))
     # the place of a chunk in its version matters in long documents only; counting runs in buckets of ids
     long = placed.where("blocks > 1").select("doc", "side", "id", "marks", "blocks", F.col("a.chunks").alias("n_a"), F.col("b.chunks").alias("n_b"), F.lit(1).alias("one"))
     long = materialize(before_sum(long, ["doc", "side"], "id", "one", "nth"), "long")
-    placed = placed.join(places(long), "id", "left")
+    placed = placed.join(places(long), ["doc", "side", "id"], "left")
     near = F.coalesce("places", F.array(F.lit(0).cast("long")))
     placed = placed.select("doc", "ratio", "side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes", F.explode(near).alias("block"))
     chunk = F.struct("side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes")
@@ -613,12 +621,12 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     found = materialize(found, "found")
     confirmed = found.where("sure").select("doc", F.posexplode(F.array(F.struct(F.col("id_1").alias("id"), F.col("no_1").alias("no")), F.struct(F.col("id_2").alias("id"), F.col("no_2").alias("no")))).alias("side", "sent")).distinct()
     confirmed = confirmed.groupBy("doc").agg(F.count_if(F.col("side") == 0).alias("sure_a"), F.count_if(F.col("side") == 1).alias("sure_b"))
-    rendered = F.when(F.col("a.sents") <= F.col("b.sents"), F.col("sure_a") / F.col("a.sents")).otherwise(F.col("sure_b") / F.col("b.sents"))
-    two = versions.join(confirmed, "doc").where(rendered > RENDERED).select("doc")
+    rendered = F.when(F.col("a.sents") <= F.col("b.sents"), (F.col("sure_a") - CHANCE) / F.col("a.sents")).otherwise((F.col("sure_b") - CHANCE) / F.col("b.sents"))
+    two = versions.drop("doc").withColumnRenamed("pair", "doc").join(confirmed, "doc").where(rendered > RENDERED).select("doc")
     found = found.join(two, "doc", "left_semi").drop("doc", "sure")
     for side in ("1", "2"):
         twin = again.select(F.col("id").alias(f"id_{side}"), F.col("copy").alias(f"copy_{side}"))
         found = found.join(twin, f"id_{side}", "left").withColumn(f"id_{side}", F.coalesce(f"copy_{side}", f"id_{side}"))
-    swap = F.col("id_1") > F.col("id_2")
+    swap = F.struct("id_1", "no_1") > F.struct(F.col("id_2").alias("id_1"), F.col("no_2").alias("no_1"))
     pick = lambda name, a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
     return found.select(pick("chunk_id_1", "id_1", "id_2"), pick("sent_no_1", "no_1", "no_2"), pick("chunk_id_2", "id_2", "id_1"), pick("sent_no_2", "no_2", "no_1")).distinct()

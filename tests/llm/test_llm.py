@@ -263,6 +263,40 @@ def test_versions_need_no_common_first_page(spark, model):
     assert not any(20_000 <= r[0] < 30_000 for r in got) and any(r[2] == 31_000 for r in got)
 
 
+def test_three_versions_and_mixed_chunks(spark, model):
+    rng = random.Random(21)
+    rows, want = bilingual(rng, "x/three", 10_000, 24)
+    # a third version of fewer sentences, and a sentence of the second one that stands in a chunk of the first
+    third = [(i, re.search(r" ([A-F]\d+) (\d+) metres", s).groups()) for r in rows if r[4] == "en" for i, s in enumerate(re.split(r"(?<=\.) ", r[2]))]
+    keys = [(r[0], i + 1) for r in rows if r[4] == "en" for i in range(len(re.split(r"(?<=\.) ", r[2])))]
+    spanish = [f"{' '.join(rng.choice(WORDS['es'].split()) for _ in range(9)).capitalize()} {c} de {n} metros." for _, (c, n) in third]
+    rows += [(12_000 + k, "x/three", " ".join(spanish[k * 4 : k * 4 + 4]), 50 + k, "es") for k in range(3)]
+    en_es = {(*keys[i], 12_000 + i // 4, i % 4 + 1) for i in range(12)}
+    code = third[20][1]
+    first = next(r for r in rows if r[0] == 10_000)
+    stray = f"{' '.join(rng.choice(WORDS['fr'].split()) for _ in range(12)).capitalize()} {code[0]} à {code[1]} mètres."
+    rows = [r for r in rows if r is not first] + [(*first[:2], first[2] + " " + stray, *first[3:])]
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id string, text string, page int, lang string").withColumn("kind", F.lit("text"))
+    got = {tuple(r) for r in alignment.align(df, model).collect()}
+    assert len(got & en_es) >= 0.9 * len(en_es) and len(got & want) >= 0.9 * len(want)
+    languages = {(r[0] // 1000, r[2] // 1000) for r in got}
+    assert (11, 12) in languages or (12, 11) in languages  # French and Spanish are versions of each other, too
+    assert len(spanish) == 24
+
+
+def test_length_price_is_the_tail_of_the_normal_distribution():
+    import math
+
+    import numpy as np
+
+    for z in (0.0, 0.5, 1.0, 2.0, 4.0):
+        l1 = 100.0
+        # lengths whose difference is z standard deviations of their mean
+        l2 = next(x for x in np.arange(100.0, 400.0, 0.001) if (x - l1) / np.sqrt((l1 + x) / 2 * alignment.VARIANCE) >= z)
+        got = alignment._length_price(np.array([l1]), np.array([l2]), np.array([1.0]))[0]
+        assert got == pytest.approx(min(12, -math.log(math.erfc(z / math.sqrt(2)))), abs=0.01)
+
+
 def test_parts_left_out_shift_nothing(spark, model):
     rng = random.Random(15)
     rows, pairs = bilingual(rng, "x/cut", 10_000, 900)
