@@ -38,27 +38,36 @@ def text_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", wind
     return rows.select(key, "chunk_no", "start_tok", end.alias("end_tok"), body.alias("text"))
 
 
-def page_windows(pages: DataFrame, *, keys: list[str], page: str = "page", text: str = "text", window: int = 512, overlap: int = 128) -> DataFrame:
+def page_windows(pages: DataFrame, *, keys: list[str], page: str = "page", text: str = "text", chars: str = "chars", window: int = 512, overlap: int = 128) -> DataFrame:
     """Windows over the pages of a document, joined by a blank line: keys, chunk_no, n_tokens, text, page (of most
-    characters, of equals the first), pages touched, section_title in force at the first token, chunk_hash.
+    characters, of equals the first), pages touched, section_title in force at the first token, chunk_hash. Where ``pages`` has
+    glyphs (``chars``), lines in larger type are headings too, and windows have ``page_bboxes`` (page and box for each page
+    that has any, see ``span_boxes``) and ``bbox`` (the box on ``page``, zeros without one).
 
     Each (keys, page) should stand once; pages are read in order. A window of nothing but white space does not arise,
     as windows are made of tokens.
     """
     step = max(1, window - overlap)
-    texts = pages.select(*keys, F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    drawn = chars in pages.columns
+    texts = pages.select(*keys, F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(chars).alias("chars")] if drawn else []))
     sizes = running.before_sum(texts.select(*keys, "page", F.size(pieces(F.col("text"))).cast("long").alias("n")), keys, "page", "n", "base")
     sizes = materialize(sizes.join(sizes.groupBy(*keys).agg(F.sum("n").alias("total")), keys), "page-sizes")
-    rows = texts.join(sizes.where("n > 0"), [*keys, "page"]).withColumn("p", pieces(F.col("text")))
+    rows = texts.select(*keys, "page", "text").join(sizes.where("n > 0"), [*keys, "page"]).withColumn("p", pieces(F.col("text")))
     last = F.when(F.col("total") <= window, F.lit(0)).otherwise(F.ceil((F.col("total") - window) / step)).cast("long")
     first_w = F.greatest(F.lit(0), F.ceil((F.col("base") - window + 1) / step)).cast("long")
     last_w = F.least(last, F.floor((F.col("base") + F.col("n") - 1) / step)).cast("long")
-    parts = rows.where(first_w <= last_w).select(*keys, "page", "p", "n", "base", F.explode(F.sequence(first_w, last_w)).alias("chunk_no"))
+    parts = rows.where(first_w <= last_w).select(*keys, "page", "text", "p", "n", "base", "total", F.explode(F.sequence(first_w, last_w)).alias("chunk_no"))
     lo = F.greatest(F.lit(0), F.col("chunk_no") * step - F.col("base")).cast("int")
     hi = F.least(F.col("n"), F.col("chunk_no") * step + window - F.col("base")).cast("int")
     tail = F.when(hi == F.col("n"), F.lit("\n\n")).otherwise(F.lit(""))
     slice_ = F.slice("p", lo + 1, hi - lo)
-    parts = parts.select(*keys, "chunk_no", "page", (hi - lo).alias("tokens"), F.array_join(slice_, "").alias("body"), tail.alias("tail"))
+    # the part's range in its page's text: from the window's first token to its last, else from and to the page's ends
+    before = lambda k: F.length(F.regexp_extract("text", r"(?U)^\s*", 0)) + F.aggregate(F.slice("p", 1, k), F.lit(0), lambda a, x: a + F.length(x))
+    opens = F.col("base") + lo == F.col("chunk_no") * step
+    closes = F.col("base") + hi == F.least(F.col("total"), F.col("chunk_no") * step + window)
+    begin = F.when(opens, before(lo)).otherwise(F.lit(0))
+    end = F.when(closes, before(hi - 1) + F.length(F.regexp_replace(F.element_at("p", hi), r"(?U)\s+$", ""))).otherwise(F.length("text"))
+    parts = parts.select(*keys, "chunk_no", "page", (hi - lo).alias("tokens"), F.array_join(slice_, "").alias("body"), tail.alias("tail"), *([begin.alias("lo"), end.alias("hi")] if drawn else []))
     per_window = parts.groupBy(*keys, "chunk_no").agg(
         F.sum("tokens").alias("n_tokens"),
         F.array_sort(F.collect_list(F.struct("page", "body", "tail"))).alias("parts"),
@@ -67,20 +76,42 @@ def page_windows(pages: DataFrame, *, keys: list[str], page: str = "page", text:
     body = F.regexp_replace(F.array_join(F.transform("parts", lambda x: F.concat(x["body"], x["tail"])), ""), r"(?U)\s+$", "")
     per_window = per_window.withColumn("text", body).withColumn("pages", F.transform("parts", lambda x: x["page"])).drop("parts")
 
-    headed = texts.where(F.exists(F.split("text", "\n"), T.is_heading))
+    headed = texts if drawn else texts.where(F.exists(F.split("text", "\n"), T.is_heading))
+    if drawn:
+        headed = headed.join(glyph_sizes(texts, keys).select(*keys, "heading_size"), keys, "left").where(F.exists(F.split("text", "\n"), T.is_heading) | (F.size("chars") > 0))
     heads = headings(headed.join(sizes.select(*keys, "page", "base"), [*keys, "page"]), keys)
     starts = per_window.select(*keys, (F.col("chunk_no") * step).alias("token"), "chunk_no", F.lit(None).cast("string").alias("title"), F.lit(1 << 30).alias("nth"))
     both = starts.unionByName(heads.select(*keys, "token", F.lit(None).cast("long").alias("chunk_no"), "title", "nth"))
     both = running.last_known(both, keys, F.struct("token", "nth"), "title", "section_title", position="token", width=1 << 16)
     sections = both.where("chunk_no is not null").select(*keys, "chunk_no", F.coalesce("section_title", F.lit("")).alias("section_title"))
-    return per_window.join(sections, [*keys, "chunk_no"]).withColumn("chunk_hash", T.chunk_hash(F.col("text")))
+    out = per_window.join(sections, [*keys, "chunk_no"]).withColumn("chunk_hash", T.chunk_hash(F.col("text")))
+    if not drawn:
+        return out
+    glyphs = aligned_glyphs(texts, keys)
+    extents = glyphs.groupBy(*keys, "page").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+    spans = parts.select(*keys, "page", F.col("chunk_no").alias("span"), "lo", "hi").join(extents.select(*keys, "page"), [*keys, "page"], "left_semi")
+    boxes = span_boxes(spans, glyphs, extents, keys).where("x0 is not null")
+    box = F.array(*[F.col(c) for c in ("x0", "top", "x1", "bottom")])
+    boxes = boxes.groupBy(*keys, F.col("span").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.concat(F.array(F.col("page").cast("double")), box))).alias("page_bboxes"))
+    out = out.join(boxes, [*keys, "chunk_no"], "left").withColumn("page_bboxes", F.coalesce("page_bboxes", F.array().cast("array<array<double>>")))
+    own = F.get(F.filter("page_bboxes", lambda x: x[0] == F.col("page")), F.lit(0))
+    return out.withColumn("bbox", F.coalesce(F.slice(own, 2, 4), F.array(*[F.lit(0.0)] * 4)))
 
 
 def headings(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Section headings with the place of their first token in the document (``base`` is the page's): keys, token, nth
-    (order among headings of one place), title."""
-    lines = pages.select(*keys, "page", "base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.split("text", "\n").alias("lines"))
-    lines = lines.where(T.is_heading(F.col("line")))
+    (order among headings of one place), title. Where pages have ``chars`` and ``heading_size``, a short line is one as well if the
+    page's glyphs that stand in it are at least so large in the mean."""
+    drawn = "chars" in pages.columns
+    more = ["chars", "heading_size"] if drawn else []
+    lines = pages.select(*keys, "page", "base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.split("text", "\n").alias("lines"), *more)
+    head = T.is_heading(F.col("line"))
+    if drawn:
+        bare = F.trim("line")
+        mine = F.transform(F.filter("chars", lambda c: (c["size"] > 0) & (c["text"] != "") & F.contains(bare, c["text"])), lambda c: c["size"])
+        mean = F.aggregate(mine, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(mine), F.lit(0))
+        head = head | ((F.length(bare) > 0) & (F.length(bare) <= 120) & F.coalesce(mean >= F.col("heading_size"), F.lit(False)))
+    lines = lines.where(head)
     before = F.aggregate(F.slice("lines", 1, F.col("line_no")), F.lit(0), lambda a, x: a + F.size(pieces(x)))
     return lines.select(*keys, (F.col("base") + before).alias("token"), F.col("line_no").alias("nth"), F.trim("line").alias("title"))
 
@@ -103,7 +134,7 @@ def aligned_glyphs(pages: DataFrame, keys: list[str]) -> DataFrame:
     character; characters without their glyph get none. keys, page, place, x0, top, x1, bottom."""
     fields = "place int, x0 double, top double, x1 double, bottom double"
 
-    @F.udf(f"array<struct<{fields}>>")
+    @F.udf(f"array<struct<{fields}>>", useArrow=True)
     def walk(text, chars):
         out, at = [], 0
         for i, c in enumerate(text or ""):

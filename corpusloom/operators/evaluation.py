@@ -101,8 +101,8 @@ def region_candidates(chunks: DataFrame, *, least_area: float = 100.0, least_cha
 
 
 def region_sample(chunks: DataFrame, *, n: int = 50, seed: int = 0, **options) -> DataFrame:
-    """``n`` of these candidates (the sampling is the feature), those of least hash of seed and chunk_hash."""
-    return region_candidates(chunks, **options).orderBy(F.xxhash64(F.lit(seed), "chunk_hash"), "chunk_hash").limit(n)
+    """``n`` of these candidates (the sampling is the feature), those of least MD5 of seed and chunk_hash."""
+    return region_candidates(chunks, **options).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "chunk_hash")), "chunk_id").limit(n)
 
 
 def worst(pairs: DataFrame, *, n: int = 5, score: str = "similarity", key: str = "chunk_id") -> DataFrame:

@@ -14,32 +14,41 @@ from corpusloom.operators.chunking import aligned_glyphs
 from corpusloom.operators.evaluation import sequence_ratio
 
 
-def term_hits(pages: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+def term_hits(pages: DataFrame, terms: DataFrame, keys: list[str], *, terms_per_block: int = 1000) -> DataFrame:
     """Every hit of every term (column ``term``) in the pages' texts, case and white space apart: keys, page, term, hit, lo,
-    hi. Blank terms have none. The list of terms goes to every task and is walked for each page, so it should be short."""
+    hi. Blank terms have none. Terms go to the tasks in blocks of about ``terms_per_block``, each a pass over the pages."""
 
     @F.udf("array<struct<term: string, hit: int, lo: int, hi: int>>", useArrow=True)
     def find(text, wanted):
-        out = []
-        for term, pattern in _patterns(tuple(wanted)):
-            out += [(term, n, m.start(), m.end()) for n, m in enumerate(pattern.finditer(text))]
+        out, low = [], text.lower()
+        for term, first, pattern in _patterns(tuple(wanted)):
+            if first in low:
+                out += [(term, n, m.start(), m.end()) for n, m in enumerate(pattern.finditer(text))]
         return out
 
-    all_terms = terms.where("trim(term) <> ''").agg(F.array_sort(F.collect_set("term")).alias("wanted"))  # one row
-    some = pages.where(F.length("text") > 0).select(*keys, "page", "text").crossJoin(F.broadcast(all_terms))
-    return some.select(*keys, "page", F.explode(find("text", "wanted")).alias("h")).select(*keys, "page", "h.*")
+    terms = terms.where("trim(term) <> ''").select("term").distinct()
+    blocks = max(1, -(-terms.count() // terms_per_block))
+    some = pages.where(F.length("text") > 0).select(*keys, "page", "text")
+    block = F.pmod(F.xxhash64("term"), F.lit(blocks))
+    wanted = terms.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list("term")).alias("wanted"))  # of bounded size
+    found = None
+    for b in range(blocks):
+        hits = some.crossJoin(F.broadcast(wanted.where(F.col("block") == b))).select(*keys, "page", F.explode(find("text", "wanted")).alias("h")).select(*keys, "page", "h.*")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 @functools.lru_cache(maxsize=4)
-def _patterns(terms: tuple[str, ...]) -> list[tuple[str, re.Pattern]]:
-    return [(t, re.compile(r"\s+".join(map(re.escape, t.split())), re.IGNORECASE)) for t in terms]
+def _patterns(terms: tuple[str, ...]) -> list[tuple[str, str, re.Pattern]]:
+    """Each term with its first word in lower case and its pattern."""
+    return [(t, t.split()[0].lower(), re.compile(r"\s+".join(map(re.escape, t.split())), re.IGNORECASE)) for t in terms]
 
 
 def quote_hit(text: Column, quote: Column, *, probe: int = 8) -> Column:
     """struct(lo, hi) of the first place of a quote: its words with any other signs between, else its first ``probe`` words,
     else its last; null without a place."""
 
-    @F.udf("struct<lo: int, hi: int>")
+    @F.udf("struct<lo: int, hi: int>", useArrow=True)
     def find(t, q):
         words = re.findall(r"[\w'’-]+", q or "")
         if not words or not t:

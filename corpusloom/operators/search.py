@@ -322,11 +322,11 @@ def parity(a: DataFrame, b: DataFrame, *, key: str = "query_id", item: str = "do
 
 
 def stratified_sample(df: DataFrame, *, most: int, stratum: str, key: str, seed: int = 0) -> DataFrame:
-    """About ``most`` rows, of each stratum its share but one at least, chosen by a hash of the key."""
+    """About ``most`` rows, of each stratum its share but one at least, those of least MD5 of seed and key."""
     size = df.groupBy(stratum).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("total"))
     size = size.crossJoin(total).select(F.col(stratum).alias("__s"), F.when(F.col("total") <= most, F.col("n")).otherwise(F.greatest(F.lit(1), F.bround(F.lit(most) * F.col("n") / F.col("total")).cast("long"))).alias("take"))
-    order = W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     # at most ``most`` rows of a stratum are needed, so tasks keep no more of it before the shuffle
     first = df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
     return first.join(size, F.col(stratum).eqNullSafe(F.col("__s"))).where(F.col("__n") <= F.col("take")).drop("__n", "__s", "take")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, feedback, search
-from corpusloom.plans.graph_queries import CITES, graph_cites
+from corpusloom.operators import evaluation, feedback, graph, lake, search
+from corpusloom.plans.graph_queries import EDGES, FINDINGS, OCC, REGS
 from corpusloom.plans.registry import query
-from corpusloom.plans.retrieval_queries import SEEDS, _seed_hits, _terms
+from corpusloom.plans.retrieval_queries import EXPAND, SEEDS, TERMS, TOP, _seed_hits, _terms
 from corpusloom.session import read
 
 METRICS = """
@@ -47,10 +47,19 @@ def evaluation_report(spark, d):
     return evaluation.report(_metrics(spark, d))
 
 
-@query()
+SECOND = EXPAND + f""",
+mt AS (SELECT query_id, string_agg(term, ' ' ORDER BY rank) AS more FROM terms GROUP BY 1),
+q2 AS (SELECT item_id AS query_id, unnest({TERMS.format(t="concat_ws(' ', query, more)")}) AS term FROM eval_items LEFT JOIN mt ON mt.query_id = item_id),
+qc2 AS (SELECT query_id, term, count(*) AS wq FROM q2 GROUP BY ALL),
+s2 AS (SELECT query_id, point_id, sum(wq * wp)::DOUBLE AS score FROM qc2 JOIN pc USING (term) GROUP BY ALL),
+seeds2 AS (SELECT t.query_id, t.rank, c.doc_id FROM ({TOP.format(rows="FROM s2 SELECT *", k=10)}) t JOIN chunks c ON c.chunk_id = t.point_id),
+"""
+
+
+@query(SECOND + METRICS.format(seeds="seeds").replace("\na AS", "\na1 AS").replace("JOIN a ON a.query_id", "JOIN a1 a ON a.query_id").replace("\ni AS", "\ni1 AS").replace("\nu AS", "\nu1 AS").replace("\ng AS", "\ng1 AS").replace("\nm AS", "\nm1 AS").replace("FROM u JOIN i", "FROM u1 JOIN i1").replace("FROM i LEFT JOIN g", "FROM i1 LEFT JOIN g1")
+       + "," + METRICS.format(seeds="seeds2") + "SELECT round((SELECT avg(recall_10) FROM m) - (SELECT avg(recall_10) FROM m1), 6) AS recall10_lift, round((SELECT avg(rr) FROM m) - (SELECT avg(rr) FROM m1), 6) AS mrr_lift")
 def reformulation_lift(spark, d):
-    """Gain of the expanded queries over the first ones. Both hops are checked on their own by ranking_metrics and
-    reformulated_queries."""
+    """Gain of the expanded queries over the first ones."""
     items, terms = _terms(spark, d)
     second = feedback.reformulated(items, terms)
     chunks = read(spark, d, "chunks")
@@ -60,17 +69,31 @@ def reformulation_lift(spark, d):
 
 
 @query(f"""
-WITH e AS ({CITES}), x AS (SELECT item_id, substr(unnest(expected), instr(unnest(expected), '/') + 1) AS occ FROM eval_items),
-r AS (SELECT item_id, count(DISTINCT occ) AS occurrences, count(DISTINCT dst) AS regs, count(DISTINCT CASE WHEN dst IN ('601.10', '602.10') THEN dst END) > 0 AS hit FROM x LEFT JOIN e ON src = occ GROUP BY 1)
-SELECT item_id, occurrences, regs, hit FROM r
+WITH {EDGES}, {FINDINGS},
+x AS (SELECT DISTINCT item_id, substr(unnest(expected), instr(unnest(expected), '/') + 1) AS occ_id, note FROM eval_items),
+f AS (SELECT {OCC} AS occ_id, text, chunk_id FROM findings WHERE corpus = 'tsb'),
+n AS (SELECT occ_id, count(DISTINCT (f.text, coalesce(reg, ''))) AS n FROM f LEFT JOIN (SELECT chunk_id, unnest({REGS}) AS reg FROM own) USING (chunk_id) GROUP BY 1),
+k AS (SELECT x.item_id, x.occ_id, bool_or(contains(lower(f.text), lower(note))) AS hit FROM x JOIN f USING (occ_id) GROUP BY ALL),
+c AS (SELECT src AS occ_id, rel, count(*) AS n FROM edges GROUP BY ALL)
+SELECT x.item_id, x.occ_id, coalesce(n.n, 0) AS n_findings, coalesce(r.n, 0) AS n_recs, coalesce(d.n, 0) AS n_regs, note IS NULL OR coalesce(k.hit, false) AS keyword_hit,
+       CASE WHEN coalesce(n.n, 0) > 0 AND (note IS NULL OR coalesce(k.hit, false)) THEN 1.0 ELSE 0.0 END AS score
+FROM x LEFT JOIN n ON n.occ_id = x.occ_id LEFT JOIN c r ON r.occ_id = x.occ_id AND r.rel = 'HAS_RECOMMENDATION' LEFT JOIN c d ON d.occ_id = x.occ_id AND d.rel = 'CITES'
+LEFT JOIN k ON k.item_id = x.item_id AND k.occ_id = x.occ_id
 """)
 def traversal_hit(spark, d):
-    """Whether the graph reaches an expected regulation from an item's occurrences."""
-    cites = graph_cites(spark, d)
-    occ = read(spark, d, "eval_items").select("item_id", F.explode("expected").alias("doc")).select("item_id", F.expr("substring(doc, instr(doc, '/') + 1)").alias("occ"))
-    rows = occ.join(cites, F.col("occ") == F.col("src"), "left")
-    wanted = F.when(F.col("dst").isin("601.10", "602.10"), F.col("dst"))
-    return rows.groupBy("item_id").agg(F.count_distinct("occ").alias("occurrences"), F.count_distinct("dst").alias("regs"), (F.count_distinct(wanted) > 0).alias("hit"))
+    """Whether the graph gives findings for an item's occurrences, with the item's note as keyword."""
+    items = read(spark, d, "eval_items").select("item_id", F.explode("expected").alias("doc"), "note")
+    items = items.select("item_id", F.expr("substring(doc, instr(doc, '/') + 1)").alias("occ_id"), F.when(F.col("note").isNotNull(), F.array("note")).otherwise(F.array().cast("array<string>")).alias("keywords")).distinct()
+    context = graph.hop_one(items.select(F.col("occ_id").alias("id")), graph.tables_of(lake.records(read(spark, d, "chunks"))))
+    return evaluation.traversal_scores(items, context).select("item_id", "occ_id", *[F.col(c).cast("long").alias(c) for c in ("n_findings", "n_recs", "n_regs")], "keyword_hit", "score")
+
+
+@query(SEEDS + METRICS.format(seeds="seeds") + """,
+r AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS slice, count(*) AS items, round(avg(recall_5), 6) AS a, round(avg(recall_10), 6) AS b, round(avg(rr), 6) AS c, round(avg(ndcg_5), 6) AS d, round(avg(ndcg_10), 6) AS e FROM m GROUP BY GROUPING SETS ((), (lang)) HAVING grouping(lang) = 1 OR lang IS NOT NULL)
+SELECT slice, CASE WHEN slice = 'all' THEN 'Eval over ' || items || ' queries' ELSE '  -- ' || slice || ' (n=' || items || ')' END || printf(': R@5=%.4f R@10=%.4f MRR=%.4f nDCG@5=%.4f nDCG@10=%.4f', a, b, c, d, e) AS line FROM r
+""")
+def report_lines(spark, d):
+    return evaluation.report_lines(evaluation.report(_metrics(spark, d)))
 
 
 @query("""

@@ -142,8 +142,14 @@ PAGES = "SELECT doc_id, edition, page, max(text) AS text FROM page_extracts GROU
 PIECE = f"[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+{SPACE}*"
 
 
-def _pages(spark, d):
-    return read(spark, d, "page_extracts").groupBy("doc_id", "edition", "page").agg(F.max("text").alias("text"))
+DRAWN = f"SELECT p.doc_id, p.edition, p.page, coalesce(p.text, '') AS text, c.chars FROM ({PAGES}) p LEFT JOIN (SELECT doc_id, edition, page, max(chars) AS chars FROM page_extracts GROUP BY ALL) c ON c.doc_id = p.doc_id AND c.edition = p.edition AND c.page = p.page"
+
+
+def _drawn(spark, d):
+    return read(spark, d, "page_extracts").groupBy("doc_id", "edition", "page").agg(F.max("text").alias("text"), F.max("chars").alias("chars"))
+
+
+HEADED = "(regexp_matches({t}, '(?i)findings\\s+as\\s+to\\s+causes?|findings\\s+as\\s+to\\s+risk|safety\\s+action\\b|faits\\s+établis\\s+quant\\s+aux\\s+causes?|faits\\s+établis\\s+quant\\s+aux\\s+risques?|mesures\\s+de\\s+sécurité') OR regexp_matches({t}, '^\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,2}}\\.?\\s{{1,4}}[A-Z][A-Za-zÀ-ÿ]'))"
 
 
 @query(f"""
@@ -154,12 +160,28 @@ seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, edition ORDER BY page,
 win AS (SELECT *, unnest(generate_series(greatest(0, (t - 128 + 96) // 96)::BIGINT, least(t // 96, CASE WHEN total <= 128 THEN 0 ELSE (total - 128 + 95) // 96 END)::BIGINT)) AS chunk_no FROM seq),
 part AS (SELECT doc_id, edition, chunk_no, page, count(*) AS tokens, string_agg(piece, '' ORDER BY i) AS body, max(i) = max(n) AS whole FROM win GROUP BY ALL HAVING true),
 chunk AS (SELECT doc_id, edition, chunk_no, sum(tokens)::BIGINT AS n_tokens, arg_max(page, struct_pack(a := length(body), b := -page)) AS page,
-                 regexp_replace(string_agg(body || CASE WHEN whole THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY page), '{SPACE}+$', '') AS text FROM part GROUP BY doc_id, edition, chunk_no)
-SELECT doc_id, edition, chunk_no, n_tokens, page, sha256(lower(trim(regexp_replace(text, '{SPACE}+', ' ', 'g')))) AS chunk_hash FROM chunk
+                 regexp_replace(string_agg(body || CASE WHEN whole THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY page), '{SPACE}+$', '') AS text FROM part GROUP BY doc_id, edition, chunk_no),
+median AS (SELECT doc_id, edition, quantile_cont(c.size, 0.5) AS median FROM (SELECT doc_id, edition, unnest(chars) AS c FROM ({DRAWN})) WHERE c.size > 0 GROUP BY ALL),
+line AS (SELECT doc_id, edition, page, text, chars, generate_subscripts(l, 1) AS nth, unnest(l) AS raw FROM (SELECT *, string_split(text, chr(10)) AS l FROM ({DRAWN}))),
+place AS (SELECT *, trim(raw) AS title, (sum(length(raw) + 1) OVER (PARTITION BY doc_id, edition, page ORDER BY nth) - length(raw) - 1)::BIGINT AS off FROM line),
+head AS (SELECT p.*, list_avg(list_transform(list_filter(chars, lambda c: c.size > 0 AND c.text <> '' AND contains(title, c.text)), lambda c: c.size)) >= 1.2 * median AS large FROM place p LEFT JOIN median USING (doc_id, edition) WHERE length(title) BETWEEN 1 AND 120),
+base AS (SELECT doc_id, edition, page, min(t) AS base FROM seq GROUP BY ALL),
+section AS (SELECT h.doc_id, h.edition, base + len(regexp_extract_all(substr(h.text, 1, off), '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+')) AS token, nth, title FROM head h JOIN base USING (doc_id, edition, page) WHERE large OR {HEADED.format(t='title')}),
+inforce AS (SELECT c.doc_id, c.edition, c.chunk_no, arg_max(title, struct_pack(a := token, b := nth)) AS title FROM chunk c JOIN section s ON s.doc_id = c.doc_id AND s.edition = c.edition AND token <= c.chunk_no * 96 GROUP BY ALL)
+SELECT c.doc_id, c.edition, c.chunk_no, n_tokens, page, text, coalesce(title, '') AS section_title, sha256(lower(trim(regexp_replace(text, '{SPACE}+', ' ', 'g')))) AS chunk_hash
+FROM chunk c LEFT JOIN inforce i ON i.doc_id = c.doc_id AND i.edition = c.edition AND i.chunk_no = c.chunk_no
 """)
 def page_windows(spark, d):
-    w = chunking.page_windows(_pages(spark, d), keys=["doc_id", "edition"], window=128, overlap=32)
-    return w.select("doc_id", "edition", "chunk_no", "n_tokens", "page", "chunk_hash")
+    """Windows of all pages; their boxes come from a walk over glyphs and are tested on a fixture (query ``window_boxes``)."""
+    w = chunking.page_windows(_drawn(spark, d), keys=["doc_id", "edition"], window=128, overlap=32)
+    return w.select("doc_id", "edition", "chunk_no", "n_tokens", "page", "text", "section_title", "chunk_hash")
+
+
+@query()
+def window_boxes(spark, d):
+    """Boxes of windows that have glyphs (the walk that finds their places is not for SQL)."""
+    w = chunking.page_windows(_drawn(spark, d), keys=["doc_id", "edition"], window=128, overlap=32)
+    return w.where(F.size("page_bboxes") > 0).select("doc_id", "edition", "chunk_no", "page", "bbox", "page_bboxes")
 
 
 @query(f"""
@@ -271,3 +293,58 @@ def page_regions(spark, d):
     good = F.exists("page_bboxes", lambda x: (x[3] - x[1] > 0) & (x[4] - x[2] > 0) & ((x[1] > 1) | (x[2] > 1)))
     rows = rows.select("doc_id", "page", F.size(F.filter("page_bboxes", lambda x: x[0] == F.col("page"))).cast("long").alias("regions"), good.alias("good"))
     return rows.select("doc_id", "page", "regions", F.bool_or("good").over(W.partitionBy("doc_id", "page")).alias("drawable")).distinct()
+
+
+SCAN = "CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'zh' THEN 3 ELSE 4 END, CASE corpus WHEN 'tsb' THEN 1 WHEN 'tc' THEN 2 WHEN 'ttsb' THEN 3 WHEN 'caac' THEN 4 ELSE 5 END, doc_id, chunk_id"
+
+
+@query(f"""
+WITH r AS ({RECORDS}), good AS (SELECT lang, doc_id FROM ({ADMITTED}) WHERE reason IS NULL)
+SELECT chunk_hash, chunk_id, r.doc_id, r.lang FROM r JOIN good g ON g.doc_id = r.doc_id AND g.lang IS NOT DISTINCT FROM r.lang QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY {SCAN.replace('lang', 'r.lang', 1).replace('doc_id', 'r.doc_id')}) = 1
+""")
+def processed_chunks(spark, d):
+    """Admission, then deduplication: chunks of rejected documents claim no hash."""
+    c = lake.records(read(spark, d, "chunks"))
+    new, _ = lake.processed(c.select("lang", "doc_id").distinct(), c)
+    return new.select("chunk_hash", "chunk_id", "doc_id", "lang")
+
+
+@query("""
+WITH s AS (SELECT regexp_extract(source_url, '([^/?#]*)$', 1) AS name, min(source_url) AS url FROM chunks WHERE doc_id LIKE 'caac/%' AND source_url IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT split_part(doc_id, '/', 1) AS source, substr(doc_id, instr(doc_id, '/') + 1) AS stem, lang FROM chunks WHERE lang IN ('en', 'fr', 'zh'))
+SELECT source, stem, lang, CASE WHEN source = 'tsb' THEN 'https://www.bst-tsb.gc.ca/sites/default/files/rapports-reports/aviation/' || lower(stem) || CASE WHEN lang = 'en' THEN '/eng/' ELSE '/fra/' END || lower(stem) || '.pdf'
+  WHEN source = 'ttsb' AND regexp_matches(stem, '^\\d+_.+$') THEN 'https://www.ttsb.gov.tw/media/' || split_part(stem, '_', 1) || '/' || substr(stem, instr(stem, '_') + 1) || '.pdf'
+  WHEN source = 'caac' THEN s.url END AS source_url
+FROM r LEFT JOIN s ON s.name = r.stem || '.pdf'
+""")
+def rebuilt_urls(spark, d):
+    """Addresses of documents out of their names; seeds are the addresses that caac's chunks have."""
+    c = read(spark, d, "chunks")
+    refs = c.where("lang in ('en', 'fr', 'zh')").select(F.substring_index("doc_id", "/", 1).alias("source"), F.expr("substring(doc_id, instr(doc_id, '/') + 1)").alias("stem"), "lang").distinct()
+    return links.rebuilt_urls(refs, c.where("startswith(doc_id, 'caac/')").select(F.col("source_url").alias("url")))
+
+
+@query("""
+SELECT chunk_id, doc_id, page FROM chunks WHERE len(bbox) = 4 AND length(text) >= 30 AND page >= 1 AND greatest(0, bbox[3] - bbox[1]) * greatest(0, bbox[4] - bbox[2]) >= 100
+""")
+def region_candidates(spark, d):
+    from corpusloom.operators import evaluation
+
+    return evaluation.region_candidates(read(spark, d, "chunks")).select("chunk_id", "doc_id", "page")
+
+
+@query("""
+SELECT chunk_id FROM (SELECT * FROM chunks WHERE len(bbox) = 4 AND length(text) >= 30 AND page >= 1 AND greatest(0, bbox[3] - bbox[1]) * greatest(0, bbox[4] - bbox[2]) >= 100) ORDER BY md5('7:' || chunk_hash), chunk_id LIMIT 50
+""")
+def region_sample(spark, d):
+    """Fifty of them by hash (the sampling is the operator)."""
+    from corpusloom.operators import evaluation
+
+    return evaluation.region_sample(read(spark, d, "chunks"), n=50, seed=7).select("chunk_id")
+
+
+@query(f"SELECT chunk_id, lang, corpus FROM (SELECT chunk_id, doc_id, lang, coalesce(nullif(corpus, ''), split_part(doc_id, '/', 1)) AS corpus FROM chunks) WHERE lang IN ('en', 'fr') AND corpus = 'tsb'")
+def payload_filter(spark, d):
+    from corpusloom.operators import search
+
+    return search.payload_filter(lake.records(read(spark, d, "chunks")), lang=["en", "fr"], source="tsb").select("chunk_id", "lang", "corpus")

@@ -9,16 +9,20 @@ from corpusloom.plans.registry import query
 from corpusloom.session import read
 
 
+def _terms(spark, d):
+    return read(spark, d, "glossary").select(F.explode(F.array("term_en", "term_fr", "term_zh")).alias("term")).where("term is not null")
+
+
 @query("""
 WITH p AS (SELECT DISTINCT doc_id, edition, page, text FROM page_extracts WHERE text <> ''),
-t AS (SELECT DISTINCT term_en AS term FROM glossary WHERE trim(term_en) <> '')
+t AS (SELECT DISTINCT term FROM (SELECT unnest([term_en, term_fr, term_zh]) AS term FROM glossary) WHERE trim(term) <> '')
 SELECT doc_id, edition, page, term, len(regexp_extract_all(text, '(?i)' || regexp_replace(regexp_escape(term), '\\\\ ', '[\\\\s\\\\x1c-\\\\x1f\\\\x85\\\\p{Z}]+', 'g'))) AS hits FROM p, t
 WHERE contains(lower(text), lower(split_part(term, ' ', 1))) AND len(regexp_extract_all(text, '(?i)' || regexp_replace(regexp_escape(term), '\\\\ ', '[\\\\s\\\\x1c-\\\\x1f\\\\x85\\\\p{Z}]+', 'g'))) > 0
 """)
 def term_hits(spark, d):
-    """Hits of the glossary's English terms on every page."""
+    """Hits of the glossary's terms in all languages on every page."""
     pages = read(spark, d, "page_extracts").where("text <> ''").select("doc_id", "edition", "page", "text").distinct()
-    hits = regions.term_hits(pages, read(spark, d, "glossary").select(F.col("term_en").alias("term")), ["doc_id", "edition"])
+    hits = regions.term_hits(pages, _terms(spark, d), ["doc_id", "edition"])
     return hits.groupBy("doc_id", "edition", "page", "term").agg(F.count("*").alias("hits"))
 
 
@@ -26,7 +30,7 @@ def term_hits(spark, d):
 def term_boxes(spark, d):
     """Line boxes of these hits on pages with glyphs; the glyphs are aligned by a walk that SQL can't express."""
     pages = read(spark, d, "page_extracts").where(F.size("chars") > 0).select("doc_id", "edition", "page", "text", "chars").distinct()
-    hits = regions.term_hits(pages, read(spark, d, "glossary").select(F.col("term_en").alias("term")), ["doc_id", "edition"])
+    hits = regions.term_hits(pages, _terms(spark, d), ["doc_id", "edition"])
     return regions.line_boxes(hits, pages, ["doc_id", "edition"])
 
 

@@ -105,6 +105,48 @@ def rrf_fusion(spark, d):
     return search.rrf_fuse(search.dense_topk(_queries(p), p, k=50), search.sparse_topk(asked, texts, k=50))
 
 
+def _texted(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang", F.col("source").alias("corpus"))
+    p = _vectors(spark, d).drop("label").join(docs, "point_id")
+    return p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), F.col("text").alias("query"), "vector"), p
+
+
+TEXTED = f"""
+pt AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, text, lang FROM embeddings JOIN documents ON doc_id = vec_id WHERE {{keep}}),
+qt AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0 AND trim(text) <> ''),
+dp AS (SELECT q.id AS query_id, p.id AS point_id, round(list_dot_product(q.e, p.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(p.e, p.e))), 6) AS score FROM qt q, pt p),
+dh AS ({TOP.format(rows='FROM dp SELECT *', k=20)}),
+"""
+RERANKED = f"""
+rr AS (SELECT query_id, point_id, score, c.rank AS ann_rank, list_distinct({TERMS.format(t='q.text')}) AS a, {TERMS.format(t='p.text')} AS b FROM cand c JOIN qt q ON q.id = query_id JOIN pt p ON p.id = point_id),
+sc AS (SELECT query_id, point_id, score, ann_rank, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(a), 9) END AS rerank_score FROM rr)
+SELECT query_id, point_id, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, ann_rank) AS rank FROM sc QUALIFY rank <= 10
+"""
+
+
+@query("WITH " + TEXTED.format(keep="lang IN ('en', 'fr')") + "cand AS (SELECT * FROM dh)," + RERANKED)
+def retrieve_dense(spark, d):
+    """Nearest vectors in two languages, reranked; queries are the vectors with an id divisible by 20 and their documents."""
+    q, p = _texted(spark, d)
+    return search.retrieve(q, p, ann_k=20, top_k=10, lang=["en", "fr"]).select("query_id", "point_id", "score", "rerank_score", "rank")
+
+
+@query("WITH " + TEXTED.format(keep="true") + f"""
+tq AS (SELECT query_id, term, count(*) AS wq FROM (SELECT id AS query_id, unnest({TERMS.format(t='text')}) AS term FROM qt) GROUP BY ALL),
+tp AS (SELECT point_id, term, count(*) AS wp FROM (SELECT id AS point_id, unnest({TERMS.format(t='text')}) AS term FROM pt) GROUP BY ALL),
+sp AS (SELECT query_id, point_id, sum(wq * wp)::DOUBLE AS score FROM tq JOIN tp USING (term) GROUP BY ALL),
+sh AS ({TOP.format(rows='FROM sp SELECT *', k=20)}),
+nd AS (SELECT query_id, count(*) AS nd FROM dh GROUP BY 1), ns AS (SELECT query_id, count(*) AS ns FROM sh GROUP BY 1),
+fu AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.point_id, s.point_id) AS point_id, d.rank AS rd, s.rank AS rs FROM (SELECT * FROM dh WHERE query_id IN (SELECT query_id FROM ns)) d FULL JOIN sh s ON d.query_id = s.query_id AND d.point_id = s.point_id),
+fs AS (SELECT query_id, point_id, rd, rs, round(1 / (60 + coalesce(rd, coalesce(nd, 0) + 1)) + 1 / (60 + coalesce(rs, coalesce(ns, 0) + 1)), 9) AS score FROM fu LEFT JOIN nd USING (query_id) LEFT JOIN ns USING (query_id)),
+cand AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rd NULLS LAST, rs NULLS FIRST, point_id) AS rank FROM fs
+         UNION ALL SELECT query_id, point_id, score, rank FROM dh WHERE query_id NOT IN (SELECT query_id FROM ns)),""" + RERANKED)
+def retrieve_hybrid(spark, d):
+    """Dense and sparse hits fused, then reranked."""
+    q, p = _texted(spark, d)
+    return search.retrieve(q, p, ann_k=20, top_k=10, hybrid=True).select("query_id", "point_id", "score", "rerank_score", "rank")
+
+
 def _seed_hits(spark, d):
     c = lake.records(read(spark, d, "chunks"))
     return _sparse(spark, d, 10).join(c.select(F.col("chunk_id").alias("point_id"), "doc_id", "lang", "page", "section_title", "text", "chunk_hash"), "point_id")
@@ -168,11 +210,18 @@ def index_parity(spark, d):
 
 
 @query("""
-WITH n AS (SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS total FROM embeddings GROUP BY label)
-SELECT label, CASE WHEN total <= 100 THEN n ELSE greatest(1, round_even(100 * n / total, 0))::BIGINT END AS taken FROM n
+WITH n AS (SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS total FROM embeddings GROUP BY label),
+t AS (SELECT label, CASE WHEN total <= 100 THEN n ELSE greatest(1, round_even(100 * n / total, 0))::BIGINT END AS take FROM n)
+SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) AS n FROM embeddings) e JOIN t USING (label) WHERE n <= take
 """)
 def stratified_sample(spark, d):
-    return search.stratified_sample(read(spark, d, "embeddings"), most=100, stratum="label", key="vec_id").groupBy("label").agg(F.count("*").alias("taken"))
+    return search.stratified_sample(read(spark, d, "embeddings"), most=100, stratum="label", key="vec_id").select("label", "vec_id")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def point_groups(spark, d):
+    """Points by the field that colours them."""
+    return read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -290,3 +339,70 @@ SELECT thread, event_id, row_number() OVER (PARTITION BY thread ORDER BY event_i
 def trace_steps(spark, d):
     rows = feedback.steps(read(spark, d, "events").select(F.col("user_id").alias("thread"), "event_id", "value"), thread="thread", order="event_id")
     return rows.select("thread", "event_id", F.col("step").cast("long").alias("step"), feedback.decision(F.col("value") / 100, F.col("step") % 3).alias("decision"))
+
+
+GROUPED = SEEDS.replace("c.chunk_hash FROM top", "c.chunk_hash, coalesce(nullif(c.kind, ''), 'text') AS kind FROM top")
+
+
+@query(GROUPED + """
+g AS (SELECT query_id, doc_id, page, array_to_string(list_sort(list_distinct(list(rank))), ',') AS ranks, bool_or(kind = 'figure') AS figure FROM seeds GROUP BY ALL) SELECT * FROM g
+""")
+def grouped_hits(spark, d):
+    """Hits of a page together, as they are shown."""
+    c = lake.records(read(spark, d, "chunks")).select(F.col("chunk_id").alias("point_id"), "doc_id", "page", "kind")
+    hits = _sparse(spark, d, 10).join(c, "point_id").withColumn("rerank_score", F.lit(None).cast("double"))
+    return search.grouped(hits, by=["doc_id", "page"]).select("query_id", "doc_id", "page", F.array_join(F.transform("ranks", lambda r: r.cast("string")), ",").alias("ranks"), "figure")
+
+
+@query(SEEDS + """
+n AS (SELECT query_id, count(DISTINCT doc_id) AS docs FROM seeds GROUP BY 1 HAVING count(DISTINCT doc_id) <= 9),
+e AS (SELECT DISTINCT lower(occ_id) AS src, reg AS dst FROM cites WHERE occ_id IS NOT NULL AND reg IS NOT NULL),
+ids AS (SELECT DISTINCT query_id, substr(doc_id, 5) AS id FROM seeds JOIN n USING (query_id) WHERE doc_id LIKE 'tsb/%'),
+deg AS (SELECT dst, count(*) AS occ_count FROM e GROUP BY 1 HAVING count(*) <= 15),
+own AS (SELECT query_id, id, dst AS reg FROM ids JOIN e ON src = id),
+m AS (SELECT query_id, count(DISTINCT id) AS n FROM own GROUP BY 1),
+r AS (SELECT DISTINCT query_id, reg, occ_count FROM own JOIN deg ON reg = dst JOIN m USING (query_id) WHERE occ_count > n),
+o AS (SELECT query_id, reg, occ_count, src FROM r JOIN e ON reg = dst WHERE NOT EXISTS (SELECT 1 FROM ids s WHERE s.query_id = r.query_id AND s.id = src)),
+g AS (SELECT query_id, reg, occ_count, array_to_string(list_slice(list_sort(list(src)), 1, 3), ',') AS siblings FROM o GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY occ_count DESC, reg) AS rank FROM g QUALIFY rank <= 5
+""")
+def broadened_context(spark, d):
+    """Recurring regulations of the questions whose hits come from nine documents or fewer."""
+    from corpusloom.operators import agent
+    from corpusloom.plans.graph_queries import graph_cites
+
+    return agent.broadened(_seed_hits(spark, d), graph_cites(spark, d), most_docs=9).withColumn("siblings", F.array_join("siblings", ","))
+
+
+@query(EXPAND + """,
+more AS (SELECT query_id, list(term ORDER BY rank) AS terms FROM terms GROUP BY 1),
+h AS (SELECT query_id, list(chunk_hash ORDER BY rank) AS hashes FROM seeds WHERE rank <= 3 GROUP BY 1)
+SELECT item_id AS query_id, query, coalesce(array_to_string(hashes, ','), '') AS chunk_hashes, array_to_string(list_filter(more.terms, lambda t: NOT list_contains(string_split_regex(lower(trim(query)), '\\s+'), t)), ' ') AS terms
+FROM eval_items LEFT JOIN h ON h.query_id = item_id LEFT JOIN more ON more.query_id = item_id WHERE query IS NOT NULL
+""")
+def rejection_rows(spark, d):
+    """What the log of rejected answers would get of each item: hashes of its first three hits, terms of its second hop."""
+    from corpusloom.operators import agent
+
+    items, terms = _terms(spark, d)
+    again = feedback.reformulated(items, terms).withColumnRenamed("query", "reformulated")
+    hits = _seed_hits(spark, d).withColumn("rerank_score", F.lit(None).cast("double"))
+    answers = items.select("query_id", F.array().cast("array<double>").alias("query_emb"), F.lit("").alias("answer"))
+    out = agent.rejections(items.where("query is not null").join(again, "query_id"), hits, answers)
+    return out.select("query_id", "query", F.array_join("chunk_hashes", ",").alias("chunk_hashes"), F.array_join("terms", " ").alias("terms"))
+
+
+@query()
+def question_hops(spark, d):
+    """The loop of two hops over all items; its parts have SQL (sparse_rerank, reformulate_terms, candidate_merge)."""
+    from corpusloom.operators import agent
+
+    items = read(spark, d, "eval_items").where("query is not null").select(F.col("item_id").alias("query_id"), "query")
+    c = read(spark, d, "chunks").select(F.col("chunk_id").alias("point_id"), "doc_id", "text")
+
+    def ask(q):
+        hits = search.sparse_topk(q.select("query_id", F.col("query").alias("text")), c, k=20)
+        return search.rerank(hits.join(q, "query_id").join(c, "point_id"), top_k=10).select("query_id", "point_id", "doc_id", "text", "score", "rerank_score", "rank")
+
+    found, state = agent.hops(items, ask, max_hops=2, replace=False)
+    return found.join(state.select("query_id", F.col("hop").alias("hops")), "query_id").select("query_id", "point_id", "rank", "rerank_score", "hops")

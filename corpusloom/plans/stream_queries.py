@@ -21,14 +21,39 @@ def stream_feedback_state(spark, d):
     return live.upsert_once(s, ["id"], ["resolved", "at"]).select("id", "resolved")
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark, d):
+    """Counts by day and type, with a watermark; the table is one file, so none of it comes too late."""
+    s = live.file_stream(spark, f"{d}/events.parquet")
+    return live.counted_once(s.withColumn("ts", F.col("ts").cast("timestamp")), time="ts", key="event_type", value="value").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY event_type")
 def stream_totals(spark, d):
+    """Totals by type out of the windows of a stream."""
     s = live.file_stream(spark, f"{d}/events.parquet")
-    days = s.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    name = "totals_" + __import__("uuid").uuid4().hex
-    q = days.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", "n", F.round("total", 4).alias("total"))
+    w = live.counted_once(s.withColumn("ts", F.col("ts").cast("timestamp")), time="ts", key="event_type", value="value")
+    return w.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total"))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE ts IS NOT NULL")
+def stream_new_users(spark, d):
+    """Users at their first event within the watermark, which is longer than the table."""
+    s = live.file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null")
+    return live.run_once(live.new_keys(s, "user_id", time="ts", delay="4000 days").select("user_id"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e),
+g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s GROUP BY user_id, s)
+SELECT * FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_sessions(spark, d):
+    """Sessions of a stream that the watermark has closed: those that ended an hour before the last event or earlier."""
+    s = live.file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    out = live.run_once(live.sessions(s))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
 
 
 @query("""

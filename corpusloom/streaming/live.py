@@ -59,6 +59,22 @@ def windowed_counts(stream: DataFrame, *, time: str, key: str, value: str, width
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
+def counted_once(stream: DataFrame, *, time: str, key: str, value: str, width: str = "1 day", delay: str = "2 days") -> DataFrame:
+    """``windowed_counts`` of all that is there now: each micro-batch writes the windows that it changed, under its number, into the
+    shared folder (a batch that is run again overwrites its own), and the latest state of each window is read."""
+    spark = stream.sparkSession
+    root = f"{checkpoint_root(spark)}/windows-{uuid.uuid4().hex}"
+    counts = windowed_counts(stream, time=time, key=key, value=value, width=width, delay=delay)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = counts.withColumn("number", F.lit(0)).schema
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
+    return rows.groupBy("start", key).agg(F.max_by("n", "number").alias("n"), F.max_by("total", "number").alias("total"))
+
+
 def sessions(events: DataFrame, *, time: str = "ts", key: str = "user_id", idle: str = "30 minutes") -> DataFrame:
     """Sessions that end after ``idle`` without an event: key, start, end (last event plus idle), number of events. Works on
     batches and, with a watermark set before, on streams."""

@@ -42,4 +42,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, FOLDER).count() >= 0
+    df = catalog.queries()[name](spark, FOLDER)
+    rows = df.collect()
+    # rows must come, none of them twice; two queries have cases in larger tables only
+    assert (rows or name in ("cited_sentences", "term_boxes")) and len({str(r) for r in rows}) == len(rows) and all(r.__fields__ == df.columns for r in rows)

@@ -105,6 +105,41 @@ def test_glyph_boxes(spark):
     assert got == [("a", 0.0, 36.0, 36.0), ("b", 36.0, 72.0, 36.0)]
 
 
+GLYPHS = "array<struct<text string, x0 double, x1 double, top double, bottom double, size double, page int>>"
+
+
+def glyphs_of(text, page, size=10.0, left=0.0):
+    return [(c, left + 100.0 * i, left + 100.0 * i + 90.0, 50.0, 150.0, size, page) for i, c in enumerate(text)]
+
+
+def test_windows_have_boxes_and_large_headings(spark):
+    body = "a b c d e f"
+    pages = [
+        ("x", 1, "Large Title\n" + body, [*[(c, 0.0, 50.0, 0.0, 200.0, 20.0, 1) for c in "LrgT"], *glyphs_of(body, 1)]),
+        ("x", 2, "g h i", glyphs_of("g h i", 2, left=7.0)),
+        ("x", 3, "", []),
+        ("y", 1, "1 2 3", None),
+    ]
+    df = spark.createDataFrame(pages, f"doc_id string, page int, text string, chars {GLYPHS}")
+    got = {(r["doc_id"], r["chunk_no"]): r for r in chunking.page_windows(df, keys=["doc_id"], window=6, overlap=2).collect()}
+    assert [got["x", i]["text"] for i in range(3)] == ["Large Title\na b c d", "c d e f\n\ng h", "g h i"]
+    assert {got["x", i]["section_title"] for i in range(3)} == {"Large Title"} and got["y", 0]["section_title"] == ""
+    two = got["x", 1]
+    assert [b[0] for b in two["page_bboxes"]] == [1.0, 2.0]
+    assert two["page_bboxes"][1][1:] == [7.0, 50.0, 297.0, 150.0]  # g and h, not i
+    assert got["y", 0]["page_bboxes"] == [] and got["y", 0]["bbox"] == [0.0] * 4
+    plain = chunking.page_windows(df.drop("chars"), keys=["doc_id"], window=6, overlap=2)
+    assert "bbox" not in plain.columns and {r["section_title"] for r in plain.collect()} == {""}
+
+
+def test_large_lines_are_headings(spark):
+    small, large = glyphs_of("abcdefgh" * 3, 1), [("X", 0.0, 1.0, 0.0, 1.0, 13.0, 1)]
+    pages = [("d", 1, "abc\nX\nhe\n" + "X" * 121, 0, small + large), ("e", 1, "X", 0, [("X", 0.0, 1.0, 0.0, 1.0, 0.0, 1)])]
+    df = spark.createDataFrame(pages, f"doc_id string, page int, text string, base long, chars {GLYPHS}")
+    sized = df.join(chunking.glyph_sizes(df, ["doc_id"]).select("doc_id", "heading_size"), "doc_id", "left")
+    assert [(r["doc_id"], r["token"], r["title"]) for r in chunking.headings(sized, ["doc_id"]).collect()] == [("d", 1, "X")]
+
+
 def test_dense_topk_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8))
