@@ -20,6 +20,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,15 +135,17 @@ def vocabulary(path: str) -> Vocabulary:
 def encode(df: DataFrame, vocabulary_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, ids) for each row of ``df``, ids without special tokens (see the module).
 
-    ``vocabulary_path`` is a file of base64 tokens and ranks that every executor can read.
+    ``vocabulary_path`` is a file of base64 tokens and ranks on the driver's machine; Spark hands it out to the executors.
     """
     if not os.path.exists(vocabulary_path):
         raise FileNotFoundError(vocabulary_path)
+    df.sparkSession.sparkContext.addFile(os.path.abspath(vocabulary_path))
+    name = os.path.basename(vocabulary_path)
     words = F.coalesce(F.regexp_extract_all(F.col(text), F.lit("(?U)" + WORD), F.lit(0)), F.array().cast("array<string>"))
     rows = df.select(F.col(key).alias("key"), words.alias("words"))
 
     def run(batches):
-        known = vocabulary(vocabulary_path)
+        known = vocabulary(SparkFiles.get(name))
         for batch in batches:
             for first, part in _parts(batch.column("words")):
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(part)), known.encode_words(part)], ["key", "ids"])
