@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.normalize import form_hash
@@ -214,15 +215,23 @@ def _grams(word: Column, spread: int) -> Column:
 
 def candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
     """(wrong, n_wrong, word, n, shared, edits) of all vocabulary words within two edits of an unknown word, one for
-    unknown words of three letters or fewer: an inverted join on q-grams, then the exact distance."""
-    left = unknown.select("wrong", "n_wrong", F.explode(_grams(F.col("wrong"), 2)).alias("gram"))
+    unknown words of three letters or fewer: an inverted join on q-grams, then the exact distance. Two edits spoil at most four
+    bigrams, so of an unknown word its five rarest are enough to find every such word."""
+    padded = F.concat(F.lit("^"), F.col("wrong"), F.lit("$"))
+    at = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.struct(i.alias("at"), F.substring(padded, i, F.lit(2)).alias("pair")))
     right = known.select("word", "n", F.explode(_grams(F.col("word"), 0)).alias("gram"))
-    pairs = left.join(right, "gram").where(F.abs(F.length("wrong") - F.length("word")) <= 2)
-    pairs = pairs.groupBy("wrong", "n_wrong", "word", "n").agg(F.count("*").alias("shared"))
-    # two edits spoil at most four bigrams
-    pairs = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.greatest(F.length("wrong"), F.length("word")) + 1 - 4))
+    often = right.groupBy(F.substring_index("gram", "@", -1).alias("pair")).agg(F.count("*").alias("often"))
+    left = unknown.select("wrong", "n_wrong", F.explode(at).alias("g")).select("wrong", "n_wrong", "g.*").join(often, "pair")
+    rarest = F.row_number().over(W.partitionBy("wrong").orderBy("often", "at"))
+    # pairs that the vocabulary lacks are spoilt for certain: they take a place among the five
+    lacking = F.length(F.col("wrong")) + 1 - F.count("*").over(W.partitionBy("wrong"))
+    left = left.withColumn("place", rarest + lacking).where(F.col("place") <= 5)
+    near = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda s: F.concat_ws("@", F.col("at") + s, "pair"))
+    pairs = left.select("wrong", "n_wrong", F.explode(near).alias("gram")).join(right, "gram")
+    pairs = pairs.where(F.abs(F.length("wrong") - F.length("word")) <= 2).select("wrong", "n_wrong", "word", "n").distinct()
     pairs = pairs.withColumn("edits", F.levenshtein("wrong", "word", 2))
-    return pairs.where((F.col("edits") > 0) & ((F.length("wrong") > 3) | (F.col("edits") == 1)))
+    pairs = pairs.where((F.col("edits") > 0) & ((F.length("wrong") > 3) | (F.col("edits") == 1)))
+    return pairs.withColumn("shared", F.size(F.array_intersect(_grams(F.col("wrong"), 2), _grams(F.col("word"), 0))).cast("long")).where("shared > 0")
 
 
 def _differing(wrong: Column, word: Column) -> tuple[Column, Column]:
@@ -280,6 +289,7 @@ def corrections(unknown: DataFrame, known: DataFrame, *, training_words: int = 3
     spoilt = spoilt.join(known, F.col("wrong") == known["word"], "left_anti").orderBy(F.xxhash64("wrong", "truth")).limit(2 * training_words).select("wrong", "truth")
     spoilt = materialize(spoilt.groupBy("wrong").agg(F.min("truth").alias("truth")), "spoilt")
     train = with_confusion(candidates(spoilt.select("wrong", F.lit(1).alias("n_wrong")), known)).join(spoilt, "wrong")
+    train = materialize(train, "training-candidates")
     train = materialize(_features(train, confusions).select("features", (F.col("word") == F.col("truth")).cast("double").alias("label")), "training-pairs")
     if train.select("label").distinct().count() < 2:  # no confusion comes up often enough: nothing is known to rank by
         return pairs.where("false").select("wrong", "word")
