@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation, feedback, graph, lake, search
 from corpusloom.plans.graph_queries import EDGES, FINDINGS, OCC, REGS
 from corpusloom.plans.registry import query
-from corpusloom.plans.retrieval_queries import EXPAND, SEEDS, TERMS, TOP, _seed_hits, _terms
-from corpusloom.session import read
+from corpusloom.plans.retrieval_queries import EXPAND, PAIRS, SEEDS, TERMS, TOP, _queries, _seed_hits, _terms, _vectors
+from corpusloom.session import materialize, read
 
 METRICS = """
 a AS (SELECT query_id, list(doc_id ORDER BY rank) AS actual FROM {seeds} GROUP BY 1),
@@ -106,12 +106,15 @@ def keyword_hits(spark, d):
     return rows.select("id", hit.alias("hit")).groupBy("id", "hit").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH s AS (SELECT value / 100 AS similarity FROM events)
+@query(f"""
+WITH s AS (SELECT score AS similarity FROM ({TOP.format(rows=PAIRS, k=10)}))
 SELECT count(similarity) AS n_ok, count(*) FILTER (similarity >= 0.4) AS n_hit, round_even(avg(similarity), 4) AS mean, round_even((list_sort(list(similarity) FILTER (similarity IS NOT NULL)))[(count(similarity) // 2) + 1], 4) AS median FROM s
 """)
 def similarity_report(spark, d):
-    return evaluation.similarity_report(read(spark, d, "events").select((F.col("value") / 100).alias("similarity")))
+    """Report over the similarities of the ten nearest vectors of each query."""
+    p = _vectors(spark, d)
+    hits = search.dense_topk(_queries(p), p, k=10)
+    return evaluation.similarity_report(materialize(hits.select(F.col("score").alias("similarity")), "similarities"))
 
 
 @query()

@@ -348,3 +348,18 @@ def payload_filter(spark, d):
     from corpusloom.operators import search
 
     return search.payload_filter(lake.records(read(spark, d, "chunks")), lang=["en", "fr"], source="tsb").select("chunk_id", "lang", "corpus")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT doc_id, page, caption, bbox FROM figures WHERE caption <> ''),
+g AS (SELECT doc_id, page, caption, bbox, unnest(generate_series(1, length(caption))) AS nth FROM f)
+SELECT doc_id, page, caption, nth, substr(caption, nth, 1) AS glyph, round((bbox[1] + (bbox[3] - bbox[1]) / length(caption) * (nth - 1)) * 72 / 200, 4) AS x0, round(bbox[2] * 72 / 200, 4) AS top,
+       round((bbox[1] + (bbox[3] - bbox[1]) / length(caption) * nth) * 72 / 200, 4) AS x1, round(bbox[4] * 72 / 200, 4) AS bottom, round((bbox[4] - bbox[2]) * 72 / 200, 4) AS size FROM g
+""")
+def line_glyphs(spark, d):
+    """Glyph boxes of recognised lines: captions in their figures' boxes, taken as pixels."""
+    f = read(spark, d, "figures").where("caption <> ''").select("doc_id", "page", "caption", "bbox").distinct()
+    lines = f.select(F.struct("doc_id", "page").alias("key"), F.lit(1).alias("line_no"), F.col("caption").alias("text"), *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "top", "x1", "bottom"))])
+    out = chunking.line_glyph_boxes(lines).join(lines.select("key", "text", F.col("x0").alias("px"), F.col("top").alias("py")), "key")
+    out = out.where((F.round(F.col("top"), 6) == F.round(F.col("py") * 72 / 200, 6)) & (F.col("nth") <= F.length("text")) & (F.substring("text", F.col("nth"), F.lit(1)) == F.col("glyph")))
+    return out.select("key.doc_id", "key.page", F.col("text").alias("caption"), F.col("nth").cast("long").alias("nth"), "glyph", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom", "size")]).distinct()

@@ -48,3 +48,13 @@ def cited_sentences(spark, d):
     text = lake.new_chunks(lake.records(read(spark, d, "chunks"))).select("chunk_hash", "text")
     pairs = qa.join(text, "chunk_hash").select(F.struct("id", "chunk_hash").alias("key"), "answer", "text")
     return regions.best_sentence(pairs, key="key", passage="text", draft="answer", least=0.35).select("key.id", "key.chunk_hash", "sentence", F.round("ratio", 6).alias("ratio"))
+
+
+@query("""
+SELECT DISTINCT doc_id, page, array_to_string(list_transform(bbox, lambda x, i: greatest(0, least(round_even(x * 150 / 72, 0)::INT, CASE WHEN i % 2 = 1 THEN 1275 ELSE 1650 END))), ',') AS px FROM figures WHERE bbox[3] - bbox[1] >= 20 AND bbox[4] - bbox[2] >= 20
+""")
+def figure_pixels(spark, d):
+    """Boxes of figures that are large enough, as pixels of their page's image."""
+    f = read(spark, d, "figures").where(regions.big_enough(F.col("bbox")))
+    px = regions.pixels(F.col("bbox"), dpi=150, width=1275, height=1650)
+    return f.select("doc_id", "page", F.array_join(F.transform(px, lambda x: x.cast("string")), ",").alias("px")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import feedback, lake, search
 from corpusloom.plans.registry import query
-from corpusloom.session import read
+from corpusloom.session import materialize, read
 
 PAIRS = """
 SELECT q.vec_id AS query_id, p.vec_id AS point_id, q.label AS ql, p.label AS pl,
@@ -160,6 +160,22 @@ DOCS = """b AS (SELECT query_id, doc_id, min(rank) AS best FROM seeds GROUP BY A
 docs AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY best, doc_id) AS rank FROM b QUALIFY rank <= 3)"""
 
 
+@query(SPARSE + f"""
+top AS ({TOP.format(rows='FROM s SELECT *', k=20)}),
+r AS (SELECT query_id, t.rank AS ann_rank, c.doc_id, list_distinct({TERMS.format(t='query')}) AS qt, {TERMS.format(t='c.text')} AS pt FROM top t JOIN eval_items i ON i.item_id = t.query_id JOIN chunks c ON c.chunk_id = t.point_id),
+x AS (SELECT query_id, doc_id, ann_rank, CASE WHEN len(qt) = 0 THEN 0.0 ELSE round(len(list_intersect(qt, pt)) / len(qt), 9) END AS score FROM r),
+b AS (SELECT query_id, doc_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ann_rank) <= 10),
+ca AS (SELECT query_id, doc_id, count(*) AS ca FROM r WHERE ann_rank <= 10 GROUP BY ALL), cb AS (SELECT query_id, doc_id, count(*) AS cb FROM b GROUP BY ALL)
+SELECT coalesce(ca.query_id, cb.query_id) AS query_id, sum(coalesce(ca, 0))::BIGINT AS n_a, sum(coalesce(cb, 0))::BIGINT AS n_b, sum(least(coalesce(ca, 0), coalesce(cb, 0)))::BIGINT AS common
+FROM ca FULL JOIN cb ON ca.query_id = cb.query_id AND ca.doc_id = cb.doc_id GROUP BY 1
+""")
+def index_parity(spark, d):
+    """Documents that the ranking by terms and the reranked one have in common among their first ten."""
+    items = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query")
+    hits = materialize(_sparse(spark, d, 20), "hits").join(read(spark, d, "chunks").select(F.col("chunk_id").alias("point_id"), "doc_id", "text"), "point_id")
+    return search.parity(hits.where("rank <= 10"), search.rerank(hits.join(items, "query_id"), top_k=10))
+
+
 @query(SEEDS + DOCS + " SELECT * FROM docs")
 def top_documents(spark, d):
     return search.top_documents(_seed_hits(spark, d), n=3)
@@ -195,20 +211,6 @@ def candidate_merge(spark, d):
     return search.merge_candidates(a, b, top_k=12)
 
 
-@query(f"""
-WITH a AS (SELECT query_id, pl AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM ({PAIRS}) QUALIFY rank <= 10)),
-b AS (SELECT query_id, pl AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM ({PAIRS} AND q.label = p.label) QUALIFY rank <= 10)),
-ca AS (SELECT query_id, doc_id, count(*) AS ca FROM a GROUP BY ALL), cb AS (SELECT query_id, doc_id, count(*) AS cb FROM b GROUP BY ALL)
-SELECT coalesce(ca.query_id, cb.query_id) AS query_id, sum(coalesce(ca, 0))::BIGINT AS n_a, sum(coalesce(cb, 0))::BIGINT AS n_b, sum(least(coalesce(ca, 0), coalesce(cb, 0)))::BIGINT AS common
-FROM ca FULL JOIN cb ON ca.query_id = cb.query_id AND ca.doc_id = cb.doc_id GROUP BY 1
-""")
-def index_parity(spark, d):
-    p = _vectors(spark, d)
-    label = p.select("point_id", F.col("label").alias("doc_id"))
-    a, b = (search.dense_topk(_queries(p), p, k=10, within=w).join(label, "point_id") for w in (None, "label"))
-    return search.parity(a, b)
-
-
 @query("""
 WITH n AS (SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS total FROM embeddings GROUP BY label),
 t AS (SELECT label, CASE WHEN total <= 100 THEN n ELSE greatest(1, round_even(100 * n / total, 0))::BIGINT END AS take FROM n)
