@@ -32,15 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.normalize import form_hash
 from corpusloom.session import materialize
 
-# Letters read for digits, the signs that end a divided line, and invisible characters.
+# Letters read for digits, the signs that end a divided line, white space, and invisible characters.
 DIGITS = {"o": "0", "O": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1", "|": "1", "z": "2", "Z": "2", "S": "5", "s": "5", "b": "6", "G": "6", "B": "8", "g": "9", "q": "9"}
 HYPHENS = "-\u2010\u2011\u00ac\u00ad"
+WHITE = " \t\n\x0b\x0c\r\u0085\u00a0\u2028\u2029\u202f\u3000"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-WORD = r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
-PLAIN = r"^[a-z\u00df-\u024f]+(?:-[a-z\u00df-\u024f]+)*$"
+# A whole word of Latin letters in lower case, with hyphens of its own.
+WORD = r"(?<![\p{L}\p{M}])(?<![\p{L}\p{M}]-)[a-z\u00df-\u024f]++(?:-[a-z\u00df-\u024f]++)*+(?!-?[\p{L}\p{M}])"
 PAGE_NO = re.compile(r"^[\W_]*(?:(?:page|p\.?)\s*)?(?:[0-9lOoISsBZz]{1,4}|[ivxlcdm]{1,7})(?:\s*(?:of|sur|de|/)\s*[0-9lOoISsBZz]{1,4})?[^\w.,;:]*$", re.IGNORECASE)
 CODE = re.compile(r"^(?:[A-Z]\d{2,6}|[A-Z]{1,3}-[A-Z]{2,5}|\d{2,3}-\d{2,3}|[A-Z]{2,})$")
 EDGE = ".,;:!?()[]«»\"“”…"
@@ -51,10 +51,11 @@ LINES = "chunk_id long, doc_id string, line_no int, role string, value string, f
 
 def scanned_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunk_id, doc_id and text of the chunks of image-only pages, figures left out."""
+    form = F.xxhash64(F.lower(F.translate("text", WHITE, "")))
     scanned = pages.where("image_only").select("doc_id", "page").distinct()
-    typed = pages.where("not image_only and length(text) > 0").select("doc_id", "page", form_hash(F.col("text")).alias("form")).distinct()
+    typed = pages.where("not image_only and length(text) > 0").select("doc_id", "page", form.alias("form")).distinct()
     rows = chunks.where("chunk_id is not null and doc_id is not null and length(text) > 0 and not (lower(kind) <=> 'figure') and not startswith(text, '[Figure p.')").select("chunk_id", "doc_id", "page", "text")
-    rows = rows.join(scanned, ["doc_id", "page"], "left_semi").withColumn("form", form_hash(F.col("text")))
+    rows = rows.join(scanned, ["doc_id", "page"], "left_semi").withColumn("form", form)
     return rows.join(typed, ["doc_id", "page", "form"], "left_anti").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
@@ -128,10 +129,9 @@ def _read_page(chunk: int, doc: str, text: str) -> Iterator[tuple]:
             left, right = words.pop()[:-1].lstrip(EDGE), _runs(following)[0].rstrip(EDGE)
             yield chunk, doc, i + 1, "hyphen", f"{left}|{right}".lower(), None
             carried = True
-        for w in words:
-            w = w.strip(EDGE)
-            if w:
-                yield chunk, doc, i + 1, "word", w, None
+        words = [w for w in (x.strip(EDGE) for x in words) if w]
+        if words:
+            yield chunk, doc, i + 1, "words", " ".join(words), None
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def vocabulary(texts: DataFrame, *, text: str = "text", min_count: int = 3) -> D
     """(word, n) of all plain words of ``texts`` that come up at least ``min_count`` times."""
     clean = F.lower(F.translate(F.col(text), INVISIBLE, ""))
     words = texts.select(F.explode(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))).alias("word"))
-    return words.where(F.col("word").rlike(PLAIN)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
 def _grams(word: Column, spread: int) -> Column:
@@ -313,7 +313,7 @@ def _places(chunks: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = chunks.where("length(text) > 0").join(scanned.select("chunk_id"), "chunk_id", "left_anti")
     known = materialize(vocabulary(typed.select("text")), "vocabulary")
 
-    words = lines.where("role = 'word'").join(top, ["chunk_id", "line_no"], "left_anti").select("chunk_id", "line_no", "value", F.lower("value").alias("wrong"))
+    words = lines.where("role = 'words'").join(top, ["chunk_id", "line_no"], "left_anti").select("chunk_id", "line_no", F.explode(F.split("value", " ")).alias("value")).withColumn("wrong", F.lower("value"))
     words = words.withColumn("number", _as_number(F.col("value")))
     odd = words.where(F.col("number").isNull() & ~F.col("value").rlike(CODE.pattern) & F.col("wrong").rlike(r"^[a-z0-9\u00df-\u024f'|-]+$") & F.col("wrong").rlike(r"[a-z\u00df-\u024f]"))
     odd = odd.join(known, F.col("wrong") == F.col("word"), "left_anti")
