@@ -30,6 +30,7 @@ import bisect
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,9 @@ WORDS = 3.5  # price of a sentence without marks whose known words are not rende
 CHANCE = 0.5  # sentences that agree by chance: one alone is no version
 RENDERED = 0.5  # of the shorter version's sentences more have a sure rendering, else there are no two versions
 MOVED = 0.65  # least share of a moved sentence's marks
+LONG = 600  # sentences of a side from which on a block is cut
+FAR = 3.0  # -log of the expected number of sentences that share as much with one moved to another block by chance
+COARSE = 3  # weight of a rounded number, which says nothing that the number doesn't
 SCALE = 4  # weights of marks are whole numbers of quarters
 
 
@@ -302,7 +306,7 @@ def held_by(source: np.ndarray, of: np.ndarray, *values: np.ndarray) -> tuple[np
     return np.repeat(np.arange(len(source)), size), *(v[at] for v in values)
 
 
-def cut_long(side, block, mark_of, mark, weight, *, most: int = 600):
+def cut_long(side, block, mark_of, mark, weight, *, most: int = LONG):
     """Cuts blocks of more than ``most`` sentences on a side into even parts of side 0. Sentences of side 1 go to the part
     where the chain of marks that both sides have once puts them, in proportion between two such marks, and to its
     neighbours; marks off the chain take their sentence to their own part too. Gives the source of each sentence, the
@@ -520,6 +524,46 @@ def _bare_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column("block_no").take(pa.array((pair >> np.uint64(32)).astype(np.int64))), words], ["block_no", "word"])
 
 
+def _marks_of_sentences(batches):
+    """(doc, side, id, no, mark, weight) of each mark of each sentence."""
+    for batch in batches:
+        numbers = batch.column("numbers")
+        chunk_of = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(numbers).to_numpy(zero_copy_only=False))
+        sent_of = np.repeat(np.arange(len(chunk_of)), batch.column("counts").flatten().to_numpy(zero_copy_only=False))
+        held = [batch.column(c).take(pa.array(chunk_of[sent_of])) for c in ("doc", "side", "id")]
+        yield pa.RecordBatch.from_arrays([*held, numbers.flatten().take(pa.array(sent_of)), batch.column("marks").flatten(), batch.column("weights").flatten().cast(pa.int32())], ["doc", "side", "id", "no", "mark", "weight"])
+
+
+def moved_far(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, id_1, no_1, id_2, no_2) of sentences that were moved out of reach of their block: of the sentences of ``chunks`` (doc,
+    side and features) without a pair in ``found`` those that are each other's one best by the marks they share. They share
+    MOVED of the marks of both, and so rare ones that less than exp(-FAR) sentences of either version do by chance. Marks are
+    joined from the rarest on, and of a sentence only those without which it couldn't share enough."""
+    sent = ["doc", "side", "id", "no"]
+    rows = chunks.select("doc", "side", "id", "numbers", "counts", "marks", "weights").mapInArrow(_marks_of_sentences, "doc string, side int, id long, no int, mark int, weight int")
+    paired = found.select("doc", F.explode(F.array(*[F.struct(F.lit(s - 1).alias("side"), F.col(f"id_{s}").alias("id"), F.col(f"no_{s}").alias("no")) for s in (1, 2)])).alias("s")).select("doc", "s.*")
+    free = materialize(rows.where(F.col("weight") != COARSE).join(paired, sent, "left_anti"), "left-out")
+    at = lambda s: F.count_if(F.col("side") == s)
+    n = free.select(*sent).distinct().groupBy("doc").agg(at(0).alias("n0"), at(1).alias("n1"))
+    rare = free.groupBy("doc", "mark").agg(at(0).alias("m0"), at(1).alias("m1")).join(n, "doc")
+    rare = rare.select("doc", "mark", (F.col("m0") * F.col("m1")).alias("often"), *[F.log(F.col(f"n{s}") / F.greatest(F.col(f"m{s}"), F.lit(1))).alias(f"info{s}") for s in (0, 1)])
+    sents = free.join(rare, ["doc", "mark"]).groupBy(*sent).agg(F.sum("weight").alias("total"), F.sort_array(F.collect_list(F.struct("often", "mark", "weight", "info0", "info1"))).alias("marks"))
+    sents = sents.where(F.col("total") >= 2.5 * SCALE)
+    ahead = F.transform("marks", lambda x, i: F.aggregate(F.slice("marks", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["weight"]))
+    probes = F.filter(F.zip_with("marks", ahead, lambda x, a: F.struct(x["mark"].alias("mark"), x["often"].alias("often"), a.alias("ahead"))), lambda x: (x["often"] > 0) & (x["ahead"] <= (1 - MOVED) * F.col("total")))
+    sents = materialize(sents.withColumn("probe", F.explode(F.transform(probes, lambda x: x["mark"]))), "probes")
+    a, b = (sents.where(F.col("side") == s - 1).select("doc", "probe", F.col("id").alias(f"id_{s}"), F.col("no").alias(f"no_{s}"), F.col("total").alias(f"total_{s}"), F.col("marks").alias(f"marks_{s}")) for s in (1, 2))
+    common = F.filter("marks_1", lambda x: F.array_contains(F.transform("marks_2", lambda y: y["mark"]), x["mark"]))
+    pairs = a.join(b, ["doc", "probe"]).withColumn("common", common).where(F.col("common")[0]["mark"] == F.col("probe"))  # each pair once
+    summed = lambda field: F.aggregate("common", F.lit(0.0), lambda x, y: x + y[field])
+    pairs = pairs.select("doc", "id_1", "no_1", "id_2", "no_2", F.greatest("total_1", "total_2").alias("most"), *[summed(x).alias(x) for x in ("weight", "info0", "info1")])
+    pairs = pairs.where((F.col("weight") >= MOVED * F.col("most")) & (F.col("weight") >= 2.5 * SCALE)).join(n, "doc")
+    pairs = pairs.where((F.col("info0") - F.log(F.greatest("n0", F.lit(1))) >= FAR) & (F.col("info1") - F.log(F.greatest("n1", F.lit(1))) >= FAR)).withColumn("score", F.round(F.col("info0") + F.col("info1"), 6))
+    of = [W.partitionBy("doc", f"id_{s}", f"no_{s}") for s in (1, 2)]
+    best = pairs.withColumns({f"top_{i}": F.max("score").over(w) for i, w in enumerate(of)}).where("score = top_0 and score = top_1")
+    return best.withColumns({f"same_{i}": F.count("*").over(w) for i, w in enumerate(of)}).where("same_0 = 1 and same_1 = 1").select("doc", "id_1", "no_1", "id_2", "no_2")
+
+
 def _tally(side: int, words: np.ndarray, others: np.ndarray) -> np.ndarray:
     """(side, word, other, number) of equal pairs."""
     pair = words.view(np.uint32).astype(np.uint64) << np.uint64(32) | others.view(np.uint32).astype(np.uint64)
@@ -596,6 +640,7 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     # the place of a chunk in its version matters in long documents only; counting runs in buckets of ids
     long = placed.where("blocks > 1").select("doc", "side", "id", "marks", "blocks", F.col("a.chunks").alias("n_a"), F.col("b.chunks").alias("n_b"), F.lit(1).alias("one"))
     long = materialize(before_sum(long, ["doc", "side"], "id", "one", "nth"), "long")
+    cut = placed.where((F.col("blocks") > 1) | (F.greatest("a.sents", "b.sents") > LONG))
     placed = placed.join(places(long), ["doc", "side", "id"], "left")
     near = F.coalesce("places", F.array(F.lit(0).cast("long")))
     placed = placed.select("doc", "ratio", "side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes", F.explode(near).alias("block"))
@@ -623,7 +668,9 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     confirmed = confirmed.groupBy("doc").agg(F.count_if(F.col("side") == 0).alias("sure_a"), F.count_if(F.col("side") == 1).alias("sure_b"))
     rendered = F.when(F.col("a.sents") <= F.col("b.sents"), (F.col("sure_a") - CHANCE) / F.col("a.sents")).otherwise((F.col("sure_b") - CHANCE) / F.col("b.sents"))
     two = versions.drop("doc").withColumnRenamed("pair", "doc").join(confirmed, "doc").where(rendered > RENDERED).select("doc")
-    found = found.join(two, "doc", "left_semi").drop("doc", "sure")
+    found = found.join(two, "doc", "left_semi").drop("sure")
+    far = moved_far(cut.join(two, "doc", "left_semi"), found)
+    found = found.unionByName(far).drop("doc")
     for side in ("1", "2"):
         twin = again.select(F.col("id").alias(f"id_{side}"), F.col("copy").alias(f"copy_{side}"))
         found = found.join(twin, f"id_{side}", "left").withColumn(f"id_{side}", F.coalesce(f"copy_{side}", f"id_{side}"))

@@ -318,6 +318,52 @@ def test_parts_left_out_shift_nothing(spark, model):
     assert moved and len(got & moved) >= 0.8 * len(moved)
 
 
+def test_sentences_moved_out_of_their_block_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(31)
+    weights = {m: rng.choice([5, 8, 12]) for m in range(300)}
+    docs, found = {}, [("b", 100, 1, 200, 1)]
+    for doc, n in (("a", 60), ("b", 120), ("c", 1)):
+        first = [sorted(rng.sample(range(300), 4)) for _ in range(n)]
+        second = [x if rng.random() < 0.6 else x[1:] + [rng.randrange(300)] if rng.random() < 0.5 else sorted(rng.sample(range(300), 3)) for x in rng.sample(first, len(first))]
+        second += second[:3]  # two that hold the same: none is the one best
+        hot = [[*x, 400] for x in first], [[*x, 400] for x in second]  # one mark in every sentence
+        for side, part in enumerate(hot):
+            for k, held in enumerate(part):
+                docs[doc, side, 100 * (side + 1) + k // 4, k % 4 + 1] = {m: weights.get(m, 8) for m in held}
+    rows = {}
+    for (doc, side, i, no), held in docs.items():
+        rows.setdefault((doc, side, i), []).append((no, {**held, 10_000 + i: alignment.COARSE}))
+    table = [(d, s, i, [n for n, _ in x], [len(h) for _, h in x], [m for _, h in x for m in h], [w for _, h in x for w in h.values()]) for (d, s, i), x in rows.items()]
+    chunks = spark.createDataFrame(table, "doc string, side int, id long, numbers array<int>, counts array<int>, marks array<int>, weights array<tinyint>")
+    pairs = spark.createDataFrame(found, "doc string, id_1 long, no_1 int, id_2 long, no_2 int")
+    want = set()
+    for doc in "abc":
+        gone = {(0, *f[1:3]) for f in found if f[0] == doc} | {(1, *f[3:]) for f in found if f[0] == doc}
+        free = [{k[2:]: h for k, h in docs.items() if k[:2] == (doc, s) and k[1:] not in gone} for s in (0, 1)]
+        count = [{}, {}]
+        for s in (0, 1):
+            for h in free[s].values():
+                for m in h:
+                    count[s][m] = count[s].get(m, 0) + 1
+        scores = {}
+        for a, x in free[0].items():
+            for b, y in free[1].items():
+                both = x.keys() & y.keys()
+                info = [sum(math.log(len(free[s]) / count[s][m]) for m in both) for s in (0, 1)]
+                w = sum(x[m] for m in both)
+                if w >= alignment.MOVED * max(sum(x.values()), sum(y.values())) and w >= 10 and all(info[s] - math.log(len(free[s])) >= alignment.FAR for s in (0, 1)):
+                    scores[a, b] = round(sum(info), 6)
+        for (a, b), v in scores.items():
+            mine, theirs = [u for (p, _), u in scores.items() if p == a], [u for (_, q), u in scores.items() if q == b]
+            if v == max(mine) == max(theirs) and mine.count(v) == theirs.count(v) == 1:
+                want.add((doc, *a, *b))
+    got = [tuple(r) for r in alignment.moved_far(chunks, pairs).collect()]
+    assert len(want) > 60 and set(got) == want and len(got) == len(want)
+    assert alignment.moved_far(chunks.limit(0), pairs.limit(0)).count() == 0
+
+
 def test_all_documents_teach_the_lexicon(spark, model):
     # no marks anywhere and equal lengths; each pair of words comes up in 4 of 3,300 documents only
     rng = random.Random(16)
