@@ -20,6 +20,7 @@ STOP_WORDS = sorted(
 TERM_STOP_WORDS = sorted(
     set("the and for with from into after before that this was were are has had not but its les des une dans pour par sur avec que qui aux est ont lors apres avant".split())
 )
+# Patterns of tokens, date and page lines, headings and citations.
 TOKEN = r"[A-Za-zÀ-ɏ一-鿿㐀-䶿0-9][A-Za-zÀ-ɏ一-鿿㐀-䶿0-9\-./]*"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATE_LINE = rf"(?i)^\s*(?:\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|(?:{MONTHS})\s+\d{{4}})\s*$"

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.lake import first_of
+from corpusloom.operators.lake import LANGUAGES, SOURCES, first_of
 
-# Order in which source and language parts of a path count.
-SOURCES, LANGUAGES = ["tsb", "tc", "ttsb", "caac"], ["en", "fr", "zh"]
 # Addresses of reports.
 TSB_REPORT, TTSB_MEDIA = "https://www.bst-tsb.gc.ca/sites/default/files/rapports-reports/aviation/", "https://www.ttsb.gov.tw/media/"
 REPORT_ID = r"(?U)\b([Aa]\d{2}[A-Za-z]\d{4})\b"
