@@ -458,6 +458,8 @@ def align_blocks(side: np.ndarray, block: np.ndarray, length: np.ndarray, mark_o
 
 _FEATURES = T.StructType([T.StructField("lang", T.IntegerType()), T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("marks", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.ByteType())), T.StructField("lex_counts", T.ArrayType(T.IntegerType())), T.StructField("lexemes", T.ArrayType(T.IntegerType()))])
 
+_PARTS = [f.name for f in _FEATURES.fields if f.name != "lang"]
+
 
 def _aligned(learn: bool = False):
     """Aligns the blocks of a batch: the pairs, or with ``learn`` the words of pairs of sentences without marks and how
@@ -636,17 +638,24 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     even = F.pow(F.least("a.sents", "b.sents") / F.greatest("a.sents", "b.sents"), 4)
     ratios = versions.groupBy(F.col("a.lang").alias("la"), F.col("b.lang").alias("lb")).agg((F.sum(F.col("b.chars") * even) / F.sum(F.col("a.chars") * even)).alias("ratio"))
     versions = versions.join(F.broadcast(ratios), (F.col("a.lang") == F.col("la")) & (F.col("b.lang") == F.col("lb"))).drop("la", "lb")
+    long_one = (F.col("blocks") > 1) | (F.greatest("a.sents", "b.sents") > LONG)
+    versions = materialize(versions.withColumn("long", long_one), "ratios")
+
+    def placed(some: DataFrame) -> DataFrame:
+        rows = chunks.join(some, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1))
+        return rows.select(F.col("pair").alias("doc"), "ratio", "side", "id", *_PARTS, "blocks", F.col("a.chunks").alias("n_a"), F.col("b.chunks").alias("n_b"))
 
-    placed = chunks.join(versions, "doc").where("lang in (a.lang, b.lang)").withColumn("side", F.when(F.col("lang") == F.col("a.lang"), 0).otherwise(1)).withColumn("doc", F.col("pair"))
     # the place of a chunk in its version matters in long documents only; counting runs in buckets of ids
-    long = placed.where("blocks > 1").select("doc", "side", "id", "marks", "blocks", F.col("a.chunks").alias("n_a"), F.col("b.chunks").alias("n_b"), F.lit(1).alias("one"))
+    cut = materialize(placed(materialize(versions.where("long"), "long-versions")), "long-documents")
+    long = cut.where("blocks > 1").select("doc", "side", "id", "marks", "blocks", "n_a", "n_b", F.lit(1).alias("one"))
     long = materialize(before_sum(long, ["doc", "side"], "id", "one", "nth"), "long")
-    cut = placed.where((F.col("blocks") > 1) | (F.greatest("a.sents", "b.sents") > LONG))
-    placed = placed.join(places(long), ["doc", "side", "id"], "left")
-    near = F.coalesce("places", F.array(F.lit(0).cast("long")))
-    placed = placed.select("doc", "ratio", "side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes", F.explode(near).alias("block"))
-    chunk = F.struct("side", "id", "numbers", "lengths", "counts", "marks", "weights", "lex_counts", "lexemes")
-    blocks = placed.groupBy("doc", "block").agg(F.first("ratio").alias("ratio"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    one_block = F.array(F.lit(0).cast("long"))
+    columns = ["doc", "ratio", "side", "id", *_PARTS]
+    short = placed(versions.where("not long")).select(*columns, one_block.alias("places"))
+    cut_up = cut.join(places(long), ["doc", "side", "id"], "left").select(*columns, F.coalesce("places", one_block).alias("places"))
+    placed_in = short.unionByName(cut_up).select(*columns, F.explode("places").alias("block"))
+    chunk = F.struct("side", "id", *_PARTS)
+    blocks = placed_in.groupBy("doc", "block").agg(F.first("ratio").alias("ratio"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
 
     blocks = materialize(blocks.select("doc", "ratio", "chunks", F.xxhash64("doc", "block").alias("block_no")), "blocks")
     together = blocks.select("ratio", "chunks").mapInArrow(_aligned(learn=True), "side int, word int, other int, n long")
