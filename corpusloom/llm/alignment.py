@@ -17,7 +17,8 @@
    the entries of its own words, and the lexicon's agreement is part of the price in the run over all blocks.
 4. Sentences that the path leaves out were moved where most of their marks stand in a sentence that still has these
    marks to give; they pair across the path. Of documents of several blocks the sentences left out on both sides are then
-   joined over the whole document (``moved_far``), so that no move is too far.
+   joined over the whole document by their marks (``moved_far``); one without rare marks, or whose rendering is part of a
+   sentence already paired, is found within reach of its block only.
 
 The programme runs over many blocks at once, a row of all their tables in one array operation. Chunks written twice
 are aligned once and give a pair each. Results: (chunk_id_1, sent_no_1, chunk_id_2, sent_no_2), the smaller chunk_id
