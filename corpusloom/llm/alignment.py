@@ -13,14 +13,16 @@
    which is measured over all bilingual documents, with a variance of VARIANCE for each character), of its kind, and of the
    marks that its sides share or lack.
    Sentences without marks are told apart by their words: a first run over all blocks gives pairs of
-   such sentences by length and place, their words that come up together make a lexicon (Dice), of which each block gets
-   the entries of its own words, and the lexicon's agreement is part of the price in the run over all blocks.
+   such sentences by length and place, their words that come up together make a lexicon (Dice), of which each part of the
+   blocks gets the entries of its own words, and the lexicon's agreement is part of the price in the run over all blocks.
 4. Sentences that the path leaves out were moved where most of their marks stand in a sentence that still has these
    marks to give; they pair across the path. Of documents of several blocks the sentences left out on both sides are then
    joined over the whole document by their marks (``moved_far``); one without rare marks, or whose rendering is part of a
    sentence already paired, is found within reach of its block only.
 
-The programme runs over many blocks at once, a row of all their tables in one array operation. Chunks written twice
+The programme runs over many blocks at once, a row of all their tables in one array operation. A block comes to it as one row
+a chunk, and the blocks of AT_ONCE sentences are put together there, so that memory is bounded by sentences and not by the rows of
+a task. Chunks written twice
 are aligned once and give a pair each. Results: (chunk_id_1, sent_no_1, chunk_id_2, sent_no_2), the smaller chunk_id
 first, each row once. Null, empty and blank texts have no sentences; rows without a key or document are left out.
 """
@@ -53,6 +55,9 @@ LONG = 600  # sentences of a side from which on a block is cut
 FAR = 3.0  # -log of the expected number of sentences that share as much with one moved to another block by chance
 COARSE = 3  # weight of a rounded number, which says nothing that the number doesn't
 SCALE = 4  # weights of marks are whole numbers of quarters
+AT_ONCE = 1 << 15  # sentences that a task aligns in one array operation
+PART = 2048  # chunks whose blocks share their lexicon's entries
+BEFORE = -(1 << 63)  # block_no of a part's lexicon
 
 
 def marks(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -462,20 +467,55 @@ _FEATURES = T.StructType([T.StructField("lang", T.IntegerType()), T.StructField(
 _PARTS = [f.name for f in _FEATURES.fields if f.name != "lang"]
 
 
+def whole_blocks(batches, most: int = AT_ONCE):
+    """The rows of ``batches``, where rows of one block_no follow each other, in batches of whole blocks: of about ``most`` sentences
+    (only the rest of a block that began in another batch comes on top), or of one block."""
+    put = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    kept, held = [], 0  # rows not yet given out, and their sentences
+    for batch in batches:
+        if not len(batch):
+            continue
+        no = batch.column("block_no").to_numpy()
+        size = pa.compute.fill_null(pa.compute.list_value_length(batch.column("numbers")), 0).to_numpy(zero_copy_only=False)
+        before = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        new = not kept or kept[-1].column("block_no")[-1].as_py() != no[0]
+        begin = np.flatnonzero(np.concatenate(([new], no[1:] != no[:-1])))
+        at = 0
+        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(no)).tolist()):
+            if (kept or lo > at) and held + before[hi] - before[at] > most:
+                yield put([*kept, batch.slice(at, lo - at)])
+                kept, held, at = [], 0, lo
+        kept.append(batch.slice(at))
+        held += before[-1] - before[at]
+    if kept:
+        yield put(kept)
+
+
 def _aligned(learn: bool = False):
-    """Aligns the blocks of a batch: the pairs, or with ``learn`` the words of pairs of sentences without marks and how
-    often each comes up (side 0 or 1) and comes up with a word of the other (side 2)."""
+    """Aligns the blocks of batches of rows (block_no, doc, place, ratio, side and features of a chunk; before the blocks of a part
+    its lexicon's rows, without doc): the pairs, or with ``learn`` the words of pairs of sentences without marks and how often
+    each comes up (side 0 or 1) and comes up with a word of the other (side 2)."""
 
     def run(batches):
-        for batch in batches:
-            listed = batch.column("chunks")
-            per = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
-            c = listed.flatten()
-            as_np = lambda name: c.field(name).to_numpy(zero_copy_only=False)
-            flat = lambda name: c.field(name).flatten().to_numpy(zero_copy_only=False)
-            sents = pa.compute.list_value_length(c.field("numbers")).to_numpy(zero_copy_only=False)
+        last = None  # the lexicon's rows of the part that may go on
+        for batch in whole_blocks(batches):
+            lexicon = None
+            if not learn:
+                entries = pa.Table.from_batches([batch.filter(batch.column("doc").is_null()).select(["part", "word", "other", "value"])])
+                part = batch.column("part")
+                if last is not None:
+                    entries = pa.concat_tables([last.filter(pa.compute.equal(last.column("part"), part[0])), entries])
+                last = entries.filter(pa.compute.equal(entries.column("part"), part[-1])).combine_chunks()
+                lexicon = Lexicon(*(entries.column(x).to_numpy() for x in ("word", "other", "value")))
+            c = batch.filter(batch.column("doc").is_valid())
+            as_np = lambda name: c.column(name).to_numpy(zero_copy_only=False)
+            flat = lambda name: c.column(name).flatten().to_numpy(zero_copy_only=False)
+            no, place, doc = as_np("block_no"), as_np("place"), c.column("doc")
+            other = (no[1:] != no[:-1]) | (place[1:] != place[:-1]) | pa.compute.not_equal(doc[1:], doc[:-1]).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate(([True], other))[: len(c)])
+            sents = pa.compute.list_value_length(c.column("numbers")).to_numpy(zero_copy_only=False)
             chunk_of = np.repeat(np.arange(len(c)), sents)
-            block = np.repeat(np.arange(len(batch)), per)[chunk_of]
+            block = (np.searchsorted(begin, np.arange(len(c)), side="right") - 1)[chunk_of]
             side, ids = as_np("side")[chunk_of].astype(np.int64), as_np("id")[chunk_of]
             numbers, lengths = flat("numbers"), flat("lengths").astype(np.float64)
             mark_of, lex_of = (np.repeat(np.arange(len(numbers)), flat(n)) for n in ("counts", "lex_counts"))
@@ -484,13 +524,9 @@ def _aligned(learn: bool = False):
             source, side, block, mark_of, mark, weight, of = cut_long(side, block, mark_of, mark, weight)
             cut_lex_of, cut_lex = held_by(source, lex_of, lex)
             sure = []
-            lexicon = None
+            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, as_np("ratio")[begin][of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon, sure=sure)
             if not learn:
-                entries = batch.column("entries").flatten()
-                lexicon = Lexicon(*(entries.field(x).to_numpy(zero_copy_only=False) for x in ("word", "other", "value")))
-            i, j = align_blocks(side, block, lengths[source], mark_of, mark, weight, batch.column("ratio").to_numpy(zero_copy_only=False)[of], lex_of=cut_lex_of, lex=cut_lex, lexicon=lexicon, sure=sure)
-            if not learn:
-                docs = batch.column("doc").take(pa.array(of[block[i]]))
+                docs = doc.take(pa.array(begin[of[block[i]]]))
                 i, j = source[i], source[j]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(ids[i], pa.int64()), pa.array(numbers[i], pa.int32()), pa.array(ids[j], pa.int64()), pa.array(numbers[j], pa.int32()), pa.array(np.concatenate(sure or [np.zeros(0, bool)]))], ["doc", "id_1", "no_1", "id_2", "no_2", "sure"])
                 continue
@@ -514,18 +550,16 @@ def _aligned(learn: bool = False):
 
 
 def _bare_words(batches):
-    """(block_no, word) of the words of sentences without marks, each once in a block."""
+    """(part, word) of the words of sentences without marks, each once for a part and a batch."""
     for batch in batches:
-        listed = batch.column("chunks")
-        c = listed.flatten()
-        flat = lambda name: c.field(name).flatten().to_numpy(zero_copy_only=False)
-        sents = pa.compute.list_value_length(c.field("numbers")).to_numpy(zero_copy_only=False)
-        block = np.repeat(np.repeat(np.arange(len(batch)), pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)), sents)
-        lex_of = np.repeat(np.arange(len(block)), flat("lex_counts"))
-        bare = (flat("counts") == 0)[lex_of]
-        pair = np.unique(block[lex_of[bare]].astype(np.uint64) << np.uint64(32) | flat("lexemes").astype(np.int32)[bare].view(np.uint32).astype(np.uint64))
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        sents = pa.compute.list_value_length(batch.column("numbers")).to_numpy(zero_copy_only=False)
+        parts, part = np.unique(batch.column("part").to_numpy(), return_inverse=True)
+        lex_of = np.repeat(np.repeat(part, sents), flat("lex_counts"))
+        bare = np.repeat(flat("counts") == 0, flat("lex_counts"))
+        pair = np.unique(lex_of[bare].astype(np.uint64) << np.uint64(32) | flat("lexemes").astype(np.int32)[bare].view(np.uint32).astype(np.uint64))
         words = pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("block_no").take(pa.array((pair >> np.uint64(32)).astype(np.int64))), words], ["block_no", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array(parts[(pair >> np.uint64(32)).astype(np.int64)]), words], ["part", "word"])
 
 
 def _marks_of_sentences(batches):
@@ -654,12 +688,13 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     columns = ["doc", "ratio", "side", "id", *_PARTS]
     short = placed(versions.where("not long")).select(*columns, one_block.alias("places"))
     cut_up = cut.join(places(long), ["doc", "side", "id"], "left").select(*columns, F.coalesce("places", one_block).alias("places"))
-    placed_in = short.unionByName(cut_up).select(*columns, F.explode("places").alias("block"))
-    chunk = F.struct("side", "id", *_PARTS)
-    blocks = placed_in.groupBy("doc", "block").agg(F.first("ratio").alias("ratio"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    blocks = short.unionByName(cut_up).select(*columns, F.explode("places").alias("place"))
+    blocks = materialize(blocks.withColumn("block_no", F.xxhash64("doc", "place")), "blocks")
+
+    def in_blocks(rows: DataFrame, by: str) -> DataFrame:
+        return rows.repartition(by).sortWithinPartitions(*dict.fromkeys([by, "block_no", "doc", "place", "side", "id"]))
 
-    blocks = materialize(blocks.select("doc", "ratio", "chunks", F.xxhash64("doc", "block").alias("block_no")), "blocks")
-    together = blocks.select("ratio", "chunks").mapInArrow(_aligned(learn=True), "side int, word int, other int, n long")
+    together = in_blocks(blocks, "block_no").mapInArrow(_aligned(learn=True), "side int, word int, other int, n long")
     together = materialize(together.groupBy("side", "word", "other").agg(F.sum("n").alias("n")).where("side < 2 or n >= 3"), "words")
     alone = together.where("side < 2").select("side", "word", F.col("n").alias("alone"))
     dice = together.where("side = 2").join(alone.where("side = 0").select("word", F.col("alone").alias("n1")), "word")
@@ -669,11 +704,11 @@ def align(df: DataFrame, model: LanguageModel, *, key: str = "chunk_id", doc: st
     ways = dice.unionByName(dice.select(F.col("other").alias("word"), F.col("word").alias("other"), "value")).groupBy("word", "other").agg(F.max("value").alias("value"))
     ways = materialize(ways, "ways")
     entries = ways.join(ways.groupBy("word").agg(F.max("value").alias("best")), "word").select("word", "other", (F.col("value") / F.col("best")).alias("value"))
-    # each block gets the entries of its own words: the lexicon is never in one place
-    needed = blocks.select("chunks", "block_no").mapInArrow(_bare_words, "block_no long, word int").distinct()
-    needed = needed.join(entries, "word").groupBy("block_no").agg(F.collect_list(F.struct("word", "other", "value")).alias("entries"))
-    blocks = blocks.join(needed, "block_no", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<word:int,other:int,value:double>>")))
-    found = blocks.select("doc", "ratio", "chunks", "entries").mapInArrow(_aligned(), "doc string, id_1 long, no_1 int, id_2 long, no_2 int, sure boolean")
+    # each part gets the entries of its own words: the lexicon is never in one place
+    parted = blocks.withColumn("part", F.pmod("block_no", F.lit(1 + blocks.count() // PART)))
+    needed = parted.select("part", "numbers", "counts", "lex_counts", "lexemes").mapInArrow(_bare_words, "part long, word int").distinct()
+    needed = needed.join(entries, "word").select("part", F.lit(BEFORE).alias("block_no"), "word", "other", "value")
+    found = in_blocks(parted.unionByName(needed, allowMissingColumns=True), "part").mapInArrow(_aligned(), "doc string, id_1 long, no_1 int, id_2 long, no_2 int, sure boolean")
     found = materialize(found, "found")
     confirmed = found.where("sure").select("doc", F.posexplode(F.array(F.struct(F.col("id_1").alias("id"), F.col("no_1").alias("no")), F.struct(F.col("id_2").alias("id"), F.col("no_2").alias("no")))).alias("side", "sent")).distinct()
     confirmed = confirmed.groupBy("doc").agg(F.count_if(F.col("side") == 0).alias("sure_a"), F.count_if(F.col("side") == 1).alias("sure_b"))

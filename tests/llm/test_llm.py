@@ -380,6 +380,39 @@ def test_all_documents_teach_the_lexicon(spark, model):
     assert len(got & want) >= 0.98 * len(want)
 
 
+def test_memory_of_alignment_goes_by_sentences_not_rows(monkeypatch):
+    """A task puts whole blocks of a bounded number of sentences together, however its rows come in; the pairs stay the same."""
+    import numpy as np
+
+    rng, rows, said = random.Random(7), [], []
+    for b in range(300):
+        doc, place = f"d{b // 2}", b % 2
+        part = b // 30
+        if b % 30 == 0:
+            rows += [{"part": part, "block_no": alignment.BEFORE, "word": part, "other": part + 100, "value": 1.0}, {"part": part, "block_no": alignment.BEFORE, "word": 50, "other": 150, "value": 1.0}]
+        for side in (0, 1):
+            for k in range(rng.randint(1, 4)):
+                n = rng.randint(1, 5)
+                marks = [1000 + 100 * k + i for i in range(n)]
+                bare = [0 if rng.random() < 0.3 else 1 for _ in range(n)]
+                marks = [m for m, x in zip(marks, bare) if x]
+                rows.append({"part": part, "block_no": b // 3, "doc": doc, "place": place, "ratio": 1.0, "side": side, "id": b * 10 + side * 5 + k, "numbers": list(range(1, n + 1)), "lengths": [50] * n, "counts": bare, "marks": marks, "weights": [12] * len(marks), "lex_counts": [1] * n, "lexemes": [rng.choice((part, 50)) + 100 * side for _ in range(n)]})
+    whole = pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), ("block_no", pa.int64()), ("doc", pa.string()), ("place", pa.int64()), ("ratio", pa.float64()), ("side", pa.int32()), ("id", pa.int64()), *[(c, pa.list_(pa.int8() if c == "weights" else pa.int32())) for c in alignment._PARTS], ("word", pa.int32()), ("other", pa.int32()), ("value", pa.float64())])).combine_chunks()
+    align_blocks = alignment.align_blocks
+    monkeypatch.setattr(alignment, "align_blocks", lambda side, *a, **k: said.append(len(side)) or align_blocks(side, *a, **k))
+    pairs = lambda batches: sorted(tuple(r.values()) for b in alignment._aligned()(batches) for r in b.to_pylist())
+    expected = pairs(whole.to_batches())
+    assert len(expected) > 500 and len(said) == 1
+    monkeypatch.setattr(alignment.whole_blocks, "__defaults__", (200,))
+    for size in (10_000, 7, 1):
+        said.clear()
+        assert pairs(whole.to_batches(max_chunksize=size)) == expected
+        assert sum(said) == sum(len(r.get("numbers", ())) for r in rows) and max(said) <= 200 + 3 * 2 * 20
+    for batch in alignment.whole_blocks(whole.to_batches(max_chunksize=50), 1):
+        assert len(np.unique(batch.column("block_no"))) == 1
+    assert pairs([]) == pairs(whole.slice(0, 0).to_batches()) == []
+
+
 def test_cuts_follow_the_marks():
     import numpy as np
 
